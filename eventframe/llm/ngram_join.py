@@ -35,9 +35,13 @@ from .common import Memo, batch, blocks, combined, fields, hash64, in_buckets, m
 
 WORDS, PERCENT = 5, 75
 #: Bits of a signature: a power of two of at least twice the set, between these.
-LEAST_BITS, MOST_BITS = 64, 4096
+LEAST_BITS, MOST_BITS = 64, 1 << 17
+#: Bits of the coarse signature that tiles compare; the full one follows for what passes.
+TILE_BITS = 512
+#: Leaders of keys that a node is compared with in the first step; the tiles settle the rest.
+LEADERS = 3
 #: Cells of the count sketch, whatever the data; it is merged and sent in parts.
-SKETCH_CELLS, SKETCH_PARTS = 1 << 20, 64
+SKETCH_CELLS, SKETCH_PARTS = 1 << 22, 64
 #: Bits of the filter that tells which documents a step needs; more documents only let more pass.
 NEED_BITS = 1 << 23
 #: Nodes at each side of a tile.
@@ -65,10 +69,11 @@ def node_of(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    bits = LEAST_BITS
-    while bits < min(2 * len(shingles), MOST_BITS):
-        bits *= 2
+def signature(shingles: np.ndarray, bits: int | None = None) -> bytes:
+    if bits is None:
+        bits = LEAST_BITS
+        while bits < min(2 * len(shingles), MOST_BITS):
+            bits *= 2
     at = (mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -103,7 +108,7 @@ def band_of(n: int, percent: int = PERCENT) -> int:
 
 # ---- step 1: sets, signatures and the count sketch ----------------------------------------------
 
-_INFO, _INFO_ARROW = fields("row:long doc_id:long n:long node:long sig:binary part:int cells:binary")
+_INFO, _INFO_ARROW = fields("row:long doc_id:long n:long node:long sig:binary coarse:binary part:int cells:binary")
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,18 +117,18 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for block in blocks(b.column(2)):
             sets = shingle_sets(block, memo)
-            rows = [(len(s), node_of(s), signature(s)) if len(s) else (0, None, None) for s in sets]
-            n, node, sig = zip(*rows)
+            rows = [(len(s), node_of(s), signature(s), signature(s, TILE_BITS)) if len(s) else (0, None, None, None) for s in sets]
+            n, node, sig, coarse = zip(*rows)
             every = np.concatenate(sets)
             if len(every):
                 seen = True
                 cells += np.bincount((every % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
-            yield batch(_INFO_ARROW, *[b.column(k).slice(at, len(block)) for k in (0, 1)], n, node, sig, [None] * len(n), [None] * len(n))
+            yield batch(_INFO_ARROW, *[b.column(k).slice(at, len(block)) for k in (0, 1)], n, node, sig, coarse, [None] * len(n), [None] * len(n))
             at += len(block)
     if seen:
         packed = [zlib.compress(c.tobytes(), 1) for c in np.split(cells.astype(np.uint32), SKETCH_PARTS)]
         none = [None] * SKETCH_PARTS
-        yield batch(_INFO_ARROW, none, none, none, none, none, range(SKETCH_PARTS), packed)
+        yield batch(_INFO_ARROW, none, none, none, none, none, none, range(SKETCH_PARTS), packed)
 
 
 _PART, _PART_ARROW = fields("part:int cells:binary")
@@ -139,21 +144,22 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crowding(info: DataFrame) -> np.ndarray:
-    """For each cell of the sketch, the binary magnitude of what it holds beyond chance."""
+    """How full each cell of the sketch is: quarters of a standard deviation from four below the mean up, then by magnitude."""
     total = np.zeros((SKETCH_PARTS, SKETCH_CELLS // SKETCH_PARTS), np.float64)
     parts = info.where("part is not null").select("part", "cells").repartition(SKETCH_PARTS // 4, "part")
     for r in parts.mapInArrow(_summed, _PART).collect():
         total[r["part"]] = np.frombuffer(r["cells"], np.uint64)
     mean = total.mean()
-    beyond = np.maximum(0.0, total.ravel() - mean - 5 * np.sqrt(mean)) / 16
-    return np.ceil(np.log2(1 + beyond)).astype(np.uint8)
+    away = (total.ravel() - mean) / max(1.0, np.sqrt(mean))
+    fine, high = np.floor(8 * (np.minimum(away, 12) + 4)), 8 * np.log2(np.maximum(away, 12) / 12)
+    return np.clip(fine + high, 0, 255).astype(np.uint8)
 
 
 # ---- step 2: keys ----------------------------------------------------------------------------------
 
 _BUCKET, _BUCKET_ARROW = fields("bucket:int entries:binary")
 _ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("band", "u1")])
-_KEYED, _KEYED_ARROW = fields("key:long node:long band:int leader:long")
+_KEYED, _KEYED_ARROW = fields("key:long node:long band:int leader:long other:long")
 
 
 def _keys(shared, buckets: int):
@@ -191,7 +197,7 @@ def _keys(shared, buckets: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries whose key another node of a neighbouring band has too, each with a leader."""
+    """Entries whose key another node of a neighbouring band has too, each with two leaders."""
     held: dict[int, list[bytes]] = {}
     for b in batches:
         for bucket, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -215,8 +221,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         below = np.concatenate([[False], (key[first[1:]] == key[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1)])
         above = np.append(below[1:], False)
         leader = np.where(below, np.minimum(least, np.concatenate([[0], least[:-1]])), least)
+        other = node[np.append(first[1:], len(key)) - 1]
         keep = ((size > 1) | below | above)[group]
-        columns = ((key + (bucket << 32))[keep], node[keep], band[keep].astype(np.int32), leader[group][keep])
+        columns = ((key + (bucket << 32))[keep], node[keep], band[keep].astype(np.int32), leader[group][keep], other[group][keep])
         for at in range(0, len(columns[0]), 100_000):
             yield batch(_KEYED_ARROW, *[c[at : at + 100_000] for c in columns])
 
@@ -279,36 +286,34 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 _PAIR, _PAIR_ARROW = fields("a:long b:long")
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by tile: pairs of a probe and a member that may link and aren't joined yet."""
-    rest: list = []
-
-    def pairs(rows: list) -> pa.RecordBatch | None:
-        found = []
-        members = [r for r in rows if not r["probe"]]
-        for p in (r for r in rows if r["probe"]):
-            near = [m for m in members if m["label"] != p["label"] and abs(m["band"] - p["band"]) <= 1]
-            if not near:
-                continue
-            size = min(len(p["sig"]), min(len(m["sig"]) for m in near))
-            other = np.stack([folded(m["sig"], size) for m in near])
-            sizes = np.array([m["n"] for m in near]) + p["n"]
-            for k in np.flatnonzero(may_link(sizes, np.bitwise_count(other ^ folded(p["sig"], size)).sum(1))):
-                found.append((min(p["node"], near[k]["node"]), max(p["node"], near[k]["node"])))
-        found = sorted(set(found))
-        return batch(_PAIR_ARROW, [a for a, _ in found], [b for _, b in found]) if found else None
-
-    def told(r: dict) -> tuple:
-        return r["key"], r["row"], r["col"]
+def _tile_pairs(rows: pa.Table) -> pa.RecordBatch | None:
+    """Of one tile: pairs of a probe and a member that aren't joined and whose coarse signatures leave a link possible."""
+    probe, node, band, label, n = (rows[c].to_numpy() for c in ("probe", "node", "band", "label", "n"))
+    bits = np.frombuffer(b"".join(rows["coarse"].to_pylist()), np.uint64).reshape(len(rows), -1)
+    members, found = np.flatnonzero(~probe), []
+    for p in np.flatnonzero(probe):
+        near = members[(label[members] != label[p]) & (np.abs(band[members] - band[p]) <= 1)]
+        differing = np.bitwise_count(bits[near] ^ bits[p]).sum(1, dtype=np.int64)
+        near = near[may_link(n[near] + n[p], differing)]
+        found.append(np.stack([np.minimum(node[near], node[p]), np.maximum(node[near], node[p])], 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return batch(_PAIR_ARROW, pairs[:, 0].copy(), pairs[:, 1].copy()) if len(pairs) else None
+
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each tile, of rows sorted by tile."""
+    rest: pa.Table | None = None
     for b in batches:
-        for r in b.to_pylist():
-            if rest and told(rest[-1]) != told(r):
-                if (out := pairs(rest)) is not None:
-                    yield out
-                rest = []
-            rest.append(r)
-    if rest and (out := pairs(rest)) is not None:
+        table = pa.Table.from_batches([b])
+        if rest is not None:
+            table = pa.concat_tables([rest, table]).combine_chunks()
+        tile = np.stack([table[c].to_numpy() for c in ("key", "row", "col")])
+        starts = np.flatnonzero(np.concatenate([[True], (tile[:, 1:] != tile[:, :-1]).any(0)]))
+        for at, end in zip(starts, starts[1:]):
+            if (out := _tile_pairs(table.slice(at, end - at))) is not None:
+                yield out
+        rest = table.slice(starts[-1])
+    if rest is not None and (out := _tile_pairs(rest)) is not None:
         yield out
 
 
@@ -326,7 +331,7 @@ def _tiled(keyed: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     member = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(F.lit(False).alias("probe"), r.alias("row"), F.pmod(lot, F.col("cols")).cast("int").alias("col")))
     probe = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.struct(F.lit(True).alias("probe"), F.pmod(lot, F.col("rows")).cast("int").alias("row"), c.alias("col")))
     placed = open_.select("key", "node", "band", "label", F.explode(F.when(F.col("asks"), F.concat(member, probe)).otherwise(member)).alias("t"))
-    placed = placed.join(nodes.select("node", "n", "sig"), "node").select("key", "node", "band", "label", "n", "sig", "t.*")
+    placed = placed.join(nodes.select("node", "n", "coarse"), "node").select("key", "t.row", "t.col", "t.probe", "node", "band", "label", "n", "coarse")
     placed = placed.repartition(shuffle_partitions(keyed.sparkSession), "key", "row", "col").sortWithinPartitions("key", "row", "col")
     return placed.mapInArrow(_tiles, _PAIR).distinct()
 
@@ -365,15 +370,16 @@ def _classes(docs: DataFrame, row: Column, doc_id: str, text: str) -> DataFrame:
     info = stored(slim.mapInArrow(_described, _INFO), folder, "info")
     crowded = spark.sparkContext.broadcast(crowding(info))
     own = info.where("part is null")
-    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("coarse").alias("coarse"))
     nodes = stored(nodes, folder, "nodes")
     entries = slim.select("text").mapInArrow(_keys(crowded, 4 * parts), _BUCKET).repartition(parts, "bucket")
     keyed = stored(entries.mapInArrow(_met, _KEYED), folder, "keyed")
-    votes = keyed.where("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("shared"))
-    chosen = votes.groupBy("node").agg(F.max(F.struct("shared", "leader"))["leader"].alias("a")).select("a", F.col("node").alias("b"))
+    votes = keyed.select("node", F.explode(F.array("leader", "other")).alias("a")).where("a <> node").groupBy("node", "a").agg(F.count("*").alias("shared"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "a"))
+    chosen = votes.withColumn("place", best).where(F.col("place") <= LEADERS).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     first = stored(_verified(stored(_bounded(chosen, nodes), folder, "chosen"), nodes, slim.select("doc_id", "text")), folder, "links1")
     labels = components(first, f"{folder}/first").withColumnRenamed("root", "label")
-    second = stored(_tiled(keyed, labels, nodes), folder, "tiled")
+    second = stored(_bounded(_tiled(keyed, labels, nodes), nodes), folder, "tiled")
     second = stored(_verified(second, nodes, slim.select("doc_id", "text")), folder, "links2")
     roots = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), f"{folder}/last")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
