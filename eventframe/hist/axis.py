@@ -1,0 +1,99 @@
+"""Axes of binned results, and the bin of a value as a column."""
+
+from __future__ import annotations
+
+import math
+from bisect import bisect_right
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Axis:
+    """``n`` bins between ``low`` and ``high``, or between given edges. Bin 0 is underflow, n + 1 overflow."""
+
+    n: int
+    low: float
+    high: float
+    edges: tuple[float, ...] | None = None
+    title: str = ""
+
+    @staticmethod
+    def of(spec) -> Axis:
+        """From ``(n, low, high)``, ``(n, edges)`` or a list of edges."""
+        if isinstance(spec, Axis):
+            return spec
+        spec = list(spec)
+        if len(spec) == 2 and hasattr(spec[1], "__len__"):
+            spec = list(spec[1])
+        elif len(spec) == 3 and isinstance(spec[0], int):
+            n, low, high = spec
+            if n < 1 or not low < high:
+                raise ValueError(f"an axis needs bins and low < high, not {spec}")
+            return Axis(n, float(low), float(high))
+        edges = tuple(map(float, spec))
+        if len(edges) < 2 or any(a >= b for a, b in zip(edges, edges[1:])):
+            raise ValueError("edges must rise")
+        return Axis(len(edges) - 1, edges[0], edges[-1], edges)
+
+    def all_edges(self) -> np.ndarray:
+        if self.edges is not None:
+            return np.array(self.edges)
+        width = (self.high - self.low) / self.n
+        out = self.low + width * np.arange(self.n + 1)
+        out[-1] = self.high
+        return out
+
+    def centers(self) -> np.ndarray:
+        if self.edges is not None:
+            e = np.array(self.edges)
+            return 0.5 * (e[1:] + e[:-1])
+        return self.low + (np.arange(1, self.n + 1) - 0.5) * (self.high - self.low) / self.n
+
+    def widths(self) -> np.ndarray:
+        return np.diff(self.all_edges())
+
+    def find(self, x: float) -> int:
+        if x < self.low:
+            return 0
+        if not x < self.high:
+            return self.n + 1
+        if self.edges is not None:
+            return bisect_right(self.edges, x)
+        return 1 + int(self.n * (x - self.low) / (self.high - self.low))
+
+    def bin(self, x: Column) -> Column:
+        """The bin of a column's value; NaN and the upper end are overflow."""
+        d = x.cast("double")
+        over = F.isnan(d) | (d >= F.lit(self.high))
+        if self.edges is None:
+            safe = F.when(over | (d < F.lit(self.low)), F.lit(self.low)).otherwise(d)
+            inside = F.floor(F.lit(float(self.n)) * (safe - F.lit(self.low)) / F.lit(self.high - self.low)).cast("int") + 1
+        else:
+            inside = F.size(F.filter(F.array(*map(F.lit, self.edges)), lambda e: e <= d))
+        return F.when(over, self.n + 1).when(d < F.lit(self.low), 0).otherwise(inside)
+
+    def same(self, other: Axis) -> bool:
+        return self.n == other.n and np.allclose(self.all_edges(), other.all_edges(), rtol=0, atol=1e-10 * max(1.0, abs(self.high - self.low)))
+
+
+def good_limits(n: int, low: float, high: float, whole: bool = False) -> tuple[int, float, float]:
+    """Rounded limits around a range of values: a tenth wider at each side but not across zero, on multiples of 1, 2 or 5 times a power of ten."""
+    span = high - low
+    if span == 0:
+        span = abs(low) or 1.0
+        low, high = low - 0.5 * span, high + 0.5 * span
+    a, b = low - 0.1 * (high - low), high + 0.1 * (high - low)
+    a = 0.0 if a < 0 <= low else a
+    b = 0.0 if b > 0 >= high else b
+    width = (b - a) / n
+    power = 10.0 ** math.floor(math.log10(width))
+    mantissa = width / power - 1e-10
+    width = next(m for m in (1, 2, 5, 10) if mantissa <= m) * power
+    if whole:
+        width = max(1.0, math.ceil(width))
+    start, end = width * math.trunc(a / width), width * math.trunc(b / width)
+    return n, min(start, low - 0.01 * (high - low)), max(end, high + 0.01 * (high - low))
