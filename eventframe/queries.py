@@ -140,7 +140,7 @@ def cxx_arithmetic(spark, sf_dir):
     return f.dataframe(["l_orderkey", "l_linenumber", "q", "r", "x", "sel", "whole"])
 
 
-@query("select l_orderkey, l_linenumber, round(sqrt(l_quantity) + sin(l_discount) * exp(-l_tax), 9) a, round(log(l_extendedprice) / log10(l_quantity + 1), 9) b, round(pow(l_discount, 2) + atan2(l_tax, l_quantity), 9) c from lineitem")
+@query("select l_orderkey, l_linenumber, round(sqrt(l_quantity) + sin(l_discount) * exp(-l_tax), 9) a, round(ln(l_extendedprice) / log10(l_quantity + 1), 9) b, round(pow(l_discount, 2) + atan2(l_tax, l_quantity), 9) c from lineitem")
 def math_functions(spark, sf_dir):
     f = _plain(spark, sf_dir, "lineitem").Define("a", "sqrt(l_quantity) + TMath::Sin(l_discount) * exp(-l_tax)").Define("b", "log(l_extendedprice) / TMath::Log10(l_quantity + 1)").Define("c", "pow(l_discount, 2) + std::atan2(l_tax, l_quantity)")
     return f.dataframe(["l_orderkey", "l_linenumber", "a", "b", "c"]).withColumns({c: F.round(c, 9) for c in "abc"})
@@ -149,7 +149,7 @@ def math_functions(spark, sf_dir):
 # ---- collections ---------------------------------------------------------------------------------------------
 
 
-def _vec(name: str, sql: str, **columns: str):
+def _vec(name: str, sql: str, digits: int = 6, **columns: str):
     """A query over orders: one expression per column."""
 
     def run(spark, sf_dir):
@@ -157,7 +157,7 @@ def _vec(name: str, sql: str, **columns: str):
         for c, e in columns.items():
             f = f.Define(c, e)
         out = f.dataframe(["l_orderkey", *columns])
-        rounded = {c: F.round(c, 6) for c, t in out.dtypes if t in ("double", "float")}
+        rounded = {c: F.round(c, digits) for c, t in out.dtypes if t in ("double", "float")}
         rounded |= {c: F.transform(c, lambda x: F.round(x, 6)) for c, t in out.dtypes if t in ("array<double>", "array<float>")}
         return out.withColumns(rounded)
 
@@ -165,7 +165,7 @@ def _vec(name: str, sql: str, **columns: str):
     query(f"with {_ORDERS_SQL} {sql}")(run)
 
 
-_vec("vec_sum_mean_var", "select l_orderkey, round(list_sum(price), 6) s, round(list_avg(price), 6) m, round(coalesce(list_var_samp(price), 0), 6) v, cast(len(price) as bigint) n from orders_", s="Sum(price)", m="Mean(price)", v="Var(price)", n="price.size()")
+_vec("vec_sum_mean_var", "select l_orderkey, round(list_sum(price), 5) s, round(list_avg(price), 5) m, round(coalesce(list_var_samp(price), 0) / 1e6, 5) v, cast(len(price) as bigint) n from orders_", 5, s="Sum(price)", m="Mean(price)", v="Var(price) / 1e6", n="price.size()")
 _vec("vec_argmax", "select l_orderkey, cast(list_position(price, list_max(price)) - 1 as bigint) i, round(list_max(price) / list_min(price), 6) r from orders_", i="ArgMax(price)", r="Max(price) / Min(price)")
 _vec("vec_sort", "select l_orderkey, list_transform(list_sort(price), lambda x: round(x, 6)) up, list_transform(list_reverse(qty), lambda x: round(x, 6)) back from orders_", up="Sort(price)", back="Reverse(qty)")
 _vec("vec_mask", "select l_orderkey, list_transform(list_filter(price, lambda x, i: qty[i] > 25), lambda x: round(x, 6)) big, coalesce(list_bool_or(list_transform(qty, lambda x: x > 49)), false) any49 from orders_", big="price[qty > 25]", any49="Any(qty > 49)")
@@ -303,9 +303,9 @@ def draw_selection_weight(spark, sf_dir):
     return bins.select("bx", F.round("w", 6).alias("content"))
 
 
-@query(f"with {_ORDERS_SQL} select l_orderkey, round(coalesce(list_sum(list_filter(price, lambda x, i: qty[i] > 25)), 0), 6) s, round(coalesce(list_max(list_filter(price, lambda x, i: qty[i] < 10)), 0), 6) m, len(price)::double n, coalesce(round(price[2], 6), -1) second from orders_")
+@query(f"with {_ORDERS_SQL} select l_orderkey, round(coalesce(list_sum(list_filter(price, lambda x, i: qty[i] > 25)), 0), 6) s, round(coalesce(list_max(list_filter(price, lambda x, i: qty[i] < 10)), 0), 6) m, len(price)::double n, coalesce(round(price[2], 6), -1) other from orders_")
 def ttf_sum_if(spark, sf_dir):
-    texts = {"s": "Sum$(price*(qty>25))", "m": "MaxIf$(price,qty<10)", "n": "Length$(price)", "second": "Alt$(price[1],-1)"}
+    texts = {"s": "Sum$(price*(qty>25))", "m": "MaxIf$(price,qty<10)", "n": "Length$(price)", "other": "Alt$(price[1],-1)"}
     orders = _orders(spark, sf_dir)
     f = formula.compiler(orders)
     return orders.select("l_orderkey", *[F.round(f.term(t).at(F.lit(0)), 6).alias(k) for k, t in texts.items()])
@@ -331,12 +331,12 @@ def friend_positional(spark, sf_dir):
 
 @query("""
 with l as (select row_number() over () - 1 e, * from (select * from lineitem)), f as (select l_orderkey, arg_min(l_partkey, e) part, arg_min(l_quantity, e) qty from l group by 1)
-select o_orderkey, part, qty from orders left join f on o_orderkey = l_orderkey
+select o_orderkey, coalesce(part, -1) part, coalesce(qty, -1) qty from orders left join f on o_orderkey = l_orderkey
 """)
 def friend_indexed(spark, sf_dir):
     main = tables.parquet(spark, _path(sf_dir, "orders")).withColumn("l_orderkey", F.col("o_orderkey"))
     joined = tables.indexed_friend(main, tables.parquet(spark, _path(sf_dir, "lineitem")), "f", "l_orderkey")
-    return joined.select("o_orderkey", F.col("f_l_partkey").alias("part"), F.col("f_l_quantity").alias("qty"))
+    return joined.select("o_orderkey", F.coalesce("f_l_partkey", F.lit(-1)).alias("part"), F.coalesce("f_l_quantity", F.lit(-1.0)).alias("qty"))
 
 
 @query("select l_returnflag, count(*) n, round(sum(l_quantity), 2) q from (select * from lineitem union all select * from lineitem where l_returnflag = 'R') group by 1")
