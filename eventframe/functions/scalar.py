@@ -14,8 +14,8 @@ from eventframe.functions import ieee, special
 from eventframe.types import ExpressionError
 
 
-def _d(x: Column) -> Column:
-    return x.cast("double")
+def _d(x: Column | float) -> Column:
+    return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
 
 
 def _trunc(x: Column) -> Column:
@@ -27,15 +27,15 @@ def _whole(f) -> Callable[[Column], Column]:
     return lambda x: F.when(F.isnan(_d(x)) | (F.abs(_d(x)) > 9e15), _d(x)).otherwise(_d(f(_d(x))))
 
 
-def _gaus(x, mean=F.lit(0.0), sigma=F.lit(1.0), norm=None):
-    arg = ieee.divided(_d(x) - _d(mean), sigma)
+def _gaus(x, mean=0.0, sigma=1.0, norm=None):
+    arg = ieee.divided(_d(x) - _d(mean), _d(sigma))
     out = F.when(F.abs(arg) > 39, F.lit(0.0)).otherwise(F.exp(arg * arg * -0.5))
     if norm is not None:
         out = F.when(_d(norm) != 0, ieee.divided(out, F.lit(2.50662827463100024) * _d(sigma))).otherwise(out)
     return F.when(_d(sigma) == 0, F.lit(1e30)).otherwise(out)
 
 
-def _breit_wigner(x, mean=F.lit(0.0), gamma=F.lit(1.0)):
+def _breit_wigner(x, mean=0.0, gamma=1.0):
     return ieee.divided(_d(gamma), ((_d(x) - _d(mean)) * (_d(x) - _d(mean)) + _d(gamma) * _d(gamma) / 4)) / (2 * math.pi)
 
 
@@ -75,11 +75,6 @@ def _finite(x):
     return ~F.isnan(_d(x)) & (F.abs(_d(x)) != ieee.INF)
 
 
-def _domain(f, low, high):
-    """NaN outside of a function's domain."""
-    return lambda x: F.when((_d(x) >= low) & (_d(x) <= high), f(F.when(_d(x).between(low, high), _d(x)).otherwise(low if low > -1e300 else 0.0))).otherwise(F.lit(math.nan))
-
-
 _ONE: dict[str, Callable] = {
     "sqrt": lambda x: F.sqrt(_d(x)), "cbrt": lambda x: F.cbrt(_d(x)), "exp": lambda x: F.exp(_d(x)), "exp2": lambda x: F.pow(F.lit(2.0), _d(x)),
     "log": lambda x: ieee.logarithm(F.ln, x), "log10": lambda x: ieee.logarithm(F.log10, x), "log2": lambda x: ieee.logarithm(F.log2, x),
@@ -135,8 +130,8 @@ REGISTRY |= {
     "TMath::CeilNint": (1, 1, lambda x: F.ceil(_d(x)).cast("int"), "i32"),
     "TMath::AreEqualAbs": (3, 3, lambda a, b, e: F.abs(_d(a) - _d(b)) < _d(e), "bool"),
     "TMath::AreEqualRel": (3, 3, lambda a, b, e: (_d(a) == _d(b)) | (F.abs(_d(a) - _d(b)) <= F.lit(0.5) * _d(e) * (F.abs(_d(a)) + F.abs(_d(b)))), "bool"),
-    "TMath::LaplaceDist": (1, 3, lambda x, alpha=F.lit(0.0), beta=F.lit(1.0): F.exp(-F.abs((_d(x) - _d(alpha)) / _d(beta))) / (2.0 * _d(beta)), "f64"),
-    "TMath::CauchyDist": (1, 3, lambda x, t=F.lit(0.0), s=F.lit(1.0): _d(s) / ((_d(x) - _d(t)) * (_d(x) - _d(t)) + _d(s) * _d(s)) / math.pi, "f64"),
+    "TMath::LaplaceDist": (1, 3, lambda x, alpha=0.0, beta=1.0: F.exp(-F.abs((_d(x) - _d(alpha)) / _d(beta))) / (2.0 * _d(beta)), "f64"),
+    "TMath::CauchyDist": (1, 3, lambda x, t=0.0, s=1.0: _d(s) / ((_d(x) - _d(t)) * (_d(x) - _d(t)) + _d(s) * _d(s)) / math.pi, "f64"),
 }
 for _name, (_n, _f) in special.SCALARS.items():
     REGISTRY.setdefault(_name, (_n, _n, arrow(_f, _n), "f64"))

@@ -140,19 +140,19 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             held[part] = held.get(part, 0) + np.frombuffer(zlib.decompress(cells), np.uint32).astype(np.uint64)
     for part, counts in held.items():
-        yield batch(_PART_ARROW, [part], [counts.tobytes()])
+        yield batch(_PART_ARROW, [part], [zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)])
 
 
 def crowding(info: DataFrame) -> np.ndarray:
     """How full each cell of the sketch is: quarters of a standard deviation from four below the mean up, then by magnitude."""
-    total = np.zeros((SKETCH_PARTS, SKETCH_CELLS // SKETCH_PARTS), np.float64)
     parts = info.where("part is not null").select("part", "cells").repartition(SKETCH_PARTS // 4, "part")
-    for r in parts.mapInArrow(_summed, _PART).collect():
-        total[r["part"]] = np.frombuffer(r["cells"], np.uint64)
-    mean = total.mean()
-    away = (total.ravel() - mean) / max(1.0, np.sqrt(mean))
-    fine, high = np.floor(8 * (np.minimum(away, 12) + 4)), 8 * np.log2(np.maximum(away, 12) / 12)
-    return np.clip(fine + high, 0, 255).astype(np.uint8)
+    counts = {r["part"]: np.frombuffer(zlib.decompress(r["cells"]), np.uint32) for r in parts.mapInArrow(_summed, _PART).collect()}
+    mean = sum(int(c.sum(dtype=np.uint64)) for c in counts.values()) / SKETCH_CELLS
+    out = np.zeros((SKETCH_PARTS, SKETCH_CELLS // SKETCH_PARTS), np.uint8)
+    for part, c in counts.items():
+        away = (c - mean) / max(1.0, np.sqrt(mean))
+        out[part] = np.clip(np.floor(8 * (np.minimum(away, 12) + 4)) + 8 * np.log2(np.maximum(away, 12) / 12), 0, 255)
+    return out.ravel()
 
 
 # ---- step 2: keys ----------------------------------------------------------------------------------
