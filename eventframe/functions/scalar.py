@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable
 
@@ -133,8 +134,14 @@ REGISTRY |= {
     "TMath::LaplaceDist": (1, 3, lambda x, alpha=0.0, beta=1.0: F.exp(-F.abs((_d(x) - _d(alpha)) / _d(beta))) / (2.0 * _d(beta)), "f64"),
     "TMath::CauchyDist": (1, 3, lambda x, t=0.0, s=1.0: _d(s) / ((_d(x) - _d(t)) * (_d(x) - _d(t)) + _d(s) * _d(s)) / math.pi, "f64"),
 }
+def _required(f: Callable, n: int) -> int:
+    """Arguments without a default value."""
+    found = [p.default is p.empty for p in inspect.signature(f).parameters.values() if p.kind is p.POSITIONAL_OR_KEYWORD]
+    return sum(found[:n]) if found else n
+
+
 for _name, (_n, _f) in special.SCALARS.items():
-    REGISTRY.setdefault(_name, (_n, _n, arrow(_f, _n), "f64"))
+    REGISTRY.setdefault(_name, (_required(_f, _n) if callable(_f) and _f not in (math.erf, math.erfc, math.gamma, math.lgamma) else _n, _n, lambda *cols, f=_f: arrow(f, len(cols))(*cols), "f64"))
 
 
 def function(name: str, count: int) -> tuple[Callable, str]:
