@@ -383,6 +383,17 @@ class Frame:
         self._new_name(name, True)
         return self._define(name, self.bound(expression, columns, returns))
 
+    def DefineRandom(self, name: str, kind: str, *parameters: float, seed: int = 0) -> Frame:
+        """A random column by entry number: uniform, gaussian, exponential, integer, breit_wigner, poisson, binomial."""
+        from eventframe.functions import random
+
+        self._new_name(name, False)
+        if self._entry is None:
+            raise UnsupportedFeature("random columns need an entry number: give Frame(df, entry=...)")
+        whole = kind in ("integer", "poisson", "binomial")
+        v = random.KINDS[kind](self._entry, *parameters, seed=seed)
+        return self._define(name, Value(v.cast("long") if whole else v, "i64" if whole else "f64"))
+
     def DefinePerSample(self, name: str, values: dict[str, float] | Callable[[str], float], default: float = 0.0) -> Frame:
         """One value per source file: those whose path contains a key, or a function of the path."""
         self._new_name(name, False)
@@ -529,6 +540,32 @@ class Frame:
 
         return step._book("rows", finish)
 
+    def AggregateBatches(self, start: Callable, update: Callable, merge: Callable, columns: list[str]) -> Result:
+        """A user's aggregate: ``update(state, batch)`` on the executors, ``merge(a, b)`` of small states in order on the driver."""
+        from eventframe.operators.readers import fold_batches
+
+        for c in columns:
+            self.bound(c)
+        return self._book("rows", lambda df: fold_batches(df.select(*[self._names[c].column.alias(c) for c in columns]), start, update, merge))
+
+    def Book(self, helper, columns: list[str]) -> Result:
+        """A helper with ``start() update(state, batch) merge(a, b) finish(state)``."""
+        whole = self.AggregateBatches(helper.start, helper.update, helper.merge, columns)
+        inner = whole._booked.finish
+        whole._booked.finish = lambda df: helper.finish(inner(df))
+        return whole
+
+    def FillObject(self, thing, *columns: str) -> Result:
+        """``thing.Fill(*row)`` in entry order on the driver, a partition at a time."""
+        names = [self._names[c].column for c in columns]
+
+        def finish(df):
+            for row in df.select(*names).toLocalIterator():
+                thing.Fill(*row)
+            return thing
+
+        return self._book("rows", finish)
+
     # binned results ---------------------------------------------------------------------------------------------------------
 
     def _bins(self, axes: list[Axis], values: list[Value], weight: Value | None, accept: Callable[[Column], Column] | None = None):
@@ -789,6 +826,11 @@ def run_graphs(*results: Result) -> int:
     return len(graphs)
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Tasks that run side by side; what a pool's size stands for here."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
 

@@ -218,3 +218,138 @@ def kernel_smooth(x, y, width: float, at=None) -> np.ndarray:
     at = x if at is None else np.asarray(at, float)
     w = np.exp(-0.5 * ((at[:, None] - x) / (0.3706506 * width)) ** 2)
     return (w @ y) / w.sum(1)
+
+
+#: Largest contents of whole-number storage, by its letter (fixed values).
+STORAGE = {"C": 127, "S": 32767, "I": 2147483647, "L": 9223372036854775807}
+
+
+def saturated(h: Histogram, storage: str) -> Histogram:
+    """Contents held to what a storage type can hold; real storage holds all."""
+    out = h.copy()
+    if storage in STORAGE:
+        top = STORAGE[storage]
+        out.content = np.clip(np.trunc(out.content), -top, top)
+    return out
+
+
+class loc:  # noqa: N801
+    """A bin by the value that lies in it, for indexing."""
+
+    def __init__(self, value: float, offset: int = 0):
+        self.value, self.offset = value, offset
+
+    def bin(self, axis) -> int:
+        return axis.find(self.value) - 1 + self.offset
+
+    def __add__(self, n: int) -> loc:
+        return loc(self.value, self.offset + n)
+
+
+class rebin:  # noqa: N801
+    """A slice's step: bins in groups."""
+
+    def __init__(self, factor: int):
+        self.factor = factor
+
+
+def at(h: Histogram, *keys):
+    """Indexing with ``loc`` and ``rebin``: numbers give contents, slices histograms."""
+    plain, groups = [], []
+    for k, a in zip(keys, h.axes):
+        if isinstance(k, loc):
+            plain.append(k.bin(a))
+        elif isinstance(k, slice):
+            ends = [e.bin(a) if isinstance(e, loc) else e for e in (k.start, k.stop)]
+            groups.append(k.step.factor if isinstance(k.step, rebin) else 1)
+            plain.append(slice(*ends, sum if k.step is sum else None))
+        else:
+            plain.append(k)
+    out = h[tuple(plain)]
+    if isinstance(out, Histogram):
+        for axis, g in enumerate(groups[: out.dim]):
+            if g > 1:
+                out = out.rebin(g, axis)
+    return out
+
+
+class Stack:
+    """Histograms one upon the other."""
+
+    def __init__(self, histograms: Sequence[Histogram] = ()):
+        self.histograms = list(histograms)
+
+    def add(self, h: Histogram) -> Stack:
+        self.histograms.append(h)
+        return self
+
+    def sums(self) -> list[Histogram]:
+        """Running totals from the lowest up."""
+        out: list[Histogram] = []
+        for h in self.histograms:
+            out.append(h.copy() if not out else out[-1].copy().add(h))
+        return out
+
+    def maximum(self) -> float:
+        return max((s.maximum() for s in self.sums()), default=0.0)
+
+
+def filled_at_random(h: Histogram, f: Callable[[float], float] | Histogram, n: int, seed: int = 0) -> Histogram:
+    """``n`` fills distributed like a function over the axis, or like another histogram."""
+    source = f if isinstance(f, Histogram) else evaluated(h, f)
+    return h.copy().fill_n(random_values(source, n, seed))
+
+
+def interpolated(h: Histogram, x: float, y: float) -> float:
+    """Bilinear between the bin centres of a 2-D histogram; flat beyond the outer ones."""
+    out, spots = 0.0, []
+    for a, v in zip(h.axes, (x, y)):
+        c = a.centers()
+        k = int(np.clip(np.searchsorted(c, v) - 1, 0, len(c) - 2)) if len(c) > 1 else 0
+        t = float(np.clip((v - c[k]) / (c[k + 1] - c[k]), 0, 1)) if len(c) > 1 else 0.0
+        spots.append(((k, 1 - t), (min(k + 1, len(c) - 1), t)))
+    for i, u in spots[0]:
+        for j, w in spots[1]:
+            out += u * w * h.counts()[i, j]
+    return float(out)
+
+
+def delaunay(points: Sequence[tuple[float, float]]) -> list[tuple[int, int, int]]:
+    """Triangles whose circles hold no other point, by adding one point after the other."""
+    p = np.asarray(points, float)
+    center, span = p.mean(0), 1e3 * (np.ptp(p, axis=0).max() or 1.0)
+    n = len(p)
+    q = np.vstack([p, center + [[-span, -span], [span, -span], [0, span]]])
+
+    def circle(t: tuple[int, int, int]) -> tuple[np.ndarray, float]:
+        a, b, c = q[list(t)]
+        m = 2 * np.array([b - a, c - a])
+        o = np.linalg.solve(m, [b @ b - a @ a, c @ c - a @ a])
+        return o, float(((o - a) ** 2).sum())
+
+    triangles = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
+    for i in range(n):
+        bad = [t for t, (o, r) in triangles.items() if ((o - q[i]) ** 2).sum() < r * (1 + 1e-12)]
+        edges = [tuple(sorted(e)) for t in bad for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2]))]
+        for t in bad:
+            del triangles[t]
+        for e in set(edges):
+            if edges.count(e) == 1:
+                (x1, y1), (x2, y2) = q[e[0]] - q[i], q[e[1]] - q[i]
+                if abs(x1 * y2 - x2 * y1) > 1e-12 * span:
+                    triangles[(*e, i)] = circle((*e, i))
+    return [t for t in triangles if max(t) < n]
+
+
+def interpolated_plane(points: Sequence[tuple[float, float]], z: Sequence[float], x: float, y: float, outside: float = 0.0) -> float:
+    """A value between scattered points: linear inside the triangle that holds it."""
+    p = np.asarray(points, float)
+    for t in delaunay(points):
+        a, b, c = p[list(t)]
+        m = np.array([b - a, c - a]).T
+        if abs(np.linalg.det(m)) < 1e-15:
+            continue
+        u, v = np.linalg.solve(m, np.array([x, y]) - a)
+        if u >= -1e-12 and v >= -1e-12 and u + v <= 1 + 1e-12:
+            return float(z[t[0]] * (1 - u - v) + z[t[1]] * u + z[t[2]] * v)
+    return outside

@@ -1,4 +1,4 @@
-"""CSV by the reference rules of quoting, padding and types, and tables by SQL."""
+"""CSV with rules of its own for quoting, padding and types, and tables by SQL."""
 
 from __future__ import annotations
 
