@@ -204,22 +204,26 @@ class GraphState:
 
     def run_binned(self, booked: list[Booked]) -> None:
         df, gate = self.plan(booked)
-        parts = []
+        dim, parts = max(b.columns.dim for b in booked), []
         for k, b in enumerate(booked):
             one, deep = b.columns(k)
-            rows = one if deep else F.array(one)
-            parts.append(F.when(gate(b), rows).otherwise(F.slice(rows, 1, 0)))
-        fills = df.select(F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("f")).select("f.*")
-        keys = ["hid", "bx", "by", "bz"]
-        w, d = F.col("w"), [F.col(c) for c in _XYZ]
+            parts.append((gate(b), one, deep))
+        if len(parts) == 1 and not parts[0][2]:  # nothing to unfold: bins come straight from the rows
+            fills = df.where(parts[0][0]).select(parts[0][1].alias("f")).select("f.*")
+        else:
+            rows = [(g, one if deep else F.array(one)) for g, one, deep in parts]
+            rows = [F.when(g, r).otherwise(F.slice(r, 1, 0)) for g, r in rows]
+            fills = df.select(F.explode(F.concat(*rows) if len(rows) > 1 else rows[0]).alias("f")).select("f.*")
+        keys = ["hid", *[f"b{c}" for c in _XYZ[:dim]]]
+        w, d = F.col("w"), [F.col(c) for c in _XYZ[:dim]]
         sums = [w * x for x in d] + [w * a * b for i, a in enumerate(d) for b in d[i:]]
         aggregates = [F.count(F.lit(1)).alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("w2"), F.max(w != 1.0).alias("weighted")]
-        aggregates += [F.sum(s).alias(f"m_{n}") for n, s in zip(moment_names(3), sums)]
+        aggregates += [F.sum(s).alias(f"m_{n}") for n, s in zip(moment_names(dim), sums)]
         found: dict[int, list[dict]] = {}
         for r in fills.groupBy(*keys).agg(*aggregates).toArrow().to_pylist():
             found.setdefault(r["hid"], []).append(r | {"w": r["sw"]})
         for k, b in enumerate(booked):
-            b.value = b.finish(sorted(found.get(k, []), key=lambda r: (r["bx"], r["by"] or 0, r["bz"] or 0)))
+            b.value = b.finish(sorted(found.get(k, []), key=lambda r: tuple(r.get(f"b{c}") or 0 for c in _XYZ)))
 
     def run_rows(self, booked: list[Booked]) -> None:
         for b in booked:
@@ -599,6 +603,7 @@ class Frame:
                 rows = F.when(ok, rows).otherwise(F.raise_error(ieee.where("collections of different sizes", self._entry)).cast("array<struct<hid:int,bx:int,by:int,bz:int,w:double,x:double,y:double,z:double>>"))
             return rows, True
 
+        build.dim = len(values)
         return build
 
     def _histogram(self, dim: int, args: tuple) -> Result:
