@@ -25,7 +25,7 @@ from .common import batch, fields, shared_dir, stored
 
 LINES, SEED = 64, 11
 #: Share of the lines on which a vector must collide, and the windows' growth.
-SHARE, FIRST, GROWTH = 0.5, 0.1, 1.25
+SHARE, FIRST, GROWTH = 0.5, 0.45, 1.15
 #: Standard deviations of the collision count by which the k-th best must clear the share.
 MARGIN = 1.0
 VECTOR_BLOCK, QUERY_BLOCK = 16_384, 4_096
@@ -48,50 +48,58 @@ class CollisionIndex:
         last = np.sqrt(np.maximum(0.0, 1.0 - (norms / self.longest) ** 2))
         self.lines = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, lines))
         values = unit @ self.lines[:-1] + last[:, None] * self.lines[-1]
-        self.order = np.argsort(values, 0, kind="stable").T.astype(np.int32)
-        self.values = np.take_along_axis(values, self.order.T.astype(np.int64), 0).T.copy()
+        order = np.argsort(values, 0, kind="stable")
+        self.order = np.ascontiguousarray(order.T)
+        #: All lines' sorted values in one rising array: line i lies around i times ``apart``.
+        self.apart = 4.0 * float(np.abs(values).max(initial=1.0)) + 4.0
+        self.shift = np.arange(lines) * self.apart
+        self.values = (np.take_along_axis(values, order, 0) + self.shift).T.ravel()
+        self.coarse = vectors.astype(np.float32)
         share = min(0.98, SHARE + MARGIN * np.sqrt(SHARE * (1 - SHARE) / lines))
         self.reach = _normal_quantile((1 + share) / 2)
 
     def nearest(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and inner products of the nearest found and all that tie with the last of them."""
         lines, n = self.order.shape
-        unit = query / np.sqrt((query * query).sum())
-        at = unit @ self.lines[:-1]
-        counts, done = np.zeros(n, np.int32), np.zeros(n, bool)
+        size = np.sqrt((query * query).sum())
+        at = np.clip((query / size) @ self.lines[:-1], -self.apart / 4, self.apart / 4) + self.shift
+        coarse, slack = query.astype(np.float32), 1e-5 * self.longest * size
+        counts, open_ = np.zeros(n, np.int64), np.ones(n, bool)
         if own is not None:
-            done[own] = True
-        middle = np.fromiter((np.searchsorted(v, x) for v, x in zip(self.values, at)), np.int64, lines)
-        low, high = middle.copy(), middle.copy()
-        found, scores = [], []
-        half, wanted = FIRST, ceil(SHARE * lines)
+            open_[own] = False
+        flat, ends = self.order.ravel(), np.arange(lines) * n
+        low = high = np.searchsorted(self.values, at)
+        found, rough = [], []
+        half, wanted, least = FIRST, ceil(SHARE * lines), -np.inf
         while True:
-            fresh = []
-            for i, v in enumerate(self.values):
-                a, b = np.searchsorted(v, (at[i] - half, at[i] + half))
-                fresh += (self.order[i, a : low[i]], self.order[i, high[i] : b]) if a < low[i] or b > high[i] else ()
-                low[i], high[i] = min(a, low[i]), max(b, high[i])
-            if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            new = np.flatnonzero((counts >= wanted) & ~done)
+            a = np.maximum(np.searchsorted(self.values, at - half), ends)
+            b = np.minimum(np.searchsorted(self.values, at + half), ends + n)
+            parts = [flat[i:j] for i, j in zip((*a, *high), (*low, *b)) if i < j]
+            low, high = a, b
+            if parts:
+                counts += np.bincount(np.concatenate(parts), minlength=n)
+            new = np.flatnonzero((counts >= wanted) & open_)
             if len(new):
-                done[new] = True
-                found.append(new)
-                scores.append((self.vectors[new] * query).sum(1))
-            if found:
-                all_scores = np.concatenate(scores)
-                if len(all_scores) >= k:
-                    least = np.partition(all_scores, -k)[-k]
-                    # distance of unit vectors whose inner product is the k-th best
-                    cosine = least / (self.longest * np.sqrt((query * query).sum()))
-                    if half >= self.reach * np.sqrt(max(0.0, 2.0 - 2.0 * cosine)):
-                        break
-            if low.max() == 0 and high.min() == n:
+                open_[new] = False
+                near = self.coarse[new] @ coarse
+                keep = near >= least - slack
+                found.append(new[keep])
+                rough.append(near[keep])
+                every = np.concatenate(rough)
+                if len(every) >= k:
+                    least = np.partition(every, -k)[-k]
+            if least > -np.inf:
+                # distance of unit vectors whose inner product is the k-th best
+                cosine = least / (self.longest * size)
+                if half >= self.reach * np.sqrt(max(0.0, 2.0 - 2.0 * cosine)):
+                    break
+            if (low == ends).all() and (high == ends + n).all():
                 break
             half *= GROWTH
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        found, scores = np.concatenate(found), np.concatenate(scores)
+        found = np.concatenate(found)[np.concatenate(rough) >= least - slack]
+        scores = (self.vectors[found] * query).sum(1)
         if len(scores) > k:
             keep = scores >= np.partition(scores, -k)[-k]
             found, scores = found[keep], scores[keep]
