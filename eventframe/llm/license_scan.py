@@ -188,3 +188,36 @@ def license_scan(docs: DataFrame, text: str = "text", into: str = "license") ->
     any multiplicity; an existing column ``into`` is replaced.
     """
     return docs.withColumn(into, _scan(F.col(text)))
+
+
+def _pattern(template: str) -> str:
+    """A template as a regular expression over words with a space before each."""
+    out = ""
+    for mark in _MARK.finditer(template):
+        if mark[0] == "[[":
+            out += "(?:"
+        elif mark[0] == "]]":
+            out += ")?"
+        elif mark[2] is not None:
+            out += f"(?: [^ ]+){{{int(mark[1] or 0)},{int(mark[2])}}}"
+        else:
+            out += f" {mark[0]}"
+    return f"{out} "
+
+
+def oracle_sql() -> str:
+    """The same scan in SQL: phrases by position, templates by regular expressions."""
+    at = lambda phrase: "(" + " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split())) + ")"
+    labels = ", ".join(f"case when {' or '.join(f"regexp_matches(j, '{_pattern(t)}')" for t in templates)} then '{label}' end" for label, templates in TEMPLATES.items())
+    base = ", ".join(f"case when list_bool_or(list_transform(p, lambda i: {at(phrase)})) then '{label}' end" for phrase, label in PHRASES.items())
+    return f"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+p as (
+  select *, ' ' || array_to_string(w, ' ') || ' ' j, list_filter(range(0, len(w)), lambda i: coalesce({' or '.join(map(at, PHRASES))}, false)) p from d),
+l as (select *, list_filter([{base}], lambda x: x is not null) b, list_filter([{labels}], lambda x: x is not null) m from p)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(p) as bigint) n_base, cast(list_min(p) as bigint) first_word, cast(list_max(p) as bigint) last_word,
+  array_to_string(list_sort(list_distinct(b)), ',') base_labels, array_to_string(list_sort(list_distinct(list_concat(b, m))), ',') labels,
+  case when len(m) > 0 then {SCORE_TEMPLATE}::double when len(b) > 0 then {SCORE_PHRASE}::double else 0::double end score
+from l
+"""

@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries whose rows SQL can express."""
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_sharding": sharding.oracle_sql(), "op4_ngram_join": ngram_join.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op5_mixing": mixing.ORACLE_SQL, "op6_sharding": sharding.oracle_sql(), "op4_ngram_join": ngram_join.ORACLE_SQL}
