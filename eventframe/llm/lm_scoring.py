@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, batch, blocks, combined, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
+from .common import Memo, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
 
 #: Words of the model, without the unknown word. The filter holds at most (VOCABULARY + 1)^2 pairs.
 VOCABULARY = 2048
@@ -275,13 +275,30 @@ def _block_of(n_blocks: int):
     return block
 
 
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> pa.Table:
+    """The most frequent words, ``most`` at the utmost: those from a step of the count on.
+
+    Steps are 256 to a power of two, so their table is bounded; the step is
+    the lowest from which on no more than ``most`` words are left.
+    """
+    step = F.floor(F.log2(F.col("count").cast("double")) * 256).cast("int")
+    held = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    least, total = max(held, default=0) + 1, 0
+    for s in sorted(held, reverse=True):
+        total += held[s]
+        if total > most:
+            break
+        least = s
+    return counts.where(step >= least).toArrow()
+
+
 def trained(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of a one-column frame of training texts, and the exact word counts (a stored table)."""
     spark = texts.sparkSession
     folder = shared_dir(spark)
     counts = stored(word_counts(texts), folder, "words")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("count"), "word").limit(FREQUENT).toArrow()
+    top = frequent_words(counts)
     hashes = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     by_rank = np.lexsort((hashes.view(np.int64), -top["count"].to_numpy())).argsort()
     order = np.argsort(hashes)
@@ -302,6 +319,7 @@ def trained(texts: DataFrame) -> tuple[Model, DataFrame]:
     history = np.zeros((VOCABULARY + 2, 2))
     for r in pairs.groupBy(F.floor(F.col("code") / (VOCABULARY + 2)).cast("int").alias("before")).agg(F.sum(held).alias("t"), F.count("*").alias("k")).collect():
         history[r["before"]] = r["t"], r["k"]
+    dropped(spark, folder, "pairs")
     in_model = ids < VOCABULARY
     singles = pair_keys(single_codes(np.arange(VOCABULARY)))
     bloom.insert(singles[ids[in_model]], steps_of(exact[in_model]))
