@@ -9,6 +9,7 @@ documents and scores all documents.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,7 +65,7 @@ def terms_of(text: bytes, memo: Memo) -> np.ndarray:
     return np.array(sorted(out), np.int32)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.1, penalty: float = 3e-4, seed: int = 7) -> FactorizationMachine:
+def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.1, penalty: float = 5e-3, seed: int = 7) -> FactorizationMachine:
     """Mini-batch AdaGrad on the logistic loss; classes weigh alike."""
     size = 1 << BITS
     rng = np.random.default_rng(seed)
@@ -110,6 +111,33 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
     return model
 
 
+def calibrated(docs: list[np.ndarray], labels: np.ndarray, prior: float = 1.0) -> FactorizationMachine:
+    """Fitted to four fifths of the rows and scaled on the last fifth, which the fit hasn't seen.
+
+    Scaling is logistic regression on the machine's own logit with a prior of
+    no change; it stretches the gap that penalties shrink.
+    """
+    last = np.arange(len(docs)) % 5 == 4
+    model = fit([d for d, l in zip(docs, last) if not l], labels[~last])
+    y = np.asarray(labels[last], np.float64)
+    if not len(y) or y.min() == y.max():
+        return model
+    held = [d for d, l in zip(docs, last) if l]
+    z = np.clip(model.logits(np.concatenate(held), np.cumsum([len(d) for d in held])), -30, 30)
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -500, 500)))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-9)
+        slope = np.array([(g * z).sum() + prior * (a - 1), g.sum() + prior * b])
+        curve = np.array([[(h * z * z).sum() + prior, (h * z).sum()], [(h * z).sum(), h.sum() + prior]])
+        step = np.linalg.solve(curve, slope)
+        step *= min(1.0, 1.0 / max(1e-12, np.abs(step).max()))
+        a, b = max(0.1, a - step[0]), b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return FactorizationMachine(a * model.bias + b, (a * model.weights).astype(np.float32), (math.sqrt(a) * model.factors).astype(np.float32))
+
+
 _TERMS, _TERMS_ARROW = fields("toxic:int terms:binary")
 
 
@@ -131,10 +159,13 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     rows = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
     keys = rows.select("__doc").join(known, F.col("__doc") == F.col("__id")).select("__id", "__toxic").distinct()
     keys = keys.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    chosen = rows.join(keys, F.col("__doc") == F.col("__id")).select("__text", "__toxic")
-    found = chosen.mapInArrow(_as_terms, _TERMS).collect()
-    found.sort(key=lambda r: (r["toxic"], bytes(r["terms"])))
-    return fit([np.frombuffer(r["terms"], np.int32) for r in found], np.array([r["toxic"] for r in found]))
+    # at most ``sample`` ids: small enough for every worker
+    chosen = rows.join(F.broadcast(keys), F.col("__doc") == F.col("__id")).select("__text", "__toxic")
+    found = chosen.mapInArrow(_as_terms, _TERMS).toArrow()
+    marks = found["toxic"].to_numpy()
+    terms = [np.frombuffer(x.as_buffer(), np.int32) for x in found["terms"]]
+    order = sorted(range(len(marks)), key=lambda i: (marks[i], len(terms[i]), zlib.crc32(terms[i]), terms[i].tobytes() if len(terms[i]) < 64 else b""))
+    return calibrated([terms[i] for i in order], marks[order] if len(order) else marks)
 
 
 def scorer(spark, model: FactorizationMachine):
