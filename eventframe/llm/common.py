@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python step holds unpacked at a time.
 BLOCK_BYTES = 1 << 21
+#: Rows that go to a Python worker at once while a table is stored: texts are long, and batches stand outside of the heap.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Entries of a worker's memo before it starts afresh; memory stays bounded.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 100_000
 
 MASK = (1 << 64) - 1
 
@@ -43,8 +45,13 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 
     Cuts lineage: lost executors cost a reread, no recomputation.
     """
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    before = conf.get(BATCH_SETTING, "10000")
+    conf.set(BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(BATCH_SETTING, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,8 +68,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text as a JVM expression; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text as a JVM expression; null has none. Each word becomes one letter, white space goes, letters are counted."""
+    letters = F.translate(F.regexp_replace(text, WORD, "w"), " \t\n\x0b\x0c\r", "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def remainder(doc_id: Column, mod: int) -> Column:

@@ -104,10 +104,16 @@ def _copies(doc_id: Column, has_words: Column) -> Column:
     return F.col("whole") + F.when(more, 1).otherwise(0)
 
 
-def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """Slim rows (id, source, size), counted once and kept in the shared folder."""
+def _sized_and_cut(docs: DataFrame, doc_id: str, text: str, source: str, **how) -> tuple[DataFrame, DataFrame]:
+    """Slim rows (id, source, size), counted once, and the table of sources, both stored.
+
+    A stored table's size is known, so Spark broadcasts that of sources while
+    it is small and shuffles otherwise.
+    """
+    folder = shared_dir(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    return stored(rows, shared_dir(docs.sparkSession), "sizes")
+    sizes = stored(rows, folder, "sizes")
+    return sizes, stored(source_cuts(sizes, **how), folder, "cuts")
 
 
 def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
@@ -117,8 +123,8 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     are one source, last in order. Rows with one id and source share their
     fate. No rows, no result.
     """
-    sizes = _sizes(docs, doc_id, text, source)
-    rows = sizes.join(source_cuts(sizes, **how), F.col("source").eqNullSafe(F.col("of")))
+    sizes, cuts = _sized_and_cut(docs, doc_id, text, source, **how)
+    rows = sizes.join(cuts, F.col("source").eqNullSafe(F.col("of")))
     taken = (_copies(F.col("id"), F.col("size") > 0) * F.col("size")).cast("long")
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
 
@@ -128,7 +134,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Only the table of sources meets the documents; they aren't shuffled when it is small.
     """
-    cuts = source_cuts(_sizes(docs, doc_id, text, source), **how)
+    _, cuts = _sized_and_cut(docs, doc_id, text, source, **how)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     rows = rows.join(cuts, F.col(f"doc.`{source}`").cast("string").eqNullSafe(F.col("of")))
     has_words = F.coalesce(F.col(f"doc.`{text}`").rlike(WORD), F.lit(False))

@@ -31,19 +31,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Memo, batch, blocks, combined, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
+from .common import Memo, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
 
 WORDS, PERCENT = 5, 75
 #: Bits of a signature: a power of two of at least twice the set, between these.
 LEAST_BITS, MOST_BITS = 64, 1 << 17
 #: Bits of the coarse signature that tiles compare; the full one follows for what passes.
 TILE_BITS = 512
-#: Leaders of keys that a node is compared with in the first step; the tiles settle the rest.
+#: Leaders of keys that a node is compared with in the first step; the tiles settle all that are not joined by then.
 LEADERS = 3
 #: Cells of the count sketch, whatever the data; it is merged and sent in parts.
 SKETCH_CELLS, SKETCH_PARTS = 1 << 22, 64
 #: Bits of the filter that tells which documents a step needs; more documents only let more pass.
 NEED_BITS = 1 << 23
+#: Sets that a task knows to be done, and keys that it holds before it hands them on.
+SETS_KEPT, KEYS_HELD = 100_000, 500_000
 #: Nodes at each side of a tile.
 TILE = 2048
 
@@ -112,7 +114,7 @@ _INFO, _INFO_ARROW = fields("row:long doc_id:long n:long node:long sig:binary co
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, cells, seen = Memo(hash64), np.zeros(SKETCH_CELLS, np.int64), False
+    memo, cells, seen = Memo(hash64), np.zeros(SKETCH_CELLS, np.uint32), False
     for b in batches:
         at = 0
         for block in blocks(b.column(2)):
@@ -122,11 +124,11 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = np.concatenate(sets)
             if len(every):
                 seen = True
-                cells += np.bincount((every % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
+                np.add.at(cells, (every % np.uint64(SKETCH_CELLS)).astype(np.int64), np.uint32(1))
             yield batch(_INFO_ARROW, *[b.column(k).slice(at, len(block)) for k in (0, 1)], n, node, sig, coarse, [None] * len(n), [None] * len(n))
             at += len(block)
     if seen:
-        packed = [zlib.compress(c.tobytes(), 1) for c in np.split(cells.astype(np.uint32), SKETCH_PARTS)]
+        packed = [zlib.compress(c.tobytes(), 1) for c in np.split(cells, SKETCH_PARTS)]
         none = [None] * SKETCH_PARTS
         yield batch(_INFO_ARROW, none, none, none, none, none, none, range(SKETCH_PARTS), packed)
 
@@ -177,7 +179,7 @@ def _keys(shared, buckets: int):
                 for s in shingle_sets(block, memo):
                     if not len(s) or (node := node_of(s)) in done:
                         continue
-                    if len(done) > 500_000:
+                    if len(done) > SETS_KEPT:
                         done.clear()
                     done.add(node)
                     level = crowded[(s % np.uint64(SKETCH_CELLS)).astype(np.int64)]
@@ -187,7 +189,7 @@ def _keys(shared, buckets: int):
                     keys.append(first)
                     entries.append(own)
                     held += len(first)
-                if held > 2_000_000:
+                if held > KEYS_HELD:
                     yield packed()
                     keys, entries, held = [], [], 0
         if held:
@@ -236,11 +238,16 @@ _SET, _SET_ARROW = fields("node:long shingles:binary")
 def _fetched(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needed, memo = shared.value, Memo(hash64)
+        done: set[int] = set()
         for b in batches:
             wanted = needed[b.column(0).to_numpy()].astype(bool)
             for block in blocks(b.column(1).filter(pa.array(wanted))):
-                sets = [s for s in shingle_sets(block, memo) if len(s)]
-                yield batch(_SET_ARROW, [node_of(s) for s in sets], [s.tobytes() for s in sets])
+                sets = {node_of(s): s for s in shingle_sets(block, memo) if len(s)}
+                sets = {n: s for n, s in sets.items() if n not in done}
+                if len(done) > SETS_KEPT:
+                    done.clear()
+                done.update(sets)
+                yield batch(_SET_ARROW, list(sets), [s.tobytes() for s in sets.values()])
 
     return run
 
@@ -271,7 +278,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     needed = np.zeros(NEED_BITS // 32, np.uint32)
     needed[bits["at"].to_numpy().astype(np.int64)] = bits["on"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(np.unpackbits(needed.view(np.uint8), bitorder="little"))
-    sets = docs.select(_need_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(_fetched(shared), _SET)
+    sets = docs.select(_need_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(_fetched(shared), _SET).dropDuplicates(["node"])
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return whole.where(_links("x", "y")).select("a", "b")
 
@@ -384,6 +391,7 @@ def _classes(docs: DataFrame, row: Column, doc_id: str, text: str) -> DataFrame:
     roots = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), f"{folder}/last")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, folder, "rooted")
+    dropped(spark, folder, "nodes", "keyed", "chosen", "links1", "tiled", "links2", "first", "last")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = rooted.join(least, "root").select("node", "root", "component_id")
     rows = own.select("row", "doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
@@ -412,9 +420,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     numbered = docs.withColumn(mark, F.monotonically_increasing_id())
     found = _classes(numbered, F.col(mark), doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    stay = found.where("root is not null").groupBy("root").agg(F.min(order)["row"].alias("row")).select("row")
-    stay = stay.union(found.where("root is null").select("row")).select(F.col("row").alias(mark))
-    return numbered.join(stay, mark, "left_semi").drop(mark)
+    stay = found.where("root is not null").groupBy("root").agg(F.min(order)["row"].alias("stays"))
+    gone = found.join(stay, "root").where("row <> stays").select(F.col("row").alias(mark))
+    # those that go are fewer than those that stay, and stored their size is known: Spark sends them around while they are few
+    gone = stored(gone, shared_dir(docs.sparkSession), "gone")
+    return numbered.join(gone, mark, "left_anti").drop(mark)
 
 
 #: Brute force in SQL: distinct shingles, all pairs that share one, components by recursion.

@@ -9,6 +9,7 @@ space), so that a bounded memo serves most of them.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,8 @@ SCRIPT_BANDS = {
     "other": (0.25, 6.0, 0.80, 3.0, 14.0),
 }
 MIN_TOKENS = 64
+#: Words whose pieces a worker remembers.
+WORDS_KEPT = 200_000
 
 _NOT_COUNTED = bytes(range(9, 14)) + b" " + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
@@ -47,7 +50,7 @@ def _pieces(vocabulary: str):
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
     byte_ids = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    ids = Memo(lambda w: np.array(model.encode(w.decode("utf-8", "replace")), np.int32))
+    ids = Memo(lambda w: array("i", model.encode(w.decode("utf-8", "replace"))).tobytes(), WORDS_KEPT)
     return ids, byte_ids
 
 
@@ -81,7 +84,7 @@ def fertility(words: list[bytes], word_chars: int, vocabulary: str = VOCABULARY)
     memo, byte_ids = _pieces(vocabulary)
     if not words:
         return 0, 0.0, 0.0, 0.0
-    ids = np.concatenate([memo[w] for w in words])
+    ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), np.int32)
     if not len(ids):
         return 0, 0.0, 0.0, 0.0
     counts = np.bincount(ids)
