@@ -1,16 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts every word exactly, in a table. The most frequent words form
-the model's vocabulary; all others count as one unknown word. Counts of the
-vocabulary's words and pairs of words are quantised to powers of the square
-root of two and held in a Bloom filter that has one entry per n-gram and step:
-the steps are probed upwards until one is missing, which gives the count back.
-The filter is cut into blocks, each built by one task from the n-grams that
-hash to it, and is broadcast. Its size is bounded by the vocabulary's square.
-
-Probabilities are Kneser-Ney-like interpolations of the pair's share and the
-word's share. A word outside the vocabulary takes the probability of the
-unknown word times its own exact share of it; those counts come by a join.
+Training counts every word and every pair of adjacent words exactly, in
+tables that grow with the corpus; words and pairs are told apart by 64-bit
+hashes. Counts of pairs are quantised to powers of the square root of two and
+held in Bloom filters that have one entry per n-gram and step: the steps are
+probed upwards until one is missing, which gives the count back. The filter is
+cut into buckets by the pairs' hashes, each built by one task and sized by its
+own entries. Nothing that grows is broadcast: texts send their pairs to the
+buckets, in packed rows, and get sums back.
+
+Probabilities are Kneser-Ney-like interpolations: with total and kinds of the
+history's pairs, (max(count - D, 0) + D kinds low) / total, where low is the
+word's own exact share. Without the first summand the logarithm is a sum of
+one term of each word, so only pairs that the filter holds need more than
+words. Terms of the most frequent words and counts of the most frequent pairs
+are broadcast, which keeps heavy keys out of the shuffle and bounds the size.
 """
 
 from __future__ import annotations
@@ -21,15 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Memo, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
 
-#: Words of the model, without the unknown word. The filter holds at most (VOCABULARY + 1)^2 pairs.
-VOCABULARY = 2048
-#: Words whose exact counts are broadcast; those of rarer ones are joined.
+#: Words, and pairs of them, whose exact counts are broadcast; those of rarer ones are looked up in the buckets.
 FREQUENT = 1 << 19
 #: Bits per entry and probes per entry of the filter; blocks are a power of two of 64-bit words.
 BITS_PER_ENTRY, PROBES = 10, 6
@@ -38,8 +42,10 @@ BLOCK_WORDS = 1 << 12
 DISCOUNT = 0.75
 #: Pending pairs that a training task holds before it counts them together.
 PENDING = 4_000_000
-#: Stands for the end of a text; no word can hold a space.
-END = b" end"
+#: Pairs that a scoring task holds before it sends them.
+SENT = 1_000_000
+#: Stand for the end of a text, and for what is before its first word; no word can hold a space.
+END, START = b" end", b" start"
 BASE = 2.0**0.5
 
 
@@ -100,37 +106,32 @@ class LogFrequencyFilter:
 class Model:
     """What is broadcast; its size depends on the parameters alone."""
 
-    frequent: np.ndarray  # hashes of frequent words, ascending
-    counts: np.ndarray  # their exact counts
-    ids: np.ndarray  # their places in the vocabulary, or VOCABULARY for the unknown word
-    filter: LogFrequencyFilter
+    words: np.ndarray  # hashes of frequent words and of START, ascending
+    low: np.ndarray  # log10 of their shares
+    spread: np.ndarray  # DISCOUNT times the number of kinds of pairs that they begin, 0 for none
+    rest: np.ndarray  # log10 of what the history leaves to low: spread over total, 0 where no pair begins so
+    pairs: np.ndarray  # keys of frequent pairs of such words, ascending
+    held: np.ndarray  # their quantised counts less DISCOUNT
     total: int  # training tokens
     distinct: int
-    unknown_total: int  # training tokens outside the vocabulary
-    unknown_distinct: int
-    share: np.ndarray  # by vocabulary id: shares of single words, from the filter, adding up to 1
-    history: np.ndarray  # by vocabulary id: (sum of the pairs' counts in the filter, number of these pairs)
+    buckets: int
 
-    def log_probability(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """log10 of the interpolated probability of each id after another."""
-        codes = before.astype(np.int64) * (VOCABULARY + 2) + after
-        distinct, back = np.unique(codes, return_inverse=True)
-        seen = count_of(self.filter.steps(pair_keys(distinct)))[back]
-        total, kinds = self.history[before, 0], self.history[before, 1]
-        low = self.share[after]
-        held = np.maximum(seen - DISCOUNT, 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(total > 0, (held + np.maximum(DISCOUNT * kinds, DISCOUNT) * low) / np.maximum(total, 1.0), low)
-        return np.log10(np.minimum(p, 1.0))
 
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return combined([before, after], 2)
 
-def pair_keys(codes: np.ndarray) -> np.ndarray:
-    return combined([codes.astype(np.uint64)], 2)
 
+def attribute_keys(keys: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of what the filter holds of a pair besides its count: 1, its last word's count; 2, its first word's number of kinds."""
+    return combined([keys], 2 + kind)
 
-def single_codes(ids: np.ndarray) -> np.ndarray:
-    """Codes of single words: beyond those of pairs."""
-    return (VOCABULARY + 2) ** 2 + ids
+
+def place_of(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands in ascending ones, or -1."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
 
 
 _BUCKET, _BUCKET_ARROW = fields("bucket:int entries:binary")
@@ -199,87 +200,82 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.repartition(shuffle_partitions(texts.sparkSession), "bucket").mapInArrow(_merged, _COUNT)
 
 
-class Ids:
-    """Words to ids of the vocabulary and to exact counts of frequent words."""
+_PAIR = np.dtype([("before", "<u8"), ("after", "<u8"), ("count", "<u8")])
+_PAIRS, _PAIRS_ARROW = fields("key:long before:long after:long count:long rare_before:boolean")
 
-    def __init__(self, frequent: np.ndarray, ids: np.ndarray):
-        self.frequent, self.ids = frequent, ids
-        self.memo = Memo(hash64)
 
-    def places(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes, and where they stand among the frequent words (-1: nowhere)."""
-        hashes = np.fromiter(map(self.memo.__getitem__, tokens), np.uint64, len(tokens))
-        if not len(self.frequent):
-            return hashes, np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
-        return hashes, np.where(self.frequent[at] == hashes, at, -1)
+def _histories(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash before each token; a text's first token follows START."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[np.cumsum(lengths) - lengths] = hash64(START)
+    return before
 
-    def vocabulary(self, places: np.ndarray) -> np.ndarray:
-        return np.where(places >= 0, self.ids[places], VOCABULARY) if len(self.ids) else np.full(len(places), VOCABULARY)
 
+def _packed_pairs(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    parts = list(in_buckets(mixed(pair_keys(rows["before"], rows["after"])), rows, buckets))
+    return batch(_BUCKET_ARROW, [b for b, _ in parts], [e for _, e in parts])
 
-def _histories(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The id before each token; a text's first token follows an end of its own (VOCABULARY + 1)."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(lengths) - lengths] = VOCABULARY + 1
-    return before
+
+def _added_pairs(rows: np.ndarray) -> np.ndarray:
+    """Counts of equal pairs added up."""
+    keys = pair_keys(rows["before"], rows["after"])
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    out = rows[first]
+    if len(rows):
+        out["count"] = np.add.reduceat(rows["count"], first)
+    return out
 
 
-def _pair_counts(shared, buckets: int):
+def _pair_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(*shared.value)
+        memo = Memo(hash64)
         pending, held = [], 0
-
-        def packed() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(pending), return_counts=True)
-            return _buckets(codes.astype(np.uint64), counts.astype(np.uint64), buckets)
-
         for b in batches:
             for block in blocks(b.column(0)):
                 texts = [tokens_of(t) for t in block]
-                own = ids.vocabulary(ids.places([w for t in texts for w in t])[1])
-                before = _histories(own, np.array([len(t) for t in texts]))
-                pending.append((before * (VOCABULARY + 2) + own).astype(np.uint32))
-                held += len(own)
+                own = np.fromiter(map(memo.__getitem__, [w for t in texts for w in t]), np.uint64)
+                rows = np.ones(len(own), _PAIR)
+                rows["before"], rows["after"] = _histories(own, np.array([len(t) for t in texts])), own
+                pending.append(_added_pairs(rows))
+                held += len(pending[-1])
                 if held >= PENDING:
-                    yield packed()
+                    yield _packed_pairs(_added_pairs(np.concatenate(pending)), buckets)
                     pending, held = [], 0
         if held:
-            yield packed()
+            yield _packed_pairs(_added_pairs(np.concatenate(pending)), buckets)
 
     return run
 
 
-_BLOCK, _BLOCK_ARROW = fields("block:int bits:binary")
-_HISTORY, _HISTORY_ARROW = fields("before:int total:double kinds:long")
-
+def _merged_pairs(shared):
+    """Counts added up; ``after`` is null where it is a frequent word."""
 
-def _filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by_block: dict[int, list[tuple[int, int]]] = {}
-    for b in batches:
-        for block, code, count in zip(*(b.column(i).to_numpy() for i in range(3))):
-            by_block.setdefault(int(block), []).append((code, count))
-    for block, rows in by_block.items():
-        codes, counts = np.array(rows, np.int64).T
-        own = LogFrequencyFilter(1)
-        own.insert(pair_keys(codes), steps_of(counts))
-        yield batch(_BLOCK_ARROW, [block], [own.words.tobytes()])
-
-
-def _block_of(n_blocks: int):
-    @F.arrow_udf(T.IntegerType())
-    def block(codes: pa.Array) -> pa.Array:
-        return pa.array(LogFrequencyFilter(n_blocks).block_of(pair_keys(codes.to_numpy())).astype(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, held = shared.value, {}
+        for b in batches:
+            for bucket, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(bucket, []).append(e)
+                if len(held[bucket]) >= 64:
+                    held[bucket] = [_added_pairs(np.frombuffer(b"".join(held[bucket]), _PAIR)).tobytes()]
+        while held:
+            rows = _added_pairs(np.frombuffer(b"".join(held.popitem()[1]), _PAIR))
+            for at in range(0, len(rows), 100_000):
+                r = rows[at : at + 100_000]
+                before, after = (np.ascontiguousarray(r[c]) for c in ("before", "after"))
+                after_known = place_of(frequent, after) >= 0
+                yield batch(_PAIRS_ARROW, pair_keys(before, after).view(np.int64), before.view(np.int64), pa.array(after.view(np.int64), mask=after_known), r["count"].astype(np.int64), place_of(frequent, before) < 0)
 
-    return block
+    return run
 
 
-def frequent_words(counts: DataFrame, most: int = FREQUENT) -> pa.Table:
-    """The most frequent words, ``most`` at the utmost: those from a step of the count on.
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[Column, pa.Table]:
+    """The most frequent rows, ``most`` at the utmost: those from a step of the count on. Also the condition that tells them.
 
     Steps are 256 to a power of two, so their table is bounded; the step is
-    the lowest from which on no more than ``most`` words are left.
+    the lowest from which on no more than ``most`` rows are left.
     """
     step = F.floor(F.log2(F.col("count").cast("double")) * 256).cast("int")
     held = {r["step"]: r["n"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
@@ -289,82 +285,220 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> pa.Table:
         if total > most:
             break
         least = s
-    return counts.where(step >= least).toArrow()
+    return step >= least, counts.where(step >= least).toArrow()
+
+
+def _hashes(column) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+@dataclass
+class Tables:
+    """What grows with the corpus, as stored tables."""
+
+    words: DataFrame  # of words that are not frequent: word, count, kinds, total
+    pairs: DataFrame  # of all pairs: key, before, after, count, rare_before
 
 
-def trained(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of a one-column frame of training texts, and the exact word counts (a stored table)."""
+def trained(texts: DataFrame) -> tuple[Model, Tables]:
+    """The model of a one-column frame of training texts, and its tables."""
     spark = texts.sparkSession
-    folder = shared_dir(spark)
-    counts = stored(word_counts(texts), folder, "words")
+    folder, parts = shared_dir(spark), shuffle_partitions(spark)
+    counts = stored(word_counts(texts), folder, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    top = frequent_words(counts)
-    hashes = top["word"].to_numpy().astype(np.int64).view(np.uint64)
-    by_rank = np.lexsort((hashes.view(np.int64), -top["count"].to_numpy())).argsort()
-    order = np.argsort(hashes)
-    frequent, exact = hashes[order], top["count"].to_numpy().astype(np.int64)[order]
-    ids = np.where(by_rank[order] < VOCABULARY, by_rank[order], VOCABULARY)
-    shared = spark.sparkContext.broadcast((frequent, ids))
-    parts = shuffle_partitions(spark)
-    pairs = texts.mapInArrow(_pair_counts(shared, 4 * parts), _BUCKET).repartition(parts, "bucket").mapInArrow(_merged, _COUNT)
-    pairs = stored(pairs.select(F.col("word").alias("code"), "count"), folder, "pairs")
+    is_frequent, top = frequent_words(counts)
+    words = np.unique(np.append(_hashes(top["word"]), np.uint64(hash64(START))))
+    shared = spark.sparkContext.broadcast(words)
+    packed = texts.mapInArrow(_pair_counts(4 * parts), _BUCKET).repartition(parts, "bucket")
+    pairs = stored(packed.mapInArrow(_merged_pairs(shared), _PAIRS), folder, "pairs")
     step = 1 + F.floor(F.log(F.col("count").cast("double")) / float(np.log(BASE)) + 1e-9)
-    entries = pairs.agg(F.coalesce(F.sum(step), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(entries) * BITS_PER_ENTRY // (64 * BLOCK_WORDS)))
-    spread = pairs.select(_block_of(n_blocks)("code").alias("block"), "code", "count").repartition(min(parts, n_blocks), "block")
-    bloom = LogFrequencyFilter(n_blocks)
-    for r in spread.mapInArrow(_filter_blocks, _BLOCK).collect():
-        bloom.words[r["block"] * BLOCK_WORDS : (r["block"] + 1) * BLOCK_WORDS] = np.frombuffer(r["bits"], np.uint64)
     held = F.when(step == 1, F.lit(1.0)).otherwise(F.pow(F.lit(BASE), step - 0.5))
-    history = np.zeros((VOCABULARY + 2, 2))
-    for r in pairs.groupBy(F.floor(F.col("code") / (VOCABULARY + 2)).cast("int").alias("before")).agg(F.sum(held).alias("t"), F.count("*").alias("k")).collect():
-        history[r["before"]] = r["t"], r["k"]
-    dropped(spark, folder, "pairs")
-    in_model = ids < VOCABULARY
-    singles = pair_keys(single_codes(np.arange(VOCABULARY)))
-    bloom.insert(singles[ids[in_model]], steps_of(exact[in_model]))
-    unknown = int(total) - int(exact[in_model].sum())
-    unknown_distinct = int(distinct) - int(in_model.sum())
-    after = np.append(count_of(bloom.steps(singles)), unknown + 0.5 * (unknown_distinct + 1))
-    after = np.maximum(after, 1e-300)
-    model = Model(frequent, exact, ids, bloom, int(total), int(distinct), unknown, unknown_distinct, after / after.sum(), history)
-    return model, counts
-
-
-_PART, _PART_ARROW = fields("n_tokens:long n_known:long base:double own:double rare:longs")
-
-
-def _scored(shared):
-    held: dict = {}
-
-    @F.arrow_udf(_PART)
-    def score(texts: pa.Array) -> pa.Array:
-        if not held:
-            held["model"] = shared.value
-            held["ids"] = Ids(shared.value.frequent, shared.value.ids)
-        model, ids, out = held["model"], held["ids"], []
-        base_of = np.log10(model.counts + 0.5) - np.log10(model.total + 0.5 * (model.distinct + 1))
-        rest_of = np.log10(model.counts + 0.5) - np.log10(model.unknown_total + 0.5 * (model.unknown_distinct + 1))
-        for block in blocks(texts):
-            tokens = [tokens_of(t) for t in block]
-            lengths = np.array([len(t) for t in tokens])
-            hashes, places = ids.places([w for t in tokens for w in t])
-            own = ids.vocabulary(places)
-            logs = model.log_probability(_histories(own, lengths), own)
-            known, unknown = places >= 0, own == VOCABULARY
-            base = np.zeros(len(hashes))
-            if len(base_of):
-                base[known] = base_of[places[known]]
-                logs[known & unknown] += rest_of[places[known & unknown]]
-            starts = np.cumsum(lengths) - lengths
-            sums = [np.add.reduceat(x, starts).tolist() for x in (known.astype(np.int64), base, logs)]
-            rare = hashes.view(np.int64)
-            for i, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
-                out.append((n, sums[0][i], sums[1][i], sums[2][i], rare[a : a + n][~known[a : a + n]]))
-        columns = list(zip(*out)) or [[]] * 5
-        return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PART_ARROW)], fields=list(_PART_ARROW))
-
-    return score
+    histories = pairs.groupBy(F.col("before").alias("word")).agg(F.count("*").alias("kinds"), F.sum(held).alias("total"))
+    start = int(np.uint64(hash64(START)).astype(np.int64))
+    every = counts.join(histories, "word", "full").select("word", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("kinds", F.lit(0)).alias("kinds"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    every = stored(every, folder, "words")
+    chosen = (F.col("word") == start) | ((F.col("count") > 0) & is_frequent)
+    found = every.where(chosen).toArrow()
+    order = np.argsort(_hashes(found["word"]))
+    count, kinds, sums = (found[c].to_numpy()[order].astype(np.float64) for c in ("count", "kinds", "total"))
+    _, common = frequent_words(pairs.where("after is null and not rare_before").select("key", "count"))
+    keys = np.argsort(_hashes(common["key"]))
+    model = Model(
+        _hashes(found["word"])[order], np.log10(count + 0.5) - np.log10(total + 0.5 * (distinct + 1)), DISCOUNT * kinds,
+        np.log10(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(sums, 1.0), 1.0)), _hashes(common["key"])[keys],
+        count_of(steps_of(common["count"].to_numpy().astype(np.int64)[keys])) - DISCOUNT, int(total), int(distinct), parts,
+    )
+    dropped(spark, folder, "counts")
+    return model, Tables(every.where(~chosen), pairs)
+
+
+#: What goes to a bucket, in this order: entries of its filter, its rare words, pairs to look up, rare words to look up, texts' own sums.
+ENTRIES, WORDS, PAIRS, RARE, TEXT = range(5)
+_WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("rest", "<f8")])
+#: ``doc``: place after the row's first text, and 1 for a last word that isn't frequent, 2 for a first word.
+_PROBE = np.dtype([("key", "<u8"), ("known", "<f4"), ("doc", "<u4")])
+_LOOKUP = np.dtype([("word", "<u8"), ("doc", "<u4")])
+_SENT, _SENT_ARROW = fields("bucket:int kind:int first:long payload:binary n_tokens:long n_known:long base:double own:double")
+_SUMS, _SUMS_ARROW = fields("uid:long n_tokens:long n_known:long base:double own:double")
+
+
+def _row(schema: pa.Schema, n: int, extra: pa.Field, **columns) -> pa.RecordBatch:
+    """A batch of ``n`` rows; columns that aren't given are null."""
+    schema = schema.append(extra)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _packed(kind: int, parts: list[tuple[int, bytes]], extra: pa.Field, first: int = 0) -> pa.RecordBatch:
+    n = len(parts)
+    return _row(_SENT_ARROW, n, extra, bucket=[b for b, _ in parts], kind=[kind] * n, first=[first] * n, payload=[e for _, e in parts])
+
+
+def _sent_entries(buckets: int, extra: pa.Field):
+    """(key, count, tag) to entries of the filter; their bucket is that of the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pair, tag = _hashes(b.column(0)), b.column(2).to_numpy()
+            key = pair.copy()
+            for t in (1, 2):
+                key[tag == t] = attribute_keys(pair[tag == t], t)
+            yield _packed(ENTRIES, list(in_buckets(mixed(pair), _entries(key, b.column(1).to_numpy().astype(np.uint64)), buckets)), extra)
+
+    return run
+
+
+def _sent_words(buckets: int, extra: pa.Field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.zeros(b.num_rows, _WORD)
+            kinds, sums = (b.column(i).to_numpy().astype(np.float64) for i in (2, 3))
+            rows["word"], rows["count"] = _hashes(b.column(0)), b.column(1).to_numpy()
+            rows["rest"] = np.log10(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(sums, 1.0), 1.0))
+            yield _packed(WORDS, list(in_buckets(mixed(rows["word"]), rows, buckets)), extra)
+
+    return run
+
+
+def _sent_texts(shared, extra: pa.Field):
+    """Texts (uid, doc_id, text) to their sums over frequent words and pairs, and to what must be looked up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        memo = Memo(hash64)
+        log_all = np.log10(m.total + 0.5 * (m.distinct + 1))
+        for b in batches:
+            uids, first = b.column(0).to_numpy(), int(b.column(0)[0].as_py()) if b.num_rows else 0
+            probes, lookups, waiting, at = [], [], 0, 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                for kind, rows, key in ((PAIRS, probes, "key"), (RARE, lookups, "word")):
+                    if rows:
+                        whole = np.concatenate(rows)
+                        yield _packed(kind, list(in_buckets(mixed(np.ascontiguousarray(whole[key])), whole, m.buckets)), extra, first)
+                        rows.clear()
+
+            for block in blocks(b.column(2)):
+                tokens = [tokens_of(t) for t in block]
+                lengths = np.array([len(t) for t in tokens])
+                own = np.fromiter(map(memo.__getitem__, [w for t in tokens for w in t]), np.uint64)
+                before = _histories(own, lengths)
+                place, back = place_of(m.words, own), np.zeros(len(own), np.int64)
+                back[1:] = place[:-1]
+                starts = np.cumsum(lengths) - lengths
+                back[starts] = place_of(m.words, before[starts[:1]])[0] if len(starts) else -1
+                known, led = place >= 0, back >= 0
+                low, spread = np.where(known, m.low[place], 0.0), np.where(led, m.spread[back], 1.0)
+                logs = low + np.where(led, m.rest[back], 0.0)
+                seen = np.flatnonzero(spread > 0)  # after a word that began no pair there is none to find
+                keys = pair_keys(before[seen], own[seen])
+                x = np.where(known[seen], 10.0 ** low[seen], 1.0) * spread[seen]
+                hit = place_of(m.pairs, keys)
+                there = hit >= 0
+                logs[seen[there]] += np.log10(1 + m.held[hit[there]] / x[there])
+                docs = np.repeat((uids[at : at + len(block)] - first).astype(np.uint32), lengths)
+                probe = np.empty(int((~there).sum()), _PROBE)
+                probe["key"], probe["known"] = keys[~there], x[~there]
+                left = seen[~there]
+                probe["doc"] = docs[left] * 4 + ~known[left] + 2 * ~led[left]
+                lookup = np.empty(int((~known).sum()), _LOOKUP)
+                lookup["word"], lookup["doc"] = own[~known], docs[~known]
+                probes.append(probe)
+                lookups.append(lookup)
+                n = len(block)
+                sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), low, logs)]
+                mine = uids[at : at + n]
+                columns = dict(bucket=(mine % m.buckets).astype(np.int32), kind=[TEXT] * n, first=mine, n_tokens=lengths, n_known=sums[0], base=sums[1], own=sums[2])
+                yield _row(_SENT_ARROW, n, extra, **columns, doc_id=b.column(1).slice(at, n))
+                at += n
+                waiting += len(probe) + len(lookup)
+                if waiting >= SENT:
+                    yield from flush()
+                    waiting = 0
+            yield from flush()
+
+    return run
+
+
+def filter_of(entries: np.ndarray) -> LogFrequencyFilter:
+    """A filter of (key, count) entries, as large as they need."""
+    steps = steps_of(entries["count"])
+    out = LogFrequencyFilter(max(1, -(-int(steps.sum()) * BITS_PER_ENTRY // (64 * BLOCK_WORDS))))
+    out.insert(np.ascontiguousarray(entries["key"]), steps)
+    return out
+
+
+def _gained(bloom: LogFrequencyFilter, probes: np.ndarray, log_all: float) -> np.ndarray:
+    """log10 by which each pair's probability exceeds that of an unseen one."""
+    keys, x, flags = np.ascontiguousarray(probes["key"]), probes["known"].astype(np.float64), probes["doc"] & 3
+    held = np.maximum(count_of(bloom.steps(keys)) - DISCOUNT, 0.0)
+    for kind in (1, 2):
+        at = np.flatnonzero((held > 0) & (flags & kind > 0))
+        value = count_of(bloom.steps(attribute_keys(keys[at], kind)))
+        x[at] *= (value + 0.5) / 10**log_all if kind == 1 else DISCOUNT * value
+        held[at[value == 0]] = 0.0  # a seen pair has both: this one is a chance hit of the filter
+    return np.log10(1 + held / np.where(x > 0, x, 1.0))
+
+
+def _looked_up(log_all: float, extra: pa.Field):
+    def sums(uids: np.ndarray, **columns) -> pa.RecordBatch:
+        return _row(_SUMS_ARROW, len(uids), extra, uid=uids, **columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, bloom, words = None, {ENTRIES: [], WORDS: []}, None, None
+        for b in batches:
+            texts = b.filter(pa.compute.equal(b.column(1), TEXT))
+            if texts.num_rows:
+                yield pa.RecordBatch.from_arrays([texts.column(i) for i in (2, 4, 5, 6, 7, 8)], schema=_SUMS_ARROW.append(extra))
+            for own, kind, first, payload in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if own != bucket:
+                    bucket, parts, bloom, words = own, {ENTRIES: [], WORDS: []}, None, None
+                if kind in parts:
+                    parts[kind].append(payload)
+                elif kind == PAIRS:
+                    if bloom is None:
+                        bloom = filter_of(np.frombuffer(b"".join(parts.pop(ENTRIES)), _ENTRY))
+                        parts[ENTRIES] = []
+                    rows = np.frombuffer(payload, _PROBE)
+                    gain = _gained(bloom, rows, log_all)
+                    at, back = np.unique(rows["doc"][gain > 0] >> 2, return_inverse=True)
+                    if len(at):
+                        yield sums(first + at.astype(np.int64), own=np.bincount(back, gain[gain > 0], len(at)))
+                elif kind == RARE:
+                    if words is None:
+                        words = np.sort(np.frombuffer(b"".join(parts.pop(WORDS)), _WORD), order="word")
+                        words, parts[WORDS] = (np.ascontiguousarray(words["word"]), words), []
+                    rows = np.frombuffer(payload, _LOOKUP)
+                    place = place_of(words[0], np.ascontiguousarray(rows["word"]))
+                    there = place >= 0
+                    log, rest = np.full(len(rows), np.log10(0.5) - log_all), np.zeros(len(rows))
+                    log[there] = np.log10(words[1]["count"][place[there]] + 0.5) - log_all
+                    rest[there] = words[1]["rest"][place[there]]
+                    at, back = np.unique(rows["doc"], return_inverse=True)
+                    base = np.bincount(back, log, len(at))
+                    known = np.bincount(back, there, len(at)).astype(np.int64)
+                    yield sums(first + at.astype(np.int64), n_known=known, base=base, own=base + np.bincount(back, rest, len(at)))
+
+    return run
 
 
 def lm_scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,23 +511,18 @@ def lm_scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "te
     """
     spark: SparkSession = docs.sparkSession
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    model, counts = trained(docs.where(training).select(content.alias("text")))
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), _scored(shared)(content).alias("part"))
-    # one row with the text's own sums, and a slim one for each occurrence of a rare word
-    sums = F.struct("doc_id", *[F.col(f"part.{c}").alias(c) for c in ("n_tokens", "n_known", "base", "own")])
-    words = F.concat(F.array(F.xxhash64("uid")), F.col("part.rare"))
-    spread = rows.select("uid", sums.alias("sums"), F.posexplode(words).alias("at", "word"))
-    spread = spread.select("uid", F.when(F.col("at") == 0, F.col("sums")).alias("sums"), "word")
-    joined = spread.join(counts, "word", "left")
-    c = F.when(F.col("sums").isNull(), F.coalesce(F.col("count"), F.lit(0)))
-    joined = joined.select("uid", "sums", F.log10(c + 0.5).alias("log"), F.when(c > 0, 1).alias("known"))
-    per = joined.groupBy("uid").agg(F.max("sums").alias("s"), F.coalesce(F.sum("log"), F.lit(0.0)).alias("log"), F.count("log").alias("rare"), F.count("known").alias("known"))
-    log_base = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-    log_rest = float(np.log10(model.unknown_total + 0.5 * (model.unknown_distinct + 1)))
-    return per.select(
-        "s.doc_id", "s.n_tokens", (F.col("s.n_known") + F.col("known")).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("s.base") + F.col("log") - F.col("rare") * log_base).alias("base_score"),
-        (F.col("s.own") + F.col("log") - F.col("rare") * log_rest).alias("score"),
-    )
+    model, tables = trained(docs.where(training).select(content.alias("text")))
+    shared, parts = spark.sparkContext.broadcast(model), model.buckets
+    log_all = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), content.alias("text"))
+    kind = rows.schema["doc_id"]
+    extra = pa.field("doc_id", to_arrow_type(kind.dataType))
+    sent, sums = (T.StructType([*x.fields, T.StructField("doc_id", kind.dataType)]) for x in (_SENT, _SUMS))
+    # of pairs with a word that isn't frequent, the filter holds too what its texts can't know of that word
+    last = tables.pairs.where("after is not null").select("key", F.col("after").alias("word")).join(tables.words, "word").select("key", "count", F.lit(1).alias("tag"))
+    began = tables.pairs.where("rare_before").select("key", F.col("before").alias("word")).join(tables.words, "word").select("key", "kinds", F.lit(2).alias("tag"))
+    entries = tables.pairs.select("key", "count", F.lit(0).alias("tag")).union(last).union(began)
+    every = entries.mapInArrow(_sent_entries(parts, extra), sent).union(tables.words.mapInArrow(_sent_words(parts, extra), sent)).union(rows.mapInArrow(_sent_texts(shared, extra), sent))
+    found = every.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_looked_up(log_all, extra), sums)
+    per = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "own")])
+    return per.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.least("own", F.lit(0.0)).alias("score"))
