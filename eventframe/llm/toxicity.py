@@ -28,8 +28,12 @@ BITS, RANK = 18, 4
 SAMPLE = 12_000
 #: Lengths of word beginnings that are terms.
 PREFIXES = (4, 5, 6)
-#: A term counts only if so many documents of the sample have it.
+#: So many documents of the sample show what a term tells, alone or with another.
 LEAST_DOCUMENTS = 8
+#: Documents of each class on which pairs of terms are counted, and from how many standard deviations on a pair tells.
+PAIR_ROWS, PAIR_DEVIATIONS = 1000, 3.5
+#: Terms that don't show to tell stay in the machine, and learn at this share of the rate.
+SLOW = 0.003
 THRESHOLD = 0.7
 
 
@@ -65,6 +69,35 @@ def terms_of(text: bytes, memo: Memo) -> np.ndarray:
     return np.array(sorted(out), np.int32)
 
 
+def pair_terms(docs: list[np.ndarray], labels: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Terms that tell together with another one, by more than both tell alone: a log-linear interaction of PAIR_DEVIATIONS or more.
+
+    Counted on the first PAIR_ROWS documents of each class at most, over terms among ``candidates`` (a mask).
+    """
+    chosen = [np.flatnonzero(labels > 0)[:PAIR_ROWS], np.flatnonzero(labels <= 0)[:PAIR_ROWS]]
+    counts = [np.bincount(np.concatenate([docs[r] for r in rows]), minlength=len(candidates)) for rows in chosen]
+    terms = np.flatnonzero(candidates & (counts[0] >= LEAST_DOCUMENTS))
+    place = np.full(len(candidates), -1)
+    place[terms] = np.arange(len(terms))
+    tables = []
+    for rows in chosen:
+        x = np.zeros((len(rows), len(terms)), np.float32)
+        for i, r in enumerate(rows):
+            at = place[docs[r]]
+            x[i, at[at >= 0]] = 1
+        tables.append(x)
+    n, single = [len(r) for r in chosen], [c[terms] for c in counts]
+    ratio = np.log((single[0] + 0.5) / (n[0] + 1)) - np.log((single[1] + 0.5) / (n[1] + 1))
+    tells = np.zeros(len(terms), bool)
+    for at in range(0, len(terms), 256):
+        both = [x[:, at : at + 256].T @ x for x in tables]
+        own = np.log((both[0] + 0.5) / (n[0] + 1)) - np.log((both[1] + 0.5) / (n[1] + 1)) - ratio[at : at + 256, None] - ratio
+        strong = (own / np.sqrt(1 / (both[0] + 0.5) + 1 / (both[1] + 0.5)) >= PAIR_DEVIATIONS) & (both[0] >= LEAST_DOCUMENTS)
+        strong[np.arange(len(strong)), at + np.arange(len(strong))] = False
+        tells[at : at + 256] |= strong.any(1)
+    return terms[tells]
+
+
 def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.1, penalty: float = 5e-3, seed: int = 7) -> FactorizationMachine:
     """Mini-batch AdaGrad on the logistic loss; classes weigh alike."""
     size = 1 << BITS
@@ -75,26 +108,28 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: floa
         model.bias = (8.0 if labels.min() else -8.0) if len(docs) else -8.0
         return model
     seen = np.bincount(np.concatenate(docs), minlength=size)
-    common = (seen >= LEAST_DOCUMENTS) & (seen <= 0.5 * len(docs))
     toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels) if y]), minlength=size)
     rate_toxic = (toxic + 0.5) / (labels.sum() + 1)
     rate_clean = (seen - toxic + 0.5) / (len(labels) - labels.sum() + 1)
-    # terms that say next to nothing by themselves only add noise to the pairs
-    common &= np.abs(np.log(rate_toxic / rate_clean)) > 1.0
-    docs = [d[common[d]] for d in docs]
-    model.factors[common] = rng.normal(0, 0.01, (int(common.sum()), RANK))
+    common = seen >= LEAST_DOCUMENTS
+    tells = common & (seen <= 0.5 * len(docs)) & (np.abs(np.log(rate_toxic / rate_clean)) > 1.0)
+    tells[pair_terms(docs, labels, common)] = True
+    pace = rate * np.where(tells, 1.0, SLOW)
+    model.factors[seen > 0] = rng.normal(0, 0.01, (int((seen > 0).sum()), RANK))
     importance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     g_b, g_w, g_v = 1e-6, np.full(size, 1e-6), np.full((size, RANK), 1e-6)
-    lengths = np.array([len(d) for d in docs])
+    lengths, place = np.array([len(d) for d in docs]), np.zeros(size, np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
             terms, ends = np.concatenate([docs[r] for r in rows]), np.cumsum(lengths[rows])
             z = model.logits(terms, ends)
-            error = (1 / (1 + np.exp(-z)) - labels[rows]) * importance[rows] / len(rows)
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[rows]) * importance[rows] / len(rows)
             each = np.repeat(error, lengths[rows])
-            used, back = np.unique(terms, return_inverse=True)
+            used = np.flatnonzero(np.bincount(terms, minlength=size))
+            place[used] = np.arange(len(used))
+            back = place[terms]
             v = model.factors[terms].astype(np.float64)
             starts = np.concatenate([[0], ends[:-1]])
             run = np.concatenate([np.zeros((1, RANK)), np.cumsum(v, 0)])
@@ -106,8 +141,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: floa
             g_w[used] += dw * dw
             g_v[used] += dv * dv
             model.bias -= rate * db / np.sqrt(g_b)
-            model.weights[used] -= (rate * dw / np.sqrt(g_w[used])).astype(np.float32)
-            model.factors[used] -= (rate * dv / np.sqrt(g_v[used])).astype(np.float32)
+            model.weights[used] -= (pace[used] * dw / np.sqrt(g_w[used])).astype(np.float32)
+            model.factors[used] -= (pace[used, None] * dv / np.sqrt(g_v[used])).astype(np.float32)
     return model
 
 

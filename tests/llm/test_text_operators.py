@@ -169,6 +169,21 @@ def test_factorization_machine_learns_a_pair():
     assert np.allclose(z[:50], direct)
 
 
+def test_fit_learns_a_label_that_only_a_pair_explains():
+    """Toxic documents have both terms; 45 in a hundred clean ones have the one, 45 the other."""
+    rng = np.random.default_rng(4)
+
+    def drawn(n):
+        toxic, u = rng.random(n) < 0.1, rng.random(n)
+        docs = [np.array(sorted({*([10] if y or x < 0.45 else []), *([20] if y or 0.45 <= x < 0.9 else []), *rng.integers(1000, 3000, 20)}), np.int32) for y, x in zip(toxic, u)]
+        return docs, toxic.astype(int)
+
+    model = toxicity.fit(*drawn(4000))
+    docs, y = drawn(2000)
+    z = model.logits(np.concatenate(docs), np.cumsum([len(d) for d in docs]))
+    assert (z[y == 1] > 0).mean() > 0.95 and (z[y == 0] < 0).mean() > 0.95
+
+
 def test_empty_tables(spark, edges):
     none = edges.where("false")
     assert license_scan.license_scan(none).count() == quality_rules.quality_rules(none).count() == token_counts.token_counts(none).count() == 0
