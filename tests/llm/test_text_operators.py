@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -98,6 +99,18 @@ def test_fertility_bands():
     assert not quality_rules.measure("\U0001f9ff ".encode() * 100, "en")["kept"]
 
 
+def test_fertility_tells_junk_that_the_base_rules_miss():
+    """On labelled documents with odd ids; the bands come from even ones."""
+    docs, labels = (duckdb.sql(f"select * from '/root/testdata/sf0.1/{t}.parquet'") for t in ("documents", "labels"))
+    rows = duckdb.sql("select text, lang, quality from docs join labels using (doc_id) where doc_id % 2 = 1 and quality is not null").fetchall()
+    kept = {0: [], 1: []}
+    for text, lang, quality in rows:
+        got = quality_rules.measure(text.encode(), lang)
+        if not got["base_failed"]:
+            kept[quality].append(got["kept"])
+    assert np.mean(kept[0]) < 0.4 and np.mean(kept[1]) > 0.97
+
+
 def test_token_counts_match_the_library(spark, edges):
     import public_tokenizers
     from tokenizers import Tokenizer
