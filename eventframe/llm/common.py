@@ -55,6 +55,14 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def dropped(spark: SparkSession, folder: str, *names: str) -> None:
     """Delete tables of ``stored`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -8,10 +8,13 @@
    sketch come last, so passages that many documents share hardly ever meet.
    This is exact: any order finds every pair.
 3. Of each key's nodes, those of a size band are compared with one of them,
-   which joins most copies in one step. Where nodes of one key are not joined
-   by then, all of them meet in tiles of two neighbouring size bands: bit
-   counts of the signatures bound the overlap from above, and what passes is
-   settled by intersecting the sorted arrays.
+   which joins most copies in one step. A key whose nodes are not all joined
+   by then belongs to the class that most of them are in, and all nodes of a
+   class's keys form one block, each with its sorted array. A block is cut into
+   tiles; in a tile, nodes of neighbouring size bands are compared: bit counts
+   of the signatures bound the overlap from above, and what passes is settled
+   by intersecting the sorted arrays. A tile returns a spanning forest of its
+   links, so that it never has more rows than members.
 4. Connected components are merged by alternating stars.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -21,23 +24,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Memo, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
+from .common import MASK, Memo, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored, unused
 
 WORDS, PERCENT = 5, 75
 #: Bits of a signature: a power of two of at least twice the set, between these.
 LEAST_BITS, MOST_BITS = 64, 1 << 17
-#: Bits of the coarse signature that tiles compare; the full one follows for what passes.
-TILE_BITS = 512
 #: Leaders of keys that a node is compared with in the first step; the tiles settle all that are not joined by then.
 LEADERS = 3
 #: Cells of the count sketch, whatever the data; it is merged and sent in parts.
@@ -46,8 +49,10 @@ SKETCH_CELLS, SKETCH_PARTS = 1 << 22, 64
 NEED_BITS = 1 << 23
 #: Sets that a task knows to be done, and keys that it holds before it hands them on.
 SETS_KEPT, KEYS_HELD = 100_000, 500_000
-#: Nodes at each side of a tile.
-TILE = 2048
+#: Nodes, and bytes of their arrays, at each side of a tile.
+TILE, TILE_BYTES = 4096, 1 << 24
+#: Entries of the sketch from which on a shingle's nodes are dealt to several tasks, by node.
+HOT = 1 << 16
 
 
 def shingle_sets(texts: list[bytes], memo: Memo, n: int = WORDS) -> list[np.ndarray]:
@@ -110,7 +115,7 @@ def band_of(n: int, percent: int = PERCENT) -> int:
 
 # ---- step 1: sets, signatures and the count sketch ----------------------------------------------
 
-_INFO, _INFO_ARROW = fields("row:long doc_id:long n:long node:long sig:binary coarse:binary part:int cells:binary")
+_INFO, _INFO_ARROW = fields("row:long doc_id:long n:long node:long sig:binary part:int cells:binary")
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,18 +124,18 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for block in blocks(b.column(2)):
             sets = shingle_sets(block, memo)
-            rows = [(len(s), node_of(s), signature(s), signature(s, TILE_BITS)) if len(s) else (0, None, None, None) for s in sets]
-            n, node, sig, coarse = zip(*rows)
+            rows = [(len(s), node_of(s), signature(s)) if len(s) else (0, None, None) for s in sets]
+            n, node, sig = zip(*rows)
             every = np.concatenate(sets)
             if len(every):
                 seen = True
                 np.add.at(cells, (every % np.uint64(SKETCH_CELLS)).astype(np.int64), np.uint32(1))
-            yield batch(_INFO_ARROW, *[b.column(k).slice(at, len(block)) for k in (0, 1)], n, node, sig, coarse, [None] * len(n), [None] * len(n))
+            yield batch(_INFO_ARROW, *[b.column(k).slice(at, len(block)) for k in (0, 1)], n, node, sig, [None] * len(n), [None] * len(n))
             at += len(block)
     if seen:
         packed = [zlib.compress(c.tobytes(), 1) for c in np.split(cells, SKETCH_PARTS)]
         none = [None] * SKETCH_PARTS
-        yield batch(_INFO_ARROW, none, none, none, none, none, none, range(SKETCH_PARTS), packed)
+        yield batch(_INFO_ARROW, none, none, none, none, none, range(SKETCH_PARTS), packed)
 
 
 _PART, _PART_ARROW = fields("part:int cells:binary")
@@ -145,33 +150,44 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_PART_ARROW, [part], [zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)])
 
 
-def crowding(info: DataFrame) -> np.ndarray:
-    """How full each cell of the sketch is: quarters of a standard deviation from four below the mean up, then by magnitude."""
+@dataclass
+class Crowding:
+    """Of each cell of the sketch, how full it is; of each such level, among how many tasks a shingle's nodes are dealt."""
+
+    level: np.ndarray
+    tasks: np.ndarray
+
+
+def crowding(info: DataFrame) -> Crowding:
+    """Levels are quarters of a standard deviation from four below the mean up, then by magnitude."""
     parts = info.where("part is not null").select("part", "cells").repartition(SKETCH_PARTS // 4, "part")
-    counts = {r["part"]: np.frombuffer(zlib.decompress(r["cells"]), np.uint32) for r in parts.mapInArrow(_summed, _PART).collect()}
-    mean = sum(int(c.sum(dtype=np.uint64)) for c in counts.values()) / SKETCH_CELLS
-    out = np.zeros((SKETCH_PARTS, SKETCH_CELLS // SKETCH_PARTS), np.uint8)
-    for part, c in counts.items():
+    packed = {r["part"]: r["cells"] for r in parts.mapInArrow(_summed, _PART).collect()}
+    counts = lambda part: np.frombuffer(zlib.decompress(packed[part]), np.uint32)  # noqa: E731  one part unpacked at a time
+    mean = sum(int(counts(part).sum(dtype=np.uint64)) for part in packed) / SKETCH_CELLS
+    level, most = np.zeros((SKETCH_PARTS, SKETCH_CELLS // SKETCH_PARTS), np.uint8), np.zeros(256, np.int64)
+    for part in packed:
+        c = counts(part)
         away = (c - mean) / max(1.0, np.sqrt(mean))
-        out[part] = np.clip(np.floor(8 * (np.minimum(away, 12) + 4)) + 8 * np.log2(np.maximum(away, 12) / 12), 0, 255)
-    return out.ravel()
+        level[part] = np.clip(np.floor(8 * (np.minimum(away, 12) + 4)) + 8 * np.log2(np.maximum(away, 12) / 12), 0, 255)
+        np.maximum.at(most, level[part], c.astype(np.int64))
+    return Crowding(level.ravel(), np.maximum(1, -(-most // HOT)))
 
 
 # ---- step 2: keys ----------------------------------------------------------------------------------
 
 _BUCKET, _BUCKET_ARROW = fields("bucket:int entries:binary")
-_ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("band", "u1")])
-_KEYED, _KEYED_ARROW = fields("key:long node:long band:int leader:long other:long")
+_ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("band", "u1"), ("dealt", "u1")])
+_KEYED, _KEYED_ARROW = fields("key:long node:long leader:long other:long dealt:boolean")
 
 
 def _keys(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded, memo = shared.value, Memo(hash64)
         done: set[int] = set()
-        keys, entries, held = [], [], 0
+        places, entries, held = [], [], 0
 
         def packed() -> pa.RecordBatch:
-            parts = list(in_buckets(mixed(np.concatenate(keys)), np.concatenate(entries), buckets))
+            parts = list(in_buckets(np.concatenate(places), np.concatenate(entries), buckets))
             return batch(_BUCKET_ARROW, [p for p, _ in parts], [e for _, e in parts])
 
         for b in batches:
@@ -182,52 +198,60 @@ def _keys(shared, buckets: int):
                     if len(done) > SETS_KEPT:
                         done.clear()
                     done.add(node)
-                    level = crowded[(s % np.uint64(SKETCH_CELLS)).astype(np.int64)]
-                    first = s[np.argsort(level, kind="stable")[: prefix_length(len(s))]]
+                    level = crowded.level[(s % np.uint64(SKETCH_CELLS)).astype(np.int64)]
+                    chosen = np.argsort(level, kind="stable")[: prefix_length(len(s))]
+                    first, tasks = s[chosen], crowded.tasks[level[chosen]]
                     own = np.empty(len(first), _ENTRY)
-                    own["key"], own["node"], own["band"] = first & np.uint64(0xFFFFFFFF), node, band_of(len(s))
-                    keys.append(first)
+                    own["key"], own["node"], own["band"], own["dealt"] = first, node, band_of(len(s)), tasks > 1
+                    places.append(mixed(first) + np.uint64(0x9E3779B97F4A7C15) * (np.uint64(node & MASK) % tasks.astype(np.uint64)))
                     entries.append(own)
                     held += len(first)
                 if held > KEYS_HELD:
                     yield packed()
-                    keys, entries, held = [], [], 0
+                    places, entries, held = [], [], 0
         if held:
             yield packed()
 
     return run
 
 
+def _met_in(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: entries whose key another node has too, each with two leaders, of its band or of the one below."""
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    same = rows["key"][1:] == rows["key"][:-1]
+    rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows["dealt"] > 0)]
+    if not len(rows):
+        return
+    key, node, band, dealt = np.ascontiguousarray(rows["key"]), rows["node"], rows["band"].astype(np.int64), rows["dealt"] > 0
+    order = np.lexsort((node, band, key))
+    key, node, band, dealt = key[order], node[order], band[order], dealt[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (node[1:] != node[:-1])])
+    key, node, band, dealt = key[new], node[new], band[new], dealt[new]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
+    size, least = np.diff(np.append(first, len(key))), node[first]
+    group = np.repeat(np.arange(len(first)), size)
+    below = np.concatenate([[False], (key[first[1:]] == key[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1)])
+    above = np.append(below[1:], False)
+    leader = np.where(below, np.minimum(least, np.concatenate([[0], least[:-1]])), least)
+    other = node[np.append(first[1:], len(key)) - 1]
+    keep = ((size > 1) | below | above)[group] | dealt
+    columns = (key[keep].view(np.int64), node[keep], leader[group][keep], other[group][keep], dealt[keep])
+    for at in range(0, len(columns[0]), 100_000):
+        yield batch(_KEYED_ARROW, *[c[at : at + 100_000] for c in columns])
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries whose key another node of a neighbouring band has too, each with two leaders."""
-    held: dict[int, list[bytes]] = {}
+    """Rows sorted by bucket: one bucket is held at a time."""
+    bucket, held = None, []
     for b in batches:
-        for bucket, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(bucket, []).append(e)
-    while held:
-        bucket, parts = held.popitem()
-        rows = np.concatenate([np.frombuffer(e, _ENTRY) for e in parts])
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        same = rows["key"][1:] == rows["key"][:-1]
-        rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        if not len(rows):
-            continue
-        key, node, band = rows["key"].astype(np.int64), rows["node"], rows["band"].astype(np.int64)
-        order = np.lexsort((node, band, key))
-        key, node, band = key[order], node[order], band[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (node[1:] != node[:-1])])
-        key, node, band = key[new], node[new], band[new]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        size, least = np.diff(np.append(first, len(key))), node[first]
-        below = np.concatenate([[False], (key[first[1:]] == key[first[:-1]]) & (band[first[1:]] == band[first[:-1]] + 1)])
-        above = np.append(below[1:], False)
-        leader = np.where(below, np.minimum(least, np.concatenate([[0], least[:-1]])), least)
-        other = node[np.append(first[1:], len(key)) - 1]
-        keep = ((size > 1) | below | above)[group]
-        columns = ((key + (bucket << 32))[keep], node[keep], band[keep].astype(np.int32), leader[group][keep], other[group][keep])
-        for at in range(0, len(columns[0]), 100_000):
-            yield batch(_KEYED_ARROW, *[c[at : at + 100_000] for c in columns])
+        for own, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if own != bucket and held:
+                yield from _met_in(np.frombuffer(b"".join(held), _ENTRY))
+                held = []
+            bucket = own
+            held.append(e)
+    if held:
+        yield from _met_in(np.frombuffer(b"".join(held), _ENTRY))
 
 
 # ---- step 3: exact verification ---------------------------------------------------------------------
@@ -240,7 +264,8 @@ def _fetched(shared):
         needed, memo = shared.value, Memo(hash64)
         done: set[int] = set()
         for b in batches:
-            wanted = needed[b.column(0).to_numpy()].astype(bool)
+            bit = b.column(0).to_numpy()
+            wanted = (needed[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
             for block in blocks(b.column(1).filter(pa.array(wanted))):
                 sets = {node_of(s): s for s in shingle_sets(block, memo) if len(s)}
                 sets = {n: s for n, s in sets.items() if n not in done}
@@ -270,17 +295,22 @@ def _links(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that link; only the sets of nodes in pairs are made again and moved."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    bits = wanted.select(_need_bit(F.col("doc_id")).alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("on")).toArrow()
+def _sets(wanted: DataFrame, docs: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """node and shingles of at least the nodes of documents ``wanted`` (doc_id), made again from their texts; and what to destroy when they have been read."""
+    bits = wanted.select(_need_bit(F.col("doc_id")).alias("bit")).groupBy(F.floor(F.col("bit") / 32).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("on")).toArrow()
     needed = np.zeros(NEED_BITS // 32, np.uint32)
-    needed[bits["at"].to_numpy().astype(np.int64)] = bits["on"].to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(np.unpackbits(needed.view(np.uint8), bitorder="little"))
-    sets = docs.select(_need_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(_fetched(shared), _SET).dropDuplicates(["node"])
+    needed[bits["at"].to_numpy()] = bits["on"].to_numpy().astype(np.uint32)
+    shared = wanted.sparkSession.sparkContext.broadcast(needed)
+    return docs.select(_need_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(_fetched(shared), _SET).dropDuplicates(["node"]), shared
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str, name: str) -> DataFrame:
+    """Pairs (a, b) of nodes that link, stored; only the sets of nodes in pairs are made again and moved."""
+    sets, shared = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), docs)
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return whole.where(_links("x", "y")).select("a", "b")
+    found = stored(whole.where(_links("x", "y")).select("a", "b"), folder, name)
+    shared.destroy()
+    return found
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -293,54 +323,126 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 _PAIR, _PAIR_ARROW = fields("a:long b:long")
 
 
-def _tile_pairs(rows: pa.Table) -> pa.RecordBatch | None:
-    """Of one tile: pairs of a probe and a member that aren't joined and whose coarse signatures leave a link possible."""
-    probe, node, band, label, n = (rows[c].to_numpy() for c in ("probe", "node", "band", "label", "n"))
-    bits = np.frombuffer(b"".join(rows["coarse"].to_pylist()), np.uint64).reshape(len(rows), -1)
-    members, found = np.flatnonzero(~probe), []
-    for p in np.flatnonzero(probe):
-        near = members[(label[members] != label[p]) & (np.abs(band[members] - band[p]) <= 1)]
-        differing = np.bitwise_count(bits[near] ^ bits[p]).sum(1, dtype=np.int64)
-        near = near[may_link(n[near] + n[p], differing)]
-        found.append(np.stack([np.minimum(node[near], node[p]), np.maximum(node[near], node[p])], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return batch(_PAIR_ARROW, pairs[:, 0].copy(), pairs[:, 1].copy()) if len(pairs) else None
+class Tile:
+    """Nodes of one tile, with their sorted arrays side by side and their signatures by width."""
+
+    def __init__(self, rows: pa.Table):
+        self.asks, self.stays, self.node, self.n = (rows[c].to_numpy() for c in ("asks", "stays", "node", "n"))
+        names, self.label = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        #: The class that each label is in by now.
+        self.joined = np.arange(len(names))
+        self.band = np.array([band_of(n) for n in self.n.tolist()])
+        arrays = rows["shingles"].to_pylist()
+        self.shingles = np.frombuffer(b"".join(arrays), np.uint64)
+        self.ends = np.cumsum([len(x) // 8 for x in arrays])
+        sigs = rows["sig"].to_pylist()
+        self.width = np.array([len(x) for x in sigs])
+        self.places = {int(w): np.flatnonzero(self.stays & (self.width == w)) for w in np.unique(self.width)}
+        self.bits = {w: np.frombuffer(b"".join(sigs[i] for i in at), np.uint64).reshape(len(at), w // 8) for w, at in self.places.items()}
+        self.sigs = sigs
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.shingles[self.ends[i] - self.n[i] : self.ends[i]]
+
+    def candidates(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members in other classes whose signatures leave a link with ``p`` possible, and by how many bits each pair differs."""
+        found, apart = [], []
+        for width, at in self.places.items():
+            use = (np.abs(self.band[at] - self.band[p]) <= 1) & (self.joined[self.label[at]] != self.joined[self.label[p]])
+            if not use.any():
+                continue
+            at, bits, size = at[use], self.bits[width][use], min(width, int(self.width[p]))
+            while bits.shape[1] * 8 > size:
+                half = bits.shape[1] // 2
+                bits = bits[:, :half] ^ bits[:, half:]
+            differing = np.bitwise_count(bits ^ folded(self.sigs[p], size)).sum(1, dtype=np.int64)
+            may = may_link(self.n[at] + self.n[p], differing)
+            found.append(at[may])
+            apart.append(differing[may])
+        return (np.concatenate(found), np.concatenate(apart)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def linked(self, p: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` link with ``p``, by intersecting the sorted arrays."""
+        own, sizes = self.set_of(p), self.n[others]
+        starts = np.cumsum(sizes) - sizes
+        every = self.shingles[np.repeat(self.ends[others] - sizes - starts, sizes) + np.arange(int(sizes.sum()))]
+        hits = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+        both = np.add.reduceat(hits.astype(np.int64), starts)
+        return 100 * both >= PERCENT * (sizes + len(own) - both)
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Links that join all classes that any link of an asking node and a member joins; at most one less than there are nodes."""
+        out = []
+        for p in np.flatnonzero(self.asks):
+            others, apart = self.candidates(p)
+            for hopeful in (True, False):  # the likeliest of each class first: mostly that settles it
+                others, apart = (x[self.joined[self.label[others]] != self.joined[self.label[p]]] for x in (others, apart))
+                if not len(others):
+                    break
+                tried = others
+                if hopeful:
+                    order = np.lexsort((apart, self.joined[self.label[others]]))
+                    tried = others[order][np.unique(self.joined[self.label[others]][order], return_index=True)[1]]
+                for q in tried[self.linked(p, tried)]:
+                    mine, its = self.joined[self.label[p]], self.joined[self.label[q]]
+                    if mine != its:
+                        out.append((int(self.node[p]), int(self.node[q])))
+                        self.joined[self.joined == its] = mine
+        return out
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each tile, of rows sorted by tile."""
-    rest: pa.Table | None = None
+    """A spanning forest of the links in each tile, of rows sorted by tile; one tile is held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        links = Tile(pa.Table.from_batches(held)).forest()
+        if links:
+            yield batch(_PAIR_ARROW, [a for a, _ in links], [b for _, b in links])
+
     for b in batches:
-        table = pa.Table.from_batches([b])
-        if rest is not None:
-            table = pa.concat_tables([rest, table]).combine_chunks()
-        tile = np.stack([table[c].to_numpy() for c in ("key", "row", "col")])
-        starts = np.flatnonzero(np.concatenate([[True], (tile[:, 1:] != tile[:, :-1]).any(0)]))
-        for at, end in zip(starts, starts[1:]):
-            if (out := _tile_pairs(table.slice(at, end - at))) is not None:
-                yield out
-        rest = table.slice(starts[-1])
-    if rest is not None and (out := _tile_pairs(rest)) is not None:
-        yield out
-
-
-def _tiled(keyed: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key, are not joined by ``labels`` and may link."""
-    rows = keyed.select("key", "node", "band").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    key = Window.partitionBy("key")
-    open_ = rows.withColumn("low", F.min("label").over(key)).withColumn("high", F.max("label").over(key)).where("low <> high")
-    open_ = open_.withColumn("alike", F.count("*").over(Window.partitionBy("key", "label")))
-    # every pair with two labels has a side that isn't of the key's commonest label: a probe
-    open_ = open_.withColumn("home", F.max(F.struct("alike", "label")).over(key)["label"]).withColumn("asks", F.col("label") != F.col("home"))
-    open_ = open_.withColumn("all", F.count("*").over(key)).withColumn("asking", F.count(F.when(F.col("asks"), 1)).over(key))
-    open_ = open_.select("key", "node", "band", "label", "asks", F.ceil(F.col("asking") / TILE).cast("int").alias("rows"), F.ceil(F.col("all") / TILE).cast("int").alias("cols"))
+        tile = np.stack([b.column(c).to_numpy() for c in ("block", "row", "col")])
+        new = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(0)) + 1
+        cuts = [0, *new.tolist(), b.num_rows]
+        for k, (at, end) in enumerate(zip(cuts, cuts[1:])):
+            if held and (k or [held[-1].column(c)[-1].as_py() for c in ("block", "row", "col")] != tile[:, 0].tolist()):
+                yield from settled()
+                held = []
+            if end > at:
+                held.append(b.slice(at, end - at))
+    if held:
+        yield from settled()
+
+
+def _open_members(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """block, node, label, asks: the nodes of all keys whose nodes are in several classes, in the block of the class that most are in.
+
+    Any two nodes of such a key meet in its block; if their classes differ,
+    one of them is not of the block's class, and asks. Keys of one group of
+    near copies mostly agree on the block, so a node is in few.
+    """
+    rows = keyed.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("alike"))
+    keys = per.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("alike", "label"))["label"].alias("block")).where("classes > 1")
+    members = rows.join(keys.select("key", "block"), "key").groupBy("block", "node").agg(F.max("label").alias("label"))
+    return members.withColumn("asks", F.col("label") != F.col("block"))
+
+
+def _tiled(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of nodes of one block that are in different classes: enough of them to join all classes that any link joins."""
+    parts = shuffle_partitions(members.sparkSession)
+    sized = members.join(nodes.select("node", "n", "sig"), "node")
+    asking, size = F.when(F.col("asks"), 1), F.col("n") * 8
+    count = lambda rows, bytes_: F.greatest(F.ceil(F.count(rows) / TILE), F.ceil(F.sum(bytes_) / TILE_BYTES), F.lit(1)).cast("int")
+    blocks_ = members.join(nodes.select("node", "n"), "node").groupBy("block").agg(count(asking, F.when(F.col("asks"), size)).alias("rows"), count("node", size).alias("cols"))
     lot = F.xxhash64("node")
-    member = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(F.lit(False).alias("probe"), r.alias("row"), F.pmod(lot, F.col("cols")).cast("int").alias("col")))
-    probe = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: F.struct(F.lit(True).alias("probe"), F.pmod(lot, F.col("rows")).cast("int").alias("row"), c.alias("col")))
-    placed = open_.select("key", "node", "band", "label", F.explode(F.when(F.col("asks"), F.concat(member, probe)).otherwise(member)).alias("t"))
-    placed = placed.join(nodes.select("node", "n", "coarse"), "node").select("key", "t.row", "t.col", "t.probe", "node", "band", "label", "n", "coarse")
-    placed = placed.repartition(shuffle_partitions(keyed.sparkSession), "key", "row", "col").sortWithinPartitions("key", "row", "col")
-    return placed.mapInArrow(_tiles, _PAIR).distinct()
+    row, col = F.pmod(lot, F.col("rows")).cast("int"), F.pmod(lot, F.col("cols")).cast("int")
+    place = lambda r, c, asks, stays: F.struct(r.alias("row"), c.alias("col"), asks.alias("asks"), stays.alias("stays"))
+    stays = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: place(r, col, F.col("asks") & (r == row), F.lit(True)))
+    asks = F.transform(F.filter(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: c != col), lambda c: place(row, c, F.lit(True), F.lit(False)))
+    placed = sized.join(sets, "node").join(blocks_, "block").select("block", "node", "label", "n", "sig", "shingles", F.explode(F.when(F.col("asks"), F.concat(stays, asks)).otherwise(stays)).alias("t"))
+    placed = placed.select("block", "t.*", "node", "label", "n", "sig", "shingles")
+    return placed.repartition(4 * parts, "block", "row", "col").sortWithinPartitions("block", "row", "col").mapInArrow(_tiles, _PAIR)
 
 
 # ---- step 4: components ------------------------------------------------------------------------------
@@ -375,23 +477,31 @@ def _classes(docs: DataFrame, row: Column, doc_id: str, text: str) -> DataFrame:
     folder, parts = shared_dir(spark), shuffle_partitions(spark)
     slim = docs.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     info = stored(slim.mapInArrow(_described, _INFO), folder, "info")
-    crowded = spark.sparkContext.broadcast(crowding(info))
     own = info.where("part is null")
-    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("coarse").alias("coarse"))
+    nodes = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stored(nodes, folder, "nodes")
-    entries = slim.select("text").mapInArrow(_keys(crowded, 4 * parts), _BUCKET).repartition(parts, "bucket")
+    crowded = spark.sparkContext.broadcast(crowding(info))
+    entries = slim.select("text").mapInArrow(_keys(crowded, 4 * parts), _BUCKET).repartition(parts, "bucket").sortWithinPartitions("bucket")
     keyed = stored(entries.mapInArrow(_met, _KEYED), folder, "keyed")
-    votes = keyed.select("node", F.explode(F.array("leader", "other")).alias("a")).where("a <> node").groupBy("node", "a").agg(F.count("*").alias("shared"))
+    crowded.destroy()
+    texts = slim.select("doc_id", "text")
+    leading = keyed.select("node", F.explode(F.array("leader", "other")).alias("a"))
+    # of a key that was dealt to several tasks, the leaders meet too
+    heads = keyed.where("dealt").select("key", F.col("leader").alias("node")).distinct()
+    leading = leading.union(heads.join(heads.groupBy("key").agg(F.min("node").alias("a")), "key").select("node", "a"))
+    votes = leading.where("a <> node").groupBy("node", "a").agg(F.count("*").alias("shared"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("shared"), "a"))
     chosen = votes.withColumn("place", best).where(F.col("place") <= LEADERS).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    first = stored(_verified(stored(_bounded(chosen, nodes), folder, "chosen"), nodes, slim.select("doc_id", "text")), folder, "links1")
+    first = _verified(stored(_bounded(chosen, nodes), folder, "chosen"), nodes, texts, folder, "links1")
     labels = components(first, f"{folder}/first").withColumnRenamed("root", "label")
-    second = stored(_bounded(_tiled(keyed, labels, nodes), nodes), folder, "tiled")
-    second = stored(_verified(second, nodes, slim.select("doc_id", "text")), folder, "links2")
+    members = stored(_open_members(keyed, labels), folder, "members")
+    sets, shared = _sets(members.select("node").distinct().join(nodes, "node"), texts)
+    second = stored(_tiled(members, nodes, sets), folder, "links2")
+    shared.destroy()
     roots = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), f"{folder}/last")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, folder, "rooted")
-    dropped(spark, folder, "nodes", "keyed", "chosen", "links1", "tiled", "links2", "first", "last")
+    dropped(spark, folder, "nodes", "keyed", "chosen", "links1", "members", "links2", "first", "last")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = rooted.join(least, "root").select("node", "root", "component_id")
     rows = own.select("row", "doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
@@ -416,14 +526,14 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     with one id, the first in the table). Rows without shingles all stay.
     ``docs`` must read the same each time, as a Parquet table does.
     """
-    mark = "__row"
-    numbered = docs.withColumn(mark, F.monotonically_increasing_id())
+    folder, mark = shared_dir(docs.sparkSession), unused("row", docs)
+    numbered = stored(docs.withColumn(mark, F.monotonically_increasing_id()), folder, "numbered")
     found = _classes(numbered, F.col(mark), doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     stay = found.where("root is not null").groupBy("root").agg(F.min(order)["row"].alias("stays"))
     gone = found.join(stay, "root").where("row <> stays").select(F.col("row").alias(mark))
     # those that go are fewer than those that stay, and stored their size is known: Spark sends them around while they are few
-    gone = stored(gone, shared_dir(docs.sparkSession), "gone")
+    gone = stored(gone, folder, "gone")
     return numbered.join(gone, mark, "left_anti").drop(mark)
 
 

@@ -82,7 +82,29 @@ def test_ngram_join_of_large_groups(spark):
     assert Counter(map(tuple, got.collect())) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("limits", [{"HOT": 20}, {"TILE": 7}, {"TILE_BYTES": 4096}, {"LEADERS": 0}, {"LEADERS": 0, "TILE": 11, "HOT": 30}])
+def test_ngram_join_deals_large_groups_to_many_tasks(spark, monkeypatch, limits):
+    """A shingle's nodes in several buckets, a block in several tiles, no leaders: the classes stay the same."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for group in range(3):
+        base = rng.choice(words, 40).tolist()
+        for i in range(50):
+            text = list(base)
+            for at in rng.choice(40, rng.integers(0, 3), replace=False):
+                text[at] = str(rng.choice(words))
+            rows.append((100 * group + i, " ".join(text[: 40 - int(rng.integers(0, 8))])))
+    got = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_classes(rows)
+
+
 def test_one_of_each(spark, edges):
+    for name in ("row", "_row", "node"):
+        marked = edges.withColumn(name, F.lit("mine"))
+        assert {r[name] for r in ngram_join.one_of_each(marked).collect()} == {"mine"}
     kept = ngram_join.one_of_each(edges)
     assert kept.columns == edges.columns
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 10, 11]
@@ -96,7 +118,7 @@ def test_bounds_are_bounds():
         b = [x if rng.random() > 0.1 else "y" for x in a]
         x, y = ngram_join.shingle_sets([" ".join(a).encode(), " ".join(b).encode()], memo)
         apart = len(np.setxor1d(x, y))
-        for bits in (None, ngram_join.TILE_BITS):
+        for bits in (None, 512):
             s, t = ngram_join.signature(x, bits), ngram_join.signature(y, bits)
             size = min(len(s), len(t))
             seen = int(np.bitwise_count(ngram_join.folded(s, size) ^ ngram_join.folded(t, size)).sum())
