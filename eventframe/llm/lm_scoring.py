@@ -1,20 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts every word and every pair of adjacent words exactly, in
-tables that grow with the corpus; words and pairs are told apart by 64-bit
-hashes. Counts of pairs are quantised to powers of the square root of two and
-held in Bloom filters that have one entry per n-gram and step: the steps are
-probed upwards until one is missing, which gives the count back. The filter is
-cut into buckets by the pairs' hashes, each built by one task and sized by its
-own entries. Nothing that grows is broadcast: texts send their pairs to the
-buckets, in packed rows, and get sums back.
-
-Probabilities are Kneser-Ney-like interpolations: with total and kinds of the
-history's pairs, (max(count - D, 0) + D kinds low) / total, where low is the
-word's own exact share. Without the first summand the logarithm is a sum of
-one term of each word, so only pairs that the filter holds need more than
-words. Terms of the most frequent words and counts of the most frequent pairs
-are broadcast, which keeps heavy keys out of the shuffle and bounds the size.
+Training counts every word and every pair of adjacent words exactly; words and
+pairs are told apart by 64-bit hashes. Counts of pairs are quantised to powers
+of the square root of two and held in Bloom filters that have one entry per
+pair and step: the steps are probed upwards until one is missing, which gives
+the count back. The filter is cut into buckets, each built by one task and
+sized by its own entries, so it grows with the corpus and nothing that grows
+is broadcast: texts send their pairs to the buckets, in packed rows, and get
+sums back.
+
+Probabilities are smoothed by a Dirichlet prior: a word b after a has
+(count(a b) + PRIOR share(b)) / (count(a) + PRIOR). The logarithm is a sum of
+a term of b alone, a term of a alone and, for pairs that the filter holds,
+log(1 + count(a b) / (PRIOR share(b))). Terms of the most frequent words, and
+counts of the most frequent pairs, are broadcast, which keeps heavy keys out of
+the shuffle. A pair goes to the bucket of its second word if that one isn't
+broadcast, where its exact count is, and else to the bucket of the pair.
 """
 
 from __future__ import annotations
@@ -31,19 +32,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Memo, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
+from .common import batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
 
 #: Words, and pairs of them, whose exact counts are broadcast; those of rarer ones are looked up in the buckets.
 FREQUENT = 1 << 19
+#: Counts from which on a pair may be broadcast; rarer ones are in the filter alone.
+LEAST_PAIR = 4
 #: Bits per entry and probes per entry of the filter; blocks are a power of two of 64-bit words.
 BITS_PER_ENTRY, PROBES = 10, 6
 BLOCK_WORDS = 1 << 12
-#: Share of a pair's count that goes to the shorter history.
-DISCOUNT = 0.75
+#: How many tokens after a word the shares of words are worth beside the counts of its pairs.
+PRIOR = 16.0
 #: Pending pairs that a training task holds before it counts them together.
 PENDING = 4_000_000
 #: Pairs that a scoring task holds before it sends them.
 SENT = 1_000_000
+#: Different words that a worker knows before it starts afresh.
+WORDS_KEPT = 300_000
 #: Stand for the end of a text, and for what is before its first word; no word can hold a space.
 END, START = b" end", b" start"
 BASE = 2.0**0.5
@@ -76,6 +81,13 @@ class LogFrequencyFilter:
         """Bit numbers inside a block."""
         return mixed(keys + np.uint64(0x9E3779B97F4A7C15) * (step.astype(np.uint64) * np.uint64(31) + np.uint64(k + 1))) & np.uint64(64 * BLOCK_WORDS - 1)
 
+    @classmethod
+    def of(cls, bits: bytes) -> LogFrequencyFilter:
+        out = cls(0)
+        out.words = np.frombuffer(bits, np.uint64)
+        out.n_blocks = len(out.words) // BLOCK_WORDS
+        return out
+
     def block_of(self, keys: np.ndarray) -> np.ndarray:
         return (mixed(keys) % np.uint64(self.n_blocks)).astype(np.int64)
 
@@ -106,12 +118,11 @@ class LogFrequencyFilter:
 class Model:
     """What is broadcast; its size depends on the parameters alone."""
 
-    words: np.ndarray  # hashes of frequent words and of START, ascending
+    words: np.ndarray  # hashes of frequent words, of START and of END, ascending
     low: np.ndarray  # log10 of their shares
-    spread: np.ndarray  # DISCOUNT times the number of kinds of pairs that they begin, 0 for none
-    rest: np.ndarray  # log10 of what the history leaves to low: spread over total, 0 where no pair begins so
-    pairs: np.ndarray  # keys of frequent pairs of such words, ascending
-    held: np.ndarray  # their quantised counts less DISCOUNT
+    rest: np.ndarray  # log10 of what a history leaves to shares: PRIOR over its count and PRIOR
+    pairs: np.ndarray  # keys of frequent pairs, ascending
+    held: np.ndarray  # their quantised counts
     total: int  # training tokens
     distinct: int
     buckets: int
@@ -121,11 +132,6 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return combined([before, after], 2)
 
 
-def attribute_keys(keys: np.ndarray, kind: int) -> np.ndarray:
-    """Keys of what the filter holds of a pair besides its count: 1, its last word's count; 2, its first word's number of kinds."""
-    return combined([keys], 2 + kind)
-
-
 def place_of(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Where each key stands in ascending ones, or -1."""
     if not len(sorted_keys):
@@ -134,20 +140,78 @@ def place_of(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+class Reader:
+    """Texts to hashes of their tokens, and where each stands among frequent words; remembers words."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent, self.number = frequent, {}
+        self.hashes, self.places = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and place (-1: not frequent) of each token, and the number of tokens of each text."""
+        if len(self.number) > WORDS_KEPT:
+            self.number.clear()
+        number, words = self.number, [tokens_of(t) for t in texts]
+        every = [w for ws in words for w in ws]
+        known = len(number)
+        new = [w for w in dict.fromkeys(every) if w not in number]
+        number.update(zip(new, range(known, known + len(new))))
+        while len(self.hashes) < len(number):
+            self.hashes, self.places = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.places))
+        self.hashes[known : len(number)] = np.fromiter(map(hash64, new), np.uint64, len(new))
+        self.places[known : len(number)] = place_of(self.frequent, self.hashes[known : len(number)])
+        ids = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        return self.hashes[ids], self.places[ids], np.array([len(ws) for ws in words], np.int64)
+
+
 _BUCKET, _BUCKET_ARROW = fields("bucket:int entries:binary")
 _COUNT, _COUNT_ARROW = fields("word:long count:long")
-_ENTRY = np.dtype([("key", "<u8"), ("count", "<u8")])
 
 
-def _entries(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.empty(len(keys), _ENTRY)
-    out["key"], out["count"] = keys, counts
-    return out
+def packed_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys with counts as bytes; a count of 1 takes no room."""
+    one = counts == 1
+    return np.array([one.sum()], np.uint64).tobytes() + keys[one].tobytes() + keys[~one].tobytes() + counts[~one].astype(np.uint64).tobytes()
+
+
+def unpacked_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(packed, np.uint64)
+    ones = int(numbers[0])
+    more = (len(numbers) - 1 - ones) // 2
+    return numbers[1 : 1 + ones + more], np.concatenate([np.ones(ones, np.uint64), numbers[1 + ones + more :]])
+
+
+def _added(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal keys added up."""
+    parts = [unpacked_counts(p) for p in packed]
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _buckets(places: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Keys with counts, dealt to buckets by ``places``."""
+    rows = np.stack([keys, counts.astype(np.uint64)], 1)
+    parts = [(b, np.frombuffer(e, np.uint64).reshape(-1, 2)) for b, e in in_buckets(places, rows, buckets)]
+    return batch(_BUCKET_ARROW, [b for b, _ in parts], [packed_counts(e[:, 0], e[:, 1]) for _, e in parts])
 
 
-def _buckets(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    parts = list(in_buckets(mixed(keys), _entries(keys, counts), buckets))
-    return batch(_BUCKET_ARROW, [b for b, _ in parts], [e for _, e in parts])
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """bucket, keys and counts, of rows sorted by bucket; one bucket is held at a time."""
+    bucket, held = None, []
+    for b in batches:
+        for own, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if own != bucket and held:
+                yield bucket, *_added(held)
+                held = []
+            bucket = own
+            held.append(e)
+            if len(held) >= 64:  # what was added up takes no more room than its distinct keys
+                held = [packed_counts(*_added(held))]
+    if held:
+        yield bucket, *_added(held)
 
 
 def _word_counts(buckets: int, most: int = 600_000):
@@ -156,7 +220,7 @@ def _word_counts(buckets: int, most: int = 600_000):
 
         def packed() -> pa.RecordBatch:
             keys = np.fromiter(map(hash64, counter), np.uint64, len(counter))
-            return _buckets(keys, np.fromiter(counter.values(), np.uint64, len(counter)), buckets)
+            return _buckets(mixed(keys), keys, np.fromiter(counter.values(), np.uint64, len(counter)), buckets)
 
         for b in batches:
             for block in blocks(b.column(0)):
@@ -172,36 +236,16 @@ def _word_counts(buckets: int, most: int = 600_000):
     return run
 
 
-def _added(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal keys added up."""
-    rows = np.concatenate([np.frombuffer(e, _ENTRY) for e in entries]) if entries else np.zeros(0, _ENTRY)
-    rows = rows[np.argsort(rows["key"], kind="stable")]
-    first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]])) if len(rows) else np.zeros(0, np.int64)
-    return rows["key"][first], np.add.reduceat(rows["count"], first) if len(rows) else rows["count"]
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {}
-    for b in batches:
-        for bucket, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(bucket, []).append(e)
-            if len(held[bucket]) >= 64:  # what was added up takes no more room than its distinct keys
-                held[bucket] = [_entries(*_added(held[bucket])).tobytes()]
-    for e in held.values():
-        keys, counts = _added(e)
+    for _, keys, counts in _by_bucket(batches):
         for at in range(0, len(keys), 100_000):
             yield batch(_COUNT_ARROW, keys[at : at + 100_000].view(np.int64), counts[at : at + 100_000].astype(np.int64))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """Exact counts of all tokens of a one-column frame, by 64-bit hash: word, count."""
-    buckets = 4 * shuffle_partitions(texts.sparkSession)
-    counted = texts.mapInArrow(_word_counts(buckets), _BUCKET)
-    return counted.repartition(shuffle_partitions(texts.sparkSession), "bucket").mapInArrow(_merged, _COUNT)
-
-
-_PAIR = np.dtype([("before", "<u8"), ("after", "<u8"), ("count", "<u8")])
-_PAIRS, _PAIRS_ARROW = fields("key:long before:long after:long count:long rare_before:boolean")
+    parts = shuffle_partitions(texts.sparkSession)
+    return texts.mapInArrow(_word_counts(4 * parts), _BUCKET).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, _COUNT)
 
 
 def _histories(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -212,66 +256,58 @@ def _histories(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
-def _packed_pairs(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    parts = list(in_buckets(mixed(pair_keys(rows["before"], rows["after"])), rows, buckets))
-    return batch(_BUCKET_ARROW, [b for b, _ in parts], [e for _, e in parts])
+def _pair_places(keys: np.ndarray, after: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What deals pairs to buckets: the second word if it isn't frequent, else the pair."""
+    return mixed(np.where(place < 0, after, keys))
 
 
-def _added_pairs(rows: np.ndarray) -> np.ndarray:
-    """Counts of equal pairs added up."""
-    keys = pair_keys(rows["before"], rows["after"])
-    order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    out = rows[first]
-    if len(rows):
-        out["count"] = np.add.reduceat(rows["count"], first)
-    return out
-
-
-def _pair_counts(buckets: int):
+def _pair_counts(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(hash64)
+        reader = Reader(shared.value)
         pending, held = [], 0
+
+        def packed() -> pa.RecordBatch:
+            keys, places = (np.concatenate(x) for x in zip(*pending))
+            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            return _buckets(places[first], keys, counts, buckets)
+
         for b in batches:
             for block in blocks(b.column(0)):
-                texts = [tokens_of(t) for t in block]
-                own = np.fromiter(map(memo.__getitem__, [w for t in texts for w in t]), np.uint64)
-                rows = np.ones(len(own), _PAIR)
-                rows["before"], rows["after"] = _histories(own, np.array([len(t) for t in texts])), own
-                pending.append(_added_pairs(rows))
-                held += len(pending[-1])
+                after, place, lengths = reader.read(block)
+                keys = pair_keys(_histories(after, lengths), after)
+                pending.append((keys, _pair_places(keys, after, place)))
+                held += len(keys)
                 if held >= PENDING:
-                    yield _packed_pairs(_added_pairs(np.concatenate(pending)), buckets)
+                    yield packed()
                     pending, held = [], 0
         if held:
-            yield _packed_pairs(_added_pairs(np.concatenate(pending)), buckets)
+            yield packed()
 
     return run
 
 
-def _merged_pairs(shared):
-    """Counts added up; ``after`` is null where it is a frequent word."""
+_PAIRS, _PAIRS_ARROW = fields("bucket:int bits:binary key:long count:long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, held = shared.value, {}
-        for b in batches:
-            for bucket, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(e)
-                if len(held[bucket]) >= 64:
-                    held[bucket] = [_added_pairs(np.frombuffer(b"".join(held[bucket]), _PAIR)).tobytes()]
-        while held:
-            rows = _added_pairs(np.frombuffer(b"".join(held.popitem()[1]), _PAIR))
-            for at in range(0, len(rows), 100_000):
-                r = rows[at : at + 100_000]
-                before, after = (np.ascontiguousarray(r[c]) for c in ("before", "after"))
-                after_known = place_of(frequent, after) >= 0
-                yield batch(_PAIRS_ARROW, pair_keys(before, after).view(np.int64), before.view(np.int64), pa.array(after.view(np.int64), mask=after_known), r["count"].astype(np.int64), place_of(frequent, before) < 0)
 
-    return run
+def _merged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: its filter, in one row, and its pairs that may be frequent."""
+    for bucket, keys, counts in _by_bucket(batches):
+        yield batch(_PAIRS_ARROW, [bucket], [filter_of(keys, counts).words.tobytes()], [None], [None])
+        keys, counts = keys[counts >= LEAST_PAIR], counts[counts >= LEAST_PAIR]
+        for at in range(0, len(keys), 100_000):
+            n = len(keys[at : at + 100_000])
+            yield batch(_PAIRS_ARROW, [bucket] * n, pa.nulls(n, pa.binary()), keys[at : at + 100_000].view(np.int64), counts[at : at + 100_000].astype(np.int64))
 
 
-def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[Column, pa.Table]:
+def filter_of(keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
+    """A filter of keys with counts, as large as they need."""
+    steps = steps_of(counts)
+    out = LogFrequencyFilter(max(1, -(-int(steps.sum()) * BITS_PER_ENTRY // (64 * BLOCK_WORDS))))
+    out.insert(keys, steps)
+    return out
+
+
+def frequent_rows(counts: DataFrame, most: int) -> tuple[Column, pa.Table]:
     """The most frequent rows, ``most`` at the utmost: those from a step of the count on. Also the condition that tells them.
 
     Steps are 256 to a power of two, so their table is bounded; the step is
@@ -296,8 +332,8 @@ def _hashes(column) -> np.ndarray:
 class Tables:
     """What grows with the corpus, as stored tables."""
 
-    words: DataFrame  # of words that are not frequent: word, count, kinds, total
-    pairs: DataFrame  # of all pairs: key, before, after, count, rare_before
+    words: DataFrame  # of words that are not frequent: word, count
+    filters: DataFrame  # bucket, bits
 
 
 def trained(texts: DataFrame) -> tuple[Model, Tables]:
@@ -305,41 +341,31 @@ def trained(texts: DataFrame) -> tuple[Model, Tables]:
     spark = texts.sparkSession
     folder, parts = shared_dir(spark), shuffle_partitions(spark)
     counts = stored(word_counts(texts), folder, "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    is_frequent, top = frequent_words(counts)
-    words = np.unique(np.append(_hashes(top["word"]), np.uint64(hash64(START))))
+    end = F.col("word") == int(np.uint64(hash64(END)).astype(np.int64))
+    total, distinct, n_texts = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(end, F.col("count"))), F.lit(0))).first()
+    is_frequent, top = frequent_rows(counts.where(~end), FREQUENT)
+    marks = np.array([hash64(START), hash64(END)], np.uint64)
+    words, count = np.append(_hashes(top["word"]), marks), np.append(top["count"].to_numpy().astype(np.float64), [0.0, n_texts])
+    after = np.append(count[:-2], [n_texts, 0.0])  # how often each is a history
+    order = np.argsort(words)
+    words, count, after = words[order], count[order], after[order]
     shared = spark.sparkContext.broadcast(words)
-    packed = texts.mapInArrow(_pair_counts(4 * parts), _BUCKET).repartition(parts, "bucket")
-    pairs = stored(packed.mapInArrow(_merged_pairs(shared), _PAIRS), folder, "pairs")
-    step = 1 + F.floor(F.log(F.col("count").cast("double")) / float(np.log(BASE)) + 1e-9)
-    held = F.when(step == 1, F.lit(1.0)).otherwise(F.pow(F.lit(BASE), step - 0.5))
-    histories = pairs.groupBy(F.col("before").alias("word")).agg(F.count("*").alias("kinds"), F.sum(held).alias("total"))
-    start = int(np.uint64(hash64(START)).astype(np.int64))
-    every = counts.join(histories, "word", "full").select("word", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("kinds", F.lit(0)).alias("kinds"), F.coalesce("total", F.lit(0.0)).alias("total"))
-    every = stored(every, folder, "words")
-    chosen = (F.col("word") == start) | ((F.col("count") > 0) & is_frequent)
-    found = every.where(chosen).toArrow()
-    order = np.argsort(_hashes(found["word"]))
-    count, kinds, sums = (found[c].to_numpy()[order].astype(np.float64) for c in ("count", "kinds", "total"))
-    _, common = frequent_words(pairs.where("after is null and not rare_before").select("key", "count"))
+    packed = texts.mapInArrow(_pair_counts(shared, parts), _BUCKET).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    pairs = stored(packed.mapInArrow(_merged_pairs, _PAIRS), folder, "pairs")
+    shared.destroy()
+    _, common = frequent_rows(pairs.where("key is not null").select("key", "count"), FREQUENT)
     keys = np.argsort(_hashes(common["key"]))
     model = Model(
-        _hashes(found["word"])[order], np.log10(count + 0.5) - np.log10(total + 0.5 * (distinct + 1)), DISCOUNT * kinds,
-        np.log10(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(sums, 1.0), 1.0)), _hashes(common["key"])[keys],
-        count_of(steps_of(common["count"].to_numpy().astype(np.int64)[keys])) - DISCOUNT, int(total), int(distinct), parts,
+        words, np.log10(count + 0.5) - np.log10(total + 0.5 * (distinct + 1)), np.log10(PRIOR / (after + PRIOR)).astype(np.float32), _hashes(common["key"])[keys],
+        count_of(steps_of(common["count"].to_numpy().astype(np.int64)[keys])).astype(np.float32), int(total), int(distinct), parts,
     )
-    dropped(spark, folder, "counts")
-    return model, Tables(every.where(~chosen), pairs)
+    return model, Tables(counts.where(~end & ~is_frequent), pairs.where("bits is not null").select("bucket", "bits"))
 
 
-#: What goes to a bucket, in this order: entries of its filter, its rare words, pairs to look up, rare words to look up, texts' own sums.
-ENTRIES, WORDS, PAIRS, RARE, TEXT = range(5)
-_WORD = np.dtype([("word", "<u8"), ("count", "<u8"), ("rest", "<f8")])
-#: ``doc``: place after the row's first text, and 1 for a last word that isn't frequent, 2 for a first word.
-_PROBE = np.dtype([("key", "<u8"), ("known", "<f4"), ("doc", "<u4")])
-_LOOKUP = np.dtype([("word", "<u8"), ("doc", "<u4")])
-_SENT, _SENT_ARROW = fields("bucket:int kind:int first:long payload:binary n_tokens:long n_known:long base:double own:double")
-_SUMS, _SUMS_ARROW = fields("uid:long n_tokens:long n_known:long base:double own:double")
+#: What goes to a bucket, in this order: its filter, its rare words, pairs whose second word is frequent, rare words with the pairs that they end, texts' own sums.
+BITS, WORDS, PAIRS, RARE, TEXT = range(5)
+_SENT, _SENT_ARROW = fields("bucket:int kind:int first:long uid:long payload:binary n_tokens:long n_known:long base:double own:double")
+_SUMS, _SUMS_ARROW = fields("first:long uid:long payload:binary n_tokens:long n_known:long base:double own:double")
 
 
 def _row(schema: pa.Schema, n: int, extra: pa.Field, **columns) -> pa.RecordBatch:
@@ -353,16 +379,34 @@ def _packed(kind: int, parts: list[tuple[int, bytes]], extra: pa.Field, first: i
     return _row(_SENT_ARROW, n, extra, bucket=[b for b, _ in parts], kind=[kind] * n, first=[first] * n, payload=[e for _, e in parts])
 
 
-def _sent_entries(buckets: int, extra: pa.Field):
-    """(key, count, tag) to entries of the filter; their bucket is that of the pair."""
+def _columns(rows: np.ndarray) -> bytes:
+    """A structured array column by column, which compresses better."""
+    return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
 
+
+def _split(payload: bytes, kind: np.dtype) -> dict[str, np.ndarray]:
+    n, at, out = len(payload) // kind.itemsize, 0, {}
+    for name in kind.names:
+        out[name] = np.frombuffer(payload, kind[name], n, at)
+        at += n * kind[name].itemsize
+    return out
+
+
+_WORD = np.dtype([("word", "<u8"), ("count", "<u8")])
+#: ``doc``: place after the first text of the row's batch; ``x``: PRIOR times the share of the pair's second word.
+_PAIR = np.dtype([("key", "<u8"), ("x", "<f4"), ("doc", "<u4")])
+_LOOKUP = np.dtype([("key", "<u8"), ("word", "<u8"), ("doc", "<u4")])
+_SUM = np.dtype([("doc", "<u4"), ("known", "<u4"), ("base", "<f8"), ("own", "<f8")])
+
+
+def _dealt(rows: np.ndarray, places: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    return [(b, _columns(np.frombuffer(e, rows.dtype))) for b, e in in_buckets(places, rows, buckets)]
+
+
+def _sent_filters(extra: pa.Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pair, tag = _hashes(b.column(0)), b.column(2).to_numpy()
-            key = pair.copy()
-            for t in (1, 2):
-                key[tag == t] = attribute_keys(pair[tag == t], t)
-            yield _packed(ENTRIES, list(in_buckets(mixed(pair), _entries(key, b.column(1).to_numpy().astype(np.uint64)), buckets)), extra)
+            yield _row(_SENT_ARROW, b.num_rows, extra, bucket=b.column(0), kind=[BITS] * b.num_rows, payload=b.column(1))
 
     return run
 
@@ -371,10 +415,8 @@ def _sent_words(buckets: int, extra: pa.Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.zeros(b.num_rows, _WORD)
-            kinds, sums = (b.column(i).to_numpy().astype(np.float64) for i in (2, 3))
             rows["word"], rows["count"] = _hashes(b.column(0)), b.column(1).to_numpy()
-            rows["rest"] = np.log10(np.where(kinds > 0, DISCOUNT * kinds / np.maximum(sums, 1.0), 1.0))
-            yield _packed(WORDS, list(in_buckets(mixed(rows["word"]), rows, buckets)), extra)
+            yield _packed(WORDS, _dealt(rows, mixed(_hashes(b.column(0))), buckets), extra)
 
     return run
 
@@ -384,8 +426,8 @@ def _sent_texts(shared, extra: pa.Field):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        memo = Memo(hash64)
-        log_all = np.log10(m.total + 0.5 * (m.distinct + 1))
+        reader = Reader(m.words)
+        start = place_of(m.words, np.array([hash64(START)], np.uint64))[0]
         for b in batches:
             uids, first = b.column(0).to_numpy(), int(b.column(0)[0].as_py()) if b.num_rows else 0
             probes, lookups, waiting, at = [], [], 0, 0
@@ -394,40 +436,34 @@ def _sent_texts(shared, extra: pa.Field):
                 for kind, rows, key in ((PAIRS, probes, "key"), (RARE, lookups, "word")):
                     if rows:
                         whole = np.concatenate(rows)
-                        yield _packed(kind, list(in_buckets(mixed(np.ascontiguousarray(whole[key])), whole, m.buckets)), extra, first)
+                        yield _packed(kind, _dealt(whole, mixed(np.ascontiguousarray(whole[key])), m.buckets), extra, first)
                         rows.clear()
 
             for block in blocks(b.column(2)):
-                tokens = [tokens_of(t) for t in block]
-                lengths = np.array([len(t) for t in tokens])
-                own = np.fromiter(map(memo.__getitem__, [w for t in tokens for w in t]), np.uint64)
-                before = _histories(own, lengths)
-                place, back = place_of(m.words, own), np.zeros(len(own), np.int64)
-                back[1:] = place[:-1]
+                own, place, lengths = reader.read(block)
                 starts = np.cumsum(lengths) - lengths
-                back[starts] = place_of(m.words, before[starts[:1]])[0] if len(starts) else -1
-                known, led = place >= 0, back >= 0
-                low, spread = np.where(known, m.low[place], 0.0), np.where(led, m.spread[back], 1.0)
-                logs = low + np.where(led, m.rest[back], 0.0)
-                seen = np.flatnonzero(spread > 0)  # after a word that began no pair there is none to find
-                keys = pair_keys(before[seen], own[seen])
-                x = np.where(known[seen], 10.0 ** low[seen], 1.0) * spread[seen]
-                hit = place_of(m.pairs, keys)
+                back = np.empty_like(place)
+                back[1:] = place[:-1]
+                back[starts] = start
+                known = place >= 0
+                low = np.where(known, m.low[place], 0.0)
+                logs = low + np.where(back >= 0, m.rest[back], 0.0)
+                keys = pair_keys(_histories(own, lengths), own)
+                hit = np.full(len(own), -1)
+                hit[known] = place_of(m.pairs, keys[known])
                 there = hit >= 0
-                logs[seen[there]] += np.log10(1 + m.held[hit[there]] / x[there])
+                logs[there] += np.log10(1 + m.held[hit[there]] / (PRIOR * 10.0 ** low[there]))
                 docs = np.repeat((uids[at : at + len(block)] - first).astype(np.uint32), lengths)
-                probe = np.empty(int((~there).sum()), _PROBE)
-                probe["key"], probe["known"] = keys[~there], x[~there]
-                left = seen[~there]
-                probe["doc"] = docs[left] * 4 + ~known[left] + 2 * ~led[left]
-                lookup = np.empty(int((~known).sum()), _LOOKUP)
-                lookup["word"], lookup["doc"] = own[~known], docs[~known]
+                left, rare = known & ~there, ~known
+                probe, lookup = np.empty(int(left.sum()), _PAIR), np.empty(int(rare.sum()), _LOOKUP)
+                probe["key"], probe["x"], probe["doc"] = keys[left], PRIOR * 10.0 ** low[left], docs[left]
+                lookup["key"], lookup["word"], lookup["doc"] = keys[rare], own[rare], docs[rare]
                 probes.append(probe)
                 lookups.append(lookup)
                 n = len(block)
                 sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), low, logs)]
                 mine = uids[at : at + n]
-                columns = dict(bucket=(mine % m.buckets).astype(np.int32), kind=[TEXT] * n, first=mine, n_tokens=lengths, n_known=sums[0], base=sums[1], own=sums[2])
+                columns = dict(bucket=(mine % m.buckets).astype(np.int32), kind=[TEXT] * n, first=[first] * n, uid=mine, n_tokens=lengths, n_known=sums[0], base=sums[1], own=sums[2])
                 yield _row(_SENT_ARROW, n, extra, **columns, doc_id=b.column(1).slice(at, n))
                 at += n
                 waiting += len(probe) + len(lookup)
@@ -439,64 +475,109 @@ def _sent_texts(shared, extra: pa.Field):
     return run
 
 
-def filter_of(entries: np.ndarray) -> LogFrequencyFilter:
-    """A filter of (key, count) entries, as large as they need."""
-    steps = steps_of(entries["count"])
-    out = LogFrequencyFilter(max(1, -(-int(steps.sum()) * BITS_PER_ENTRY // (64 * BLOCK_WORDS))))
-    out.insert(np.ascontiguousarray(entries["key"]), steps)
-    return out
+class Bucket:
+    """One bucket's filter and rare words, and what they tell of texts."""
+
+    def __init__(self, log_all: float):
+        self.log_all, self.filter, self.parts, self.words = log_all, LogFrequencyFilter(1), [], None
+
+    def rare(self, words: np.ndarray) -> np.ndarray:
+        """Exact counts."""
+        if self.words is None:
+            parts = [_split(p, _WORD) for p in self.parts]
+            words_, counts = (np.concatenate([np.zeros(0, np.uint64), *[p[c] for p in parts]]) for c in ("word", "count"))
+            order = np.argsort(words_)
+            self.words, self.counts, self.parts = words_[order], counts[order].astype(np.float64), []
+        place = place_of(self.words, words)
+        return np.where(place >= 0, self.counts[place], 0.0) if len(self.words) else np.zeros(len(words))
 
+    def pairs(self, payload: bytes) -> np.ndarray:
+        rows = _split(payload, _PAIR)
+        gain = np.log10(1 + count_of(self.filter.steps(rows["key"])) / rows["x"].astype(np.float64))
+        return self._sums(rows["doc"], np.zeros(len(gain)), np.zeros(len(gain)), gain)
 
-def _gained(bloom: LogFrequencyFilter, probes: np.ndarray, log_all: float) -> np.ndarray:
-    """log10 by which each pair's probability exceeds that of an unseen one."""
-    keys, x, flags = np.ascontiguousarray(probes["key"]), probes["known"].astype(np.float64), probes["doc"] & 3
-    held = np.maximum(count_of(bloom.steps(keys)) - DISCOUNT, 0.0)
-    for kind in (1, 2):
-        at = np.flatnonzero((held > 0) & (flags & kind > 0))
-        value = count_of(bloom.steps(attribute_keys(keys[at], kind)))
-        x[at] *= (value + 0.5) / 10**log_all if kind == 1 else DISCOUNT * value
-        held[at[value == 0]] = 0.0  # a seen pair has both: this one is a chance hit of the filter
-    return np.log10(1 + held / np.where(x > 0, x, 1.0))
+    def lookups(self, payload: bytes) -> np.ndarray:
+        rows = _split(payload, _LOOKUP)
+        count = self.rare(rows["word"])
+        base = np.log10(count + 0.5) - self.log_all
+        held = np.where(count > 0, count_of(self.filter.steps(rows["key"])), 0.0)  # an unseen word has no pairs: any is a chance hit
+        own = base + np.log10(1 + held / (PRIOR * 10.0**base)) + np.log10(PRIOR / (count + PRIOR))  # the word is the next token's history too
+        return self._sums(rows["doc"], count > 0, base, own)
+
+    @staticmethod
+    def _sums(doc: np.ndarray, known: np.ndarray, base: np.ndarray, own: np.ndarray) -> np.ndarray:
+        there = (own != 0) | (base != 0)
+        at, back = np.unique(doc[there], return_inverse=True)
+        out = np.empty(len(at), _SUM)
+        out["doc"] = at
+        for name, x in (("known", known), ("base", base), ("own", own)):
+            out[name] = np.bincount(back, x[there], len(at))
+        return out
 
 
 def _looked_up(log_all: float, extra: pa.Field):
-    def sums(uids: np.ndarray, **columns) -> pa.RecordBatch:
-        return _row(_SUMS_ARROW, len(uids), extra, uid=uids, **columns)
+    """Rows sorted by bucket and kind, to sums of texts: packed ones by batch of texts, and the texts' own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts, bloom, words = None, {ENTRIES: [], WORDS: []}, None, None
+        at, held = None, Bucket(log_all)
         for b in batches:
             texts = b.filter(pa.compute.equal(b.column(1), TEXT))
             if texts.num_rows:
-                yield pa.RecordBatch.from_arrays([texts.column(i) for i in (2, 4, 5, 6, 7, 8)], schema=_SUMS_ARROW.append(extra))
-            for own, kind, first, payload in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if own != bucket:
-                    bucket, parts, bloom, words = own, {ENTRIES: [], WORDS: []}, None, None
-                if kind in parts:
-                    parts[kind].append(payload)
-                elif kind == PAIRS:
-                    if bloom is None:
-                        bloom = filter_of(np.frombuffer(b"".join(parts.pop(ENTRIES)), _ENTRY))
-                        parts[ENTRIES] = []
-                    rows = np.frombuffer(payload, _PROBE)
-                    gain = _gained(bloom, rows, log_all)
-                    at, back = np.unique(rows["doc"][gain > 0] >> 2, return_inverse=True)
-                    if len(at):
-                        yield sums(first + at.astype(np.int64), own=np.bincount(back, gain[gain > 0], len(at)))
-                elif kind == RARE:
-                    if words is None:
-                        words = np.sort(np.frombuffer(b"".join(parts.pop(WORDS)), _WORD), order="word")
-                        words, parts[WORDS] = (np.ascontiguousarray(words["word"]), words), []
-                    rows = np.frombuffer(payload, _LOOKUP)
-                    place = place_of(words[0], np.ascontiguousarray(rows["word"]))
-                    there = place >= 0
-                    log, rest = np.full(len(rows), np.log10(0.5) - log_all), np.zeros(len(rows))
-                    log[there] = np.log10(words[1]["count"][place[there]] + 0.5) - log_all
-                    rest[there] = words[1]["rest"][place[there]]
-                    at, back = np.unique(rows["doc"], return_inverse=True)
-                    base = np.bincount(back, log, len(at))
-                    known = np.bincount(back, there, len(at)).astype(np.int64)
-                    yield sums(first + at.astype(np.int64), n_known=known, base=base, own=base + np.bincount(back, rest, len(at)))
+                yield _row(_SUMS_ARROW, texts.num_rows, extra, **{c: texts.column(c) for c in ("first", "uid", "n_tokens", "n_known", "base", "own", "doc_id")})
+            found = []
+            for bucket, kind, first, payload in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "first", "payload"))):
+                if bucket != at:
+                    at, held = bucket, Bucket(log_all)
+                if kind == BITS:
+                    held.filter = LogFrequencyFilter.of(payload)
+                elif kind == WORDS:
+                    held.parts.append(payload)
+                elif kind in (PAIRS, RARE):
+                    rows = (held.pairs if kind == PAIRS else held.lookups)(payload)
+                    if len(rows):
+                        found.append((first, _columns(rows)))
+            if found:
+                yield _row(_SUMS_ARROW, len(found), extra, first=[f for f, _ in found], payload=[p for _, p in found])
+
+    return run
+
+
+def _added_up(extra: pa.Field):
+    """Rows sorted by batch of texts, the texts first: one row a text, with all its sums."""
+    schema = pa.schema([_SUMS_ARROW.field(c) for c in ("n_tokens", "n_known", "base", "own")]).append(extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, texts, sums = None, [], None
+
+        def whole() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(texts).combine_chunks()
+            doc, held = rows["uid"].to_numpy() - at, sums or {k: np.zeros(int(rows["uid"].to_numpy().max()) - at + 1) for k in ("known", "base", "own")}
+            columns = {c: rows[c].to_numpy() + held[k][doc].astype(np.int64 if c == "n_known" else np.float64) for k, c in (("known", "n_known"), ("base", "base"), ("own", "own"))}
+            return _row(pa.schema(list(schema)[:-1]), len(doc), extra, n_tokens=rows["n_tokens"].combine_chunks(), doc_id=rows["doc_id"].combine_chunks(), **columns)
+
+        for b in batches:
+            firsts, payloads = b.column(0).to_numpy(), b.column(2)
+            packed = payloads.is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((firsts[1:] != firsts[:-1]) | (packed[1:] != packed[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+                if i == j:
+                    continue
+                if firsts[i] != at:
+                    if texts:
+                        yield whole()
+                    at, texts, sums = int(firsts[i]), [], None
+                if not packed[i]:
+                    texts.append(b.slice(i, j - i))
+                    continue
+                rows = [_split(p, _SUM) for p in payloads.slice(i, j - i).to_pylist()]
+                if sums is None:
+                    n = max(int(t.column(1).to_numpy().max()) for t in texts) - at + 1
+                    sums = {k: np.zeros(n) for k in ("known", "base", "own")}
+                for r in rows:
+                    for k in sums:
+                        sums[k][r["doc"]] += r[k]
+        if texts:
+            yield whole()
 
     return run
 
@@ -518,11 +599,8 @@ def lm_scores(docs: DataFrame, training, doc_id: str = "doc_id", text: str = "te
     kind = rows.schema["doc_id"]
     extra = pa.field("doc_id", to_arrow_type(kind.dataType))
     sent, sums = (T.StructType([*x.fields, T.StructField("doc_id", kind.dataType)]) for x in (_SENT, _SUMS))
-    # of pairs with a word that isn't frequent, the filter holds too what its texts can't know of that word
-    last = tables.pairs.where("after is not null").select("key", F.col("after").alias("word")).join(tables.words, "word").select("key", "count", F.lit(1).alias("tag"))
-    began = tables.pairs.where("rare_before").select("key", F.col("before").alias("word")).join(tables.words, "word").select("key", "kinds", F.lit(2).alias("tag"))
-    entries = tables.pairs.select("key", "count", F.lit(0).alias("tag")).union(last).union(began)
-    every = entries.mapInArrow(_sent_entries(parts, extra), sent).union(tables.words.mapInArrow(_sent_words(parts, extra), sent)).union(rows.mapInArrow(_sent_texts(shared, extra), sent))
+    every = tables.filters.mapInArrow(_sent_filters(extra), sent).union(tables.words.mapInArrow(_sent_words(parts, extra), sent)).union(rows.mapInArrow(_sent_texts(shared, extra), sent))
     found = every.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_looked_up(log_all, extra), sums)
-    per = found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "own")])
+    found = found.repartition(parts, "first").sortWithinPartitions("first", F.col("payload").isNotNull())
+    per = found.mapInArrow(_added_up(extra), T.StructType([f for f in sums.fields if f.name not in ("first", "uid", "payload")]))
     return per.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.least("own", F.lit(0.0)).alias("score"))
