@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: A prime; the table has a row per slot, whatever the data: its size is this parameter.
 TABLE_SIZE = 16381
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -57,11 +59,12 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...
     """
     spark, table = docs.sparkSession, lookup_table(shards, size)
     entries = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    places = spark.range(1).select(F.posexplode(entries).alias("__slot", "__shard"))
-    names = F.element_at(F.array(*map(F.lit, shards)), F.col("__shard") + 1)
-    rows = docs.withColumn(slot_into, slot(F.col(key), size))
-    placed = rows.join(F.broadcast(places), F.col(slot_into) == F.col("__slot"))
-    return placed.withColumn(shard_into, names).drop("__slot", "__shard")
+    at, index = unused("at", docs), unused("index", docs)
+    places = spark.range(1).select(F.posexplode(entries).alias(at, index))
+    names = F.element_at(F.array(*map(F.lit, shards)), F.col(index) + 1)
+    rows = docs.withColumn(slot_into, slot(F.col(f"`{key}`"), size))
+    placed = rows.join(F.broadcast(places), F.col(f"`{slot_into}`") == F.col(at))
+    return placed.withColumn(shard_into, names).drop(at, index)
 
 
 def oracle_sql(shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> str:
