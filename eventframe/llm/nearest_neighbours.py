@@ -37,15 +37,20 @@ def _normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over their largest component, and the lengths of these: nothing overflows, and the longest doesn't vanish."""
+    scaled = vectors / np.abs(vectors).max()
+    return scaled, np.sqrt((scaled * scaled).sum(-1))
+
+
 class CollisionIndex:
     """Sorted projections of one block of vectors."""
 
     def __init__(self, vectors: np.ndarray, lines: int = LINES, seed: int = SEED):
         self.vectors = vectors
-        norms = np.sqrt((vectors * vectors).sum(1))
-        self.longest = norms.max()
-        unit = vectors / self.longest
-        last = np.sqrt(np.maximum(0.0, 1.0 - (norms / self.longest) ** 2))
+        scaled, norms = _unit(vectors)
+        unit, norms = scaled / norms.max(), norms / norms.max()
+        last = np.sqrt(np.maximum(0.0, 1.0 - norms**2))
         self.lines = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, lines))
         values = unit @ self.lines[:-1] + last[:, None] * self.lines[-1]
         order = np.argsort(values, 0, kind="stable")
@@ -54,16 +59,17 @@ class CollisionIndex:
         self.apart = 4.0 * float(np.abs(values).max(initial=1.0)) + 4.0
         self.shift = np.arange(lines) * self.apart
         self.values = (np.take_along_axis(values, order, 0) + self.shift).T.ravel()
-        self.coarse = vectors.astype(np.float32)
+        self.coarse = unit.astype(np.float32)
         share = min(0.98, SHARE + MARGIN * np.sqrt(SHARE * (1 - SHARE) / lines))
         self.reach = _normal_quantile((1 + share) / 2)
 
     def nearest(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and inner products of the nearest found and all that tie with the last of them."""
         lines, n = self.order.shape
-        size = np.sqrt((query * query).sum())
-        at = np.clip((query / size) @ self.lines[:-1], -self.apart / 4, self.apart / 4) + self.shift
-        coarse, slack = query.astype(np.float32), 1e-5 * self.longest * size
+        scaled, size = _unit(query)
+        unit = scaled / size
+        at = np.clip(unit @ self.lines[:-1], -self.apart / 4, self.apart / 4) + self.shift
+        coarse, slack = unit.astype(np.float32), 1e-5
         counts, open_ = np.zeros(n, np.int64), np.ones(n, bool)
         if own is not None:
             open_[own] = False
@@ -88,20 +94,20 @@ class CollisionIndex:
                 every = np.concatenate(rough)
                 if len(every) >= k:
                     least = np.partition(every, -k)[-k]
-            if least > -np.inf:
-                # distance of unit vectors whose inner product is the k-th best
-                cosine = least / (self.longest * size)
-                if half >= self.reach * np.sqrt(max(0.0, 2.0 - 2.0 * cosine)):
-                    break
+            # distance of unit vectors whose inner product is the k-th best
+            if least > -np.inf and half >= self.reach * np.sqrt(max(0.0, 2.0 - 2.0 * float(least))):
+                break
             if (low == ends).all() and (high == ends + n).all():
                 break
             half *= GROWTH
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         found = np.concatenate(found)[np.concatenate(rough) >= least - slack]
-        scores = (self.vectors[found] * query).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (self.vectors[found] * query).sum(1)
         if len(scores) > k:
-            keep = scores >= np.partition(scores, -k)[-k]
+            rank = np.where(np.isnan(scores), np.inf, scores)
+            keep = rank >= np.partition(rank, -k)[-k]
             found, scores = found[keep], scores[keep]
         return found, scores
 
@@ -124,44 +130,45 @@ def _searched(k: int):
             index = CollisionIndex(_matrix(vectors["vector"]))
             for uid, qid, q in zip(queries["uid"].to_pylist(), queries["id"].to_pylist(), _matrix(queries["vector"])):
                 found, scores = index.nearest(q, k, place.get(uid))
-                best = sorted(zip(-scores, (ids[i] if ids[i] is not None else 1 << 62 for i in found)), key=lambda x: x)[:k]
-                rows += [(uid, qid, None if v == 1 << 62 else v, -s) for s, v in best]
+                best = sorted(zip(scores.tolist(), (ids[i] for i in found)), key=lambda x: (x[0] == x[0], -x[0] if x[0] == x[0] else 0.0, x[1] is None, x[1] or 0))[:k]
+                rows += [(uid, qid, v, s) for s, v in best]
         columns = list(zip(*rows)) or [[], [], [], []]
         return pa.Table.from_batches([batch(_OUT_ARROW, *map(list, columns))])
 
     return search
 
 
-def _dimension(rows: DataFrame) -> int | None:
-    """The commonest length of vectors; others take no part."""
-    found = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return found[0]["d"] if found else None
-
-
 def nearest_neighbours(vectors: DataFrame, queries, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of the rows where ``queries`` (a condition on ``vectors``) holds.
 
-    Vectors that are null, zero, of another length than most, or hold a null
-    or a non-finite component take no part. A row is never its own neighbour;
-    other rows with equal vectors or equal ids are. Nearest first, ties to the
-    smaller id. Fewer than ``k`` candidates give fewer rows; none, none.
+    Vectors that are null, zero, or hold a null or a non-finite component take
+    no part; those of different lengths have no inner product and are never
+    neighbours. A row is never its own neighbour; other rows with equal vectors
+    or equal ids are. Nearest first, ties to the smaller id, null ids last.
+    Fewer than ``k`` candidates give fewer rows; none, none. Vectors of any
+    size can be searched; an inner product beyond the range of a double is
+    infinite or not a number, and ranks before or after all others as such.
     """
     spark = vectors.sparkSession
     x = F.col(f"`{vector}`")
     usable = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(x, lambda c: c != 0)
-    rows = vectors.where(usable).select(F.monotonically_increasing_id().alias("uid"), F.col(vec_id).cast("long").alias("id"), x.cast("array<double>").alias("vector"), queries.alias("asks"))
-    rows = stored(rows, shared_dir(spark), "vectors")
-    size = _dimension(rows)
-    rows = rows.where(F.size("vector") == (size or 0))
-    n, asking = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
-    v_blocks, q_blocks = max(1, ceil(n / vector_block)), max(1, ceil(asking / query_block))
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    there = rows.select("uid", "id", "vector", F.pmod(F.xxhash64("uid"), F.lit(v_blocks)).cast("int").alias("vb"), every(q_blocks).alias("qb"))
-    asked = rows.where("asks").select("uid", "id", "vector", F.pmod(F.xxhash64("uid"), F.lit(q_blocks)).cast("int").alias("qb"), every(v_blocks).alias("vb"))
-    parts = there.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInArrow(_searched(k), _OUT)
+    rows = vectors.where(usable).select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{vec_id}`").cast("long").alias("id"), x.cast("array<double>").alias("vector"), queries.alias("asks"))
+    rows = stored(rows.withColumn("length", F.size("vector")), shared_dir(spark), "vectors")
+    # one row for each length that occurs
+    count = lambda rows_, size: F.greatest(F.lit(1), F.ceil(F.count(rows_) / size)).cast("int")
+    blocks = rows.groupBy("length").agg(count("uid", vector_block).alias("v_blocks"), count(F.when(F.col("asks"), 1), query_block).alias("q_blocks"))
+    rows = rows.join(blocks, "length")
+
+    def block(name: str):
+        return F.pmod(F.xxhash64("uid"), F.col(name)).cast("int")
+
+    def every(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    grid = ["length", "vb", "qb"]
+    there = rows.select("length", "uid", "id", "vector", block("v_blocks").alias("vb"), every("q_blocks").alias("qb"))
+    asked = rows.where("asks").select("length", "uid", "id", "vector", block("q_blocks").alias("qb"), every("v_blocks").alias("vb")).toDF("length", "uid", "id", "vector", "qb", "vb")
+    parts = there.groupBy(*grid).cogroup(asked.groupBy(*grid)).applyInArrow(_searched(k), _OUT)
     nearest = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = parts.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
