@@ -216,6 +216,15 @@ class PieceCounter:
         return tokens
 
 
+def valid(text: bytes) -> bytes:
+    """The text, with what isn't UTF-8 replaced as Python does."""
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+    return text
+
+
 class Counter:
     """Token counts of whole texts under a byte-level BPE file."""
 
@@ -234,6 +243,7 @@ class Counter:
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text; a special string inside a text is one token."""
         out = np.zeros(len(texts), np.int64)
+        texts = [valid(t) for t in texts]
         parts, owner = [], []
         for i, text in enumerate(texts):
             rest = [text]
@@ -292,7 +302,8 @@ def _counting(name: str):
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, into: str = "tokens") -> DataFrame:
     """``docs`` with a struct column: UTF-8 bytes and tokens of each whole text.
 
-    A null or empty text has none of either. Rows and other columns stay; an
-    existing column ``into`` is replaced.
+    A null or empty text has none of either. Bytes that aren't UTF-8 count as
+    bytes, and as replacement characters for tokens. Rows and other columns
+    stay; an existing column ``into`` is replaced.
     """
     return docs.withColumn(into, _counting(vocabulary)(F.col(text)))
