@@ -21,14 +21,25 @@ from .common import blocks, fields
 #: Phrases that are labels by themselves (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates of well-known notices (fixed wording).
+#: Templates of whole licences and of the notices that name one (fixed wording), words in lower case without punctuation.
 TEMPLATES = {
     "mit": [
         "released under [[the terms of]] the mit license",
         "licensed under [[the terms of]] the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files {{name:0-6}} to deal in {{name:0-4}} without restriction",
         "spdx license identifier mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the {{name:1-3}} "
+        "to deal in the {{name:1-3}} without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the {{name:1-3}} "
+        "and to permit persons to whom the {{name:1-3}} is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the {{name:1-3}} "
+        "the {{name:1-3}} is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall {{holder:2-8}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the {{name:1-3}} or the use or other dealings in the {{name:1-3}}",
+    ],
+    "isc": [
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and {{holder:1-8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall {{holder:1-8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     ],
     "apache-2.0": [
         "licensed under the apache license version 2 0 [[the license]]",
@@ -39,13 +50,27 @@ TEMPLATES = {
     "lgpl": ["gnu lesser general public license"],
     "agpl": ["gnu affero general public license"],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided "
-        "that the following conditions are met",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "[[{{mark:0-1}} neither the name of {{holder:1-12}} nor the names of {{whose:1-3}} contributors may be used to endorse or promote products derived from this software without specific prior written permission]] "
+        "this software is provided by {{holder:1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall {{holder:1-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will {{holder:1-8}} be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software "
+        "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "[[3]] this notice may not be removed or altered from any source distribution",
     ],
-    "mpl-2.0": ["subject to the terms of the mozilla public license v [[ersion]] 2 0", "mozilla public license version 2 0"],
-    "cc-by-nc": ["licensed under [[a]] [[creative commons]] cc by nc {{version:0-2}}"],
-    "cc-by-sa": ["licensed under [[a]] [[creative commons]] cc by sa {{version:0-2}}"],
-    "cc-by-nd": ["licensed under [[a]] [[creative commons]] cc by nd {{version:0-2}}"],
+    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0", "mozilla public license version 2 0"],
+    "cc-by-nc": ["licensed under [[a]] [[creative commons]] cc by nc"],
+    "cc-by-sa": ["licensed under [[a]] [[creative commons]] cc by sa"],
+    "cc-by-nd": ["licensed under [[a]] [[creative commons]] cc by nd"],
     "cc0": ["cc0 1 0 universal", "no copyright [[cc0]] public domain dedication"],
     "copyright-notice": ["copyright [[c]] {{owner:1-8}} all rights reserved"],
 }
@@ -121,15 +146,15 @@ class TokenAutomaton:
         return self._moves[key]
 
     def ends(self, words: list[bytes], start: int) -> int | None:
-        """End of the shortest match that starts at a word, or None."""
-        state = self._start
+        """End of the longest match that starts at a word, or None."""
+        state, end = self._start, None
         for i in range(start, len(words)):
             state = self.move(state, words[i])
             if not state:
-                return None
+                break
             if self.end in state:
-                return i + 1
-        return None
+                end = i + 1
+        return end
 
     def found(self, words: list[bytes], text: bytes) -> tuple[int, int] | None:
         """First match in a text; ``text`` is the words joined by single spaces, one more at each end."""
