@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, blocks, fields
+from .common import Memo, blocks, fields, unused
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -146,5 +146,5 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang"
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Rows of ``docs`` that the rules keep, with the columns they came with."""
-    mark = "__quality"
+    mark = unused("quality", docs)
     return quality_rules(docs, text, lang, mark).where(F.col(f"{mark}.kept")).drop(mark)
