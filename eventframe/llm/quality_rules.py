@@ -1,10 +1,12 @@
 """Quality rules: counts of symbols and repeats, and tokeniser fertility.
 
-Fertility is measured with a public byte-fallback vocabulary: characters per
-token, share of tokens that are single fallback bytes, and entropy of the
-text's token distribution, each held against bands of the text's language.
-Words are tokenised one by one (a piece of this vocabulary never spans white
-space), so that a bounded memo serves most of them.
+Fertility is measured with two public vocabularies. One with byte fallback
+gives characters per token, the share of tokens that are single fallback bytes
+and the entropy of the text's token distribution; one for many languages gives
+characters per token again, by other merges. Each figure is held against bands
+of the text's language or else of its script. Words are tokenised one by one
+(pieces of these vocabularies don't span white space), each different word of
+a text once, and a bounded memo serves most of them.
 """
 
 from __future__ import annotations
@@ -19,25 +21,27 @@ from pyspark.sql import functions as F
 
 from .common import Memo, blocks, fields, unused
 
-VOCABULARY = "piece_bpe_32k.model"
+FALLBACK_VOCABULARY, MANY_LANGUAGES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 #: Per language: least and most characters per token, most share of fallback
-#: bytes, least and most bits of token entropy for a text of 64 tokens or more.
-#: The lower bounds are the 0.5 % quantiles of documents labelled quality 1
-#: with even ids at sf0.1; junk lies below, none of it above.
+#: bytes, least and most bits of token entropy, least and most characters per
+#: token of the vocabulary for many languages. The lower bounds are the 0.5 %
+#: quantiles of documents labelled quality 1 with even ids at sf0.1; junk lies
+#: below, none of it above.
 BANDS = {
-    "en": (2.09, 8.0, 0.10, 5.77, 14.0),
-    "fr": (1.76, 8.0, 0.10, 5.76, 14.0),
-    "de": (2.07, 8.0, 0.10, 5.80, 14.0),
-    "es": (1.80, 8.0, 0.10, 5.81, 14.0),
+    "en": (2.09, 8.0, 0.10, 5.77, 14.0, 2.10, 8.0),
+    "fr": (1.76, 8.0, 0.10, 5.76, 14.0, 1.88, 8.0),
+    "de": (2.07, 8.0, 0.10, 5.80, 14.0, 2.17, 8.0),
+    "es": (1.80, 8.0, 0.10, 5.81, 14.0, 1.91, 8.0),
 }
 #: By script, for texts of any other or no language.
 SCRIPT_BANDS = {
-    "latin": (1.2, 10.0, 0.15, 4.0, 14.0),
-    "other": (0.25, 6.0, 0.80, 3.0, 14.0),
+    "latin": (1.2, 10.0, 0.15, 4.0, 14.0, 1.2, 10.0),
+    "other": (0.25, 6.0, 0.80, 3.0, 14.0, 0.25, 8.0),
 }
-MIN_TOKENS = 64
+#: A text of n tokens has at most log2(n) bits of entropy: below this many tokens, the least entropy falls in proportion to that.
+WHOLE_TOKENS = 64
 #: Words whose pieces a worker remembers.
 WORDS_KEPT = 200_000
 
@@ -45,15 +49,25 @@ _NOT_COUNTED = bytes(range(9, 14)) + b" " + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 
 
-@lru_cache(maxsize=2)
-def _pieces(vocabulary: str):
+@lru_cache(maxsize=1)
+def _pieces() -> tuple[Memo, np.ndarray]:
+    """Of a word: its pieces with byte fallback, and how many tokens the other vocabulary needs. Also which pieces are bytes."""
+    import base64
+
     import public_tokenizers
     import sentencepiece
+    import tiktoken
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(FALLBACK_VOCABULARY))
+    with open(public_tokenizers.path(MANY_LANGUAGES), "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    other = tiktoken.Encoding("many", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def told(word: bytes) -> tuple[bytes, int]:
+        text = word.decode("utf-8", "replace")
+        return array("i", model.encode(text)).tobytes(), len(other.encode_ordinary(f" {text}"))
 
-    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
-    byte_ids = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    ids = Memo(lambda w: array("i", model.encode(w.decode("utf-8", "replace"))).tobytes(), WORDS_KEPT)
-    return ids, byte_ids
+    return Memo(told, WORDS_KEPT), np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
 def repeated_words(ids: np.ndarray, n: int = 3) -> int:
@@ -81,21 +95,24 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def fertility(words: list[bytes], word_chars: int, vocabulary: str = VOCABULARY) -> tuple[int, float, float, float]:
-    """Tokens, characters per token, share of fallback bytes, bits of entropy."""
-    memo, byte_ids = _pieces(vocabulary)
+def fertility(words: list[bytes], times: np.ndarray, word_chars: int) -> tuple[int, float, float, float, float]:
+    """Of different words, each so many times: tokens, characters per token, share of fallback bytes, bits of entropy, and characters per token of the other vocabulary."""
+    memo, byte_ids = _pieces()
     if not words:
-        return 0, 0.0, 0.0, 0.0
-    ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), np.int32)
+        return 0, 0.0, 0.0, 0.0, 0.0
+    pieces, others = zip(*map(memo.__getitem__, words))
+    ids = np.frombuffer(b"".join(pieces), np.int32)
     if not len(ids):
-        return 0, 0.0, 0.0, 0.0
-    counts = np.bincount(ids)
-    used = counts[counts > 0]
-    share = used / len(ids)
-    return len(ids), word_chars / len(ids), float(byte_ids[ids].mean()), float(-(share * np.log2(share)).sum())
+        return 0, 0.0, 0.0, 0.0, 0.0
+    weights = np.repeat(times, [len(p) // 4 for p in pieces])
+    total = int(weights.sum())
+    counts = np.bincount(ids, weights)
+    share = counts[counts > 0] / total
+    tokens = int(np.array(others, np.int64) @ times)
+    return total, word_chars / total, float(weights[byte_ids[ids]].sum() / total), float(-(share * np.log2(share)).sum()), word_chars / max(1, tokens)
 
 
-def band(lang: str | None, text: bytes) -> tuple[float, float, float, float, float]:
+def band(lang: str | None, text: bytes) -> tuple[float, ...]:
     if lang in BANDS:
         return BANDS[lang]
     high = len(text) - len(text.translate(None, bytes(range(0xC4, 0x100))))  # first bytes beyond Latin-1
@@ -110,20 +127,21 @@ def measure(text: bytes, lang: str | None = None) -> dict:
     chars = len(text.translate(None, _NOT_COUNTED))
     repeats = repeated_words(ids)
     base_failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEATED_PERCENT * len(words)
-    tokens, per_token, fallback, entropy = fertility(words, chars)
-    least, most, bytes_most, low, high = band(lang, text)
-    verdict = tokens < MIN_TOKENS or (least <= per_token <= most and fallback <= bytes_most and low <= entropy <= high)
+    tokens, per_token, fallback, entropy, per_other = fertility(list(index), np.bincount(ids, minlength=len(index)), chars)
+    least, most, bytes_most, low, high, other_least, other_most = band(lang, text)
+    low *= min(1.0, np.log2(max(1, tokens)) / np.log2(WHOLE_TOKENS))
+    verdict = bool(least <= per_token <= most and fallback <= bytes_most and low <= entropy <= high and other_least <= per_other <= other_most)
     return {
         "n_words": len(words), "word_chars": chars, "n_symbols": len(text) - len(text.translate(None, _SYMBOLS)),
         "n_dup_lines": duplicate_lines(text), "n_repeat_words": repeats, "base_failed": base_failed,
         "kept": not base_failed and verdict, "tokens": tokens, "chars_per_token": per_token,
-        "fallback_share": fallback, "token_entropy": entropy,
+        "fallback_share": fallback, "token_entropy": entropy, "chars_per_other_token": per_other,
     }
 
 
 _SPARK, _ARROW = fields(
     "n_words:long word_chars:long n_symbols:long n_dup_lines:long n_repeat_words:long base_failed:boolean kept:boolean "
-    "tokens:long chars_per_token:double fallback_share:double token_entropy:double"
+    "tokens:long chars_per_token:double fallback_share:double token_entropy:double chars_per_other_token:double"
 )
 
 
