@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import inspect
 import math
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,36 +40,19 @@ def _breit_wigner(x, mean=0.0, gamma=1.0):
     return ieee.divided(_d(gamma), ((_d(x) - _d(mean)) * (_d(x) - _d(mean)) + _d(gamma) * _d(gamma) / 4)) / (2 * math.pi)
 
 
-def arrow(f: Callable, n: int) -> Callable[..., Column]:
-    """A function of numbers that Spark lacks, in Arrow batches."""
-
-    def batch(*series: pd.Series) -> pd.Series:
-        def one(*xs):
-            try:
-                return float(f(*xs))
-            except (ValueError, ZeroDivisionError):
-                return math.nan
-            except OverflowError:
-                return math.inf
-
-        return pd.Series([None if any(x is None or x is pd.NA for x in row) else one(*row) for row in zip(*(s.astype("float64") for s in series))], dtype="float64")
-
-    if n == 1:
-        def call(a: pd.Series) -> pd.Series:
-            return batch(a)
-    elif n == 2:
-        def call(a: pd.Series, b: pd.Series) -> pd.Series:
-            return batch(a, b)
-    elif n == 3:
-        def call(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-            return batch(a, b, c)
-    elif n == 4:
-        def call(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-            return batch(a, b, c, d)
-    else:
-        def call(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series) -> pd.Series:
-            return batch(a, b, c, d, e)
-    return lambda *cols: F.pandas_udf(call, T.DoubleType())(*map(_d, cols))
+def arrow(f: Callable) -> Callable[..., Column]:
+    """A function of arrays that Spark lacks, over Arrow batches; null where an argument is null."""
+
+    @F.arrow_udf(T.DoubleType())
+    def batch(rows: pa.Array) -> pa.Array:
+        columns = rows.flatten()
+        known = ~np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
+        out = np.full(len(rows), np.nan)
+        if known.any():
+            out[known] = f(*[c.to_numpy(zero_copy_only=False)[known].astype(np.float64) for c in columns])
+        return pa.array(out, mask=~known)
+
+    return lambda *cols: batch(F.struct(*[_d(c).alias(f"x{i}") for i, c in enumerate(cols)]))
 
 
 def _finite(x):
@@ -83,7 +66,7 @@ _ONE: dict[str, Callable] = {
     "sinh": lambda x: F.sinh(_d(x)), "cosh": lambda x: F.cosh(_d(x)), "tanh": lambda x: F.tanh(_d(x)), "asinh": lambda x: F.asinh(_d(x)), "acosh": lambda x: F.acosh(_d(x)), "atanh": lambda x: F.atanh(_d(x)),
     "floor": _whole(F.floor), "ceil": _whole(F.ceil), "trunc": _trunc, "rint": lambda x: F.rint(_d(x)),
     "round": lambda x: F.when(_d(x) < 0, -_whole(F.floor)(-_d(x) + 0.5)).otherwise(_whole(F.floor)(_d(x) + 0.5)),
-    "sq": lambda x: _d(x) * _d(x), "erf": arrow(math.erf, 1), "erfc": arrow(math.erfc, 1), "tgamma": arrow(math.gamma, 1), "lgamma": arrow(math.lgamma, 1),
+    "sq": lambda x: _d(x) * _d(x), "erf": arrow(special.erf), "erfc": arrow(special.erfc), "tgamma": arrow(special.gamma), "lgamma": arrow(special.log_gamma),
 }
 _TESTS = {
     "isnan": lambda x: F.isnan(_d(x)), "isinf": lambda x: F.abs(_d(x)) == ieee.INF, "isfinite": _finite,
@@ -134,14 +117,8 @@ REGISTRY |= {
     "TMath::LaplaceDist": (1, 3, lambda x, alpha=0.0, beta=1.0: F.exp(-F.abs((_d(x) - _d(alpha)) / _d(beta))) / (2.0 * _d(beta)), "f64"),
     "TMath::CauchyDist": (1, 3, lambda x, t=0.0, s=1.0: _d(s) / ((_d(x) - _d(t)) * (_d(x) - _d(t)) + _d(s) * _d(s)) / math.pi, "f64"),
 }
-def _required(f: Callable, n: int) -> int:
-    """Arguments without a default value."""
-    found = [p.default is p.empty for p in inspect.signature(f).parameters.values() if p.kind is p.POSITIONAL_OR_KEYWORD]
-    return sum(found[:n]) if found else n
-
-
 for _name, (_n, _f) in special.SCALARS.items():
-    REGISTRY.setdefault(_name, (_required(_f, _n) if callable(_f) and _f not in (math.erf, math.erfc, math.gamma, math.lgamma) else _n, _n, lambda *cols, f=_f: arrow(f, len(cols))(*cols), "f64"))
+    REGISTRY.setdefault(_name, (_f.required, _n, arrow(_f), "f64"))
 
 
 def function(name: str, count: int) -> tuple[Callable, str]:
