@@ -15,6 +15,14 @@ from eventframe.functions.special import kolmogorov_probability
 # ---- arrays on the driver ------------------------------------------------------------------------------
 
 
+def min_element(a: Sequence[float]) -> float:
+    return float(np.min(a))
+
+
+def max_element(a: Sequence[float]) -> float:
+    return float(np.max(a))
+
+
 def loc_min(a: Sequence[float]) -> int:
     return int(np.argmin(a)) if len(a) else -1
 
@@ -141,7 +149,7 @@ def column_gradient(v: Column, h: float = 1.0) -> Column:
 
     def at(_, i: Column) -> Column:
         low, high = F.greatest(i - 1, F.lit(0)), F.least(i + 1, n - 1)
-        return (F.get(v, high) - F.get(v, low)) / ((high - low) * h)
+        return F.when(high > low, (F.get(v, high) - F.get(v, low)) / F.greatest((high - low) * h, F.lit(h)))
 
     return F.transform(v, at)
 

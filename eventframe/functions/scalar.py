@@ -108,6 +108,7 @@ REGISTRY |= {
     "TMath::Sign": (2, 2, lambda a, b: F.when(_d(b) >= 0, F.abs(_d(a))).otherwise(-F.abs(_d(a))), "f64"),
     "TMath::Gaus": (1, 4, _gaus, "f64"),
     "TMath::BreitWigner": (1, 3, _breit_wigner, "f64"),
+    "TMath::Gamma": (1, 2, lambda z, x=None: _ONE["tgamma"](z) if x is None else arrow(special.incomplete_gamma)(z, x), "f64"),
     "TMath::Even": (1, 1, lambda x: _d(x).cast("long") % 2 == 0, "bool"),
     "TMath::Odd": (1, 1, lambda x: _d(x).cast("long") % 2 != 0, "bool"),
     "TMath::FloorNint": (1, 1, lambda x: F.floor(_d(x)).cast("int"), "i32"),

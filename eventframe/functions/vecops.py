@@ -43,10 +43,9 @@ def broadcast(f: Callable[..., Column], args: list[Value], kind: str, entry: Col
     if len(deep) == 1:
         k = deep[0]
         return Value(F.transform(args[k].column, lambda x: f(*[x if i == k else a.column for i, a in enumerate(args)])), kind, 1)
-    rows = F.arrays_zip(*[args[i].column.alias(f"c{i}") for i in deep])
+    # wrapped, so that fields are named by their places, and each collection is made once for all elements
+    rows = F.arrays_zip(*[F.transform(args[i].column, lambda x: x) for i in deep])
     one = lambda r: f(*[r.getField(str(deep.index(i))) if i in deep else a.column for i, a in enumerate(args)])
-    rows = F.transform(F.sequence(F.lit(0), F.size(args[deep[0]].column) - 1), lambda i: F.struct(*[F.get(args[k].column, i).alias(str(n)) for n, k in enumerate(deep)]))
-    rows = F.when(F.size(args[deep[0]].column) > 0, rows).otherwise(F.slice(rows, 1, 0))
     out = F.transform(rows, one)
     for k in deep[1:]:
         out = _same_size(args[deep[0]], args[k], out, kind, entry)
@@ -160,32 +159,41 @@ def products(sizes: list[Column]) -> Column:
     return _members(tuples, len(sizes))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def delta_phi(a: Column, b: Column, c: Column | float = math.pi) -> Column:
     c = c if isinstance(c, Column) else F.lit(c)
-    r = ieee.remainder(b.cast("double") - a.cast("double"), c.cast("double") * 2)
-    return F.when(r < -c, r + c * 2).when(r > c, r - c * 2).otherwise(r)
+    turned = lambda r: F.when(r < -c, r + c * 2).when(r > c, r - c * 2).otherwise(r)
+    return let(b.cast("double") - a.cast("double"), lambda d: let(ieee.remainder(d, c.cast("double") * 2), turned))
 
 
 def momentum(pt: Column, eta: Column, phi: Column, m: Column) -> list[Column]:
     pt, eta, phi, m = (c.cast("double") for c in (pt, eta, phi, m))
     x, y, z = pt * F.cos(phi), pt * F.sin(phi), pt * F.sinh(eta)
-    return [x, y, z, F.sqrt(x * x + y * y + z * z + m * m)]
+    return [x, y, z, F.hypot(F.hypot(x, y), F.hypot(z, m))]
+
+
+def mass_of(sums: list[Column]) -> Column:
+    """Of momentum and energy."""
+    names = "xyze"
+    return let(F.struct(*[s.alias(n) for n, s in zip(names, sums)]), lambda p: F.sqrt(p["e"] * p["e"] - p["x"] * p["x"] - p["y"] * p["y"] - p["z"] * p["z"]))
 
 
 def invariant_mass(args: list[Value], entry: Column | None = None) -> Value:
     kind = "f64" if any(a.kind != "f32" for a in args) else "f32"
     parts = [broadcast(lambda *c, k=k: momentum(*c)[k], args, "f64", entry).column for k in range(4)]
     sums = [F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x) for p in parts]
-    return Value(F.sqrt(sums[3] * sums[3] - sums[0] * sums[0] - sums[1] * sums[1] - sums[2] * sums[2]).cast(spark_type(kind)), kind)
+    return Value(mass_of(sums).cast(spark_type(kind)), kind)
 
 
 def invariant_masses(args: list[Value], entry: Column | None = None) -> Value:
     kind = "f64" if any(a.kind != "f32" for a in args) else "f32"
 
     def mass(*c: Column) -> Column:
-        a, b = momentum(*c[:4]), momentum(*c[4:])
-        s = [x + y for x, y in zip(a, b)]
-        return F.sqrt(s[3] * s[3] - s[0] * s[0] - s[1] * s[1] - s[2] * s[2]).cast(spark_type(kind))
+        return mass_of([x + y for x, y in zip(momentum(*c[:4]), momentum(*c[4:]))]).cast(spark_type(kind))
 
     return broadcast(mass, args, kind, entry)
 
@@ -203,8 +211,8 @@ def _angles(f, n: int):
 
 
 def _delta_r2(e1, e2, p1, p2, c=math.pi):
-    d, p = e1.cast("double") - e2.cast("double"), delta_phi(p1, p2, c)
-    return d * d + p * p
+    apart = F.struct((e1.cast("double") - e2.cast("double")).alias("d"), delta_phi(p1, p2, c).alias("p"))
+    return let(apart, lambda s: s["d"] * s["d"] + s["p"] * s["p"])
 
 
 def _combinations(*args: Value, entry=None) -> Value:

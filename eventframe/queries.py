@@ -460,10 +460,11 @@ def flagship_spectrum(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from eventframe import query_functions, query_operations  # noqa: F401  they register their own
+
     return {k: f for k, (f, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in _REGISTRY.items() if s}
-
-

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ENTRY, FILE = "__entry", "__file"
+#: Entries through which a keyed join carries the last match in one task.
+CARRIED = 1 << 16
 
 
 def session(spark: SparkSession | None = None) -> SparkSession:
@@ -37,19 +41,37 @@ def open_source(source, *args, entry: str | None = None, spark: SparkSession | N
     raise TypeError(f"no frame over {type(source).__name__}")
 
 
+def _plain_path(uri: str) -> str:
+    """A path as its file system names it: local ones without a scheme, nothing escaped."""
+    return re.sub("^file:/+", "/", unquote(uri))
+
+
+def _files_of(spark: SparkSession, path: str) -> re.Pattern:
+    """What matches the files of one argument: a file, a folder, or a glob of either."""
+    jvm = spark.sparkContext._jvm
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    whole = _plain_path(named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(named).toString()).rstrip("/")
+    signs = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|", "[": "[", "]": "]"}
+    deep, out = 0, ""
+    for c in whole:
+        deep += (c in "{[") - (c in "}]")
+        out += signs[c] if c in signs and (c != "," or deep) else c if deep and c in "-^" else re.escape(c)
+    return re.compile(f"{out}(?:/.*)?")
+
+
 def parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """Parquet files end to end: entry numbers count over the files in the order of their paths.
+    """Parquet files end to end: entry numbers count over the files in the order of the arguments, and of names inside one.
 
     The offset of each file comes from counts per file, which Parquet answers
     from its footers; rows keep their places inside the file.
     """
     df = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias("__row"))
     counts = df.groupBy(FILE).agg((F.max("__row") + 1).alias("n")).collect()
-    place = {p.rstrip("/").removeprefix("file://").removeprefix("file:"): i for i, p in enumerate(paths)}
+    patterns = [_files_of(spark, p) for p in paths]
 
     def rank(r):
-        path = r[FILE].removeprefix("file://").removeprefix("file:")
-        return min((i for p, i in place.items() if path.startswith(p) or p in path), default=0), r[FILE]
+        path = _plain_path(r[FILE])
+        return next((i for i, p in enumerate(patterns) if p.fullmatch(path)), len(patterns)), r[FILE]
 
     offset, ahead = F.lit(0).cast("long"), 0
     ordered = sorted(counts, key=rank)
@@ -142,9 +164,14 @@ def keyed_join(primary: DataFrame, auxiliary: DataFrame, alias: str, fields: Seq
         return positional_friend(primary, auxiliary, alias)
     names = [c for c in auxiliary.columns if c not in (ENTRY, FILE)]
     last = auxiliary.groupBy(*[F.col(f).alias(f"__{f}") for f in fields]).agg(F.max_by(F.struct(*names), ENTRY).alias("__match"))
-    joined = primary.join(last, [F.col(f) == F.col(f"__{f}") for f in fields], "left")
-    held = F.last("__match", ignorenulls=True).over(Window.orderBy(ENTRY).rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("__held", held).select(*primary.columns, *[F.col(f"__held.{n}").alias(f"{alias}_{n}") for n in names])
+    joined = primary.join(last, [F.col(f) == F.col(f"__{f}") for f in fields], "left").withColumn("__part", F.floor(F.col(ENTRY) / CARRIED))
+    # carried on from part to part first, and inside a part then: no task holds the table
+    parts = joined.groupBy("__part").agg(F.max_by("__match", F.when(F.col("__match").isNotNull(), F.col(ENTRY))).alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("__part").alias("__of"), before.alias("__before"))
+    inside = F.last("__match", ignorenulls=True).over(Window.partitionBy("__part").orderBy(ENTRY).rowsBetween(Window.unboundedPreceding, 0))
+    joined = joined.withColumn("__held", inside).join(parts, F.col("__part") == F.col("__of")).withColumn("__held", F.coalesce("__held", "__before"))
+    return joined.select(*primary.columns, *[F.col(f"__held.{n}").alias(f"{alias}_{n}") for n in names])
 
 
 def select_entries(df: DataFrame, entries: Sequence[int] | DataFrame, keep_order: bool = True) -> DataFrame:
