@@ -28,12 +28,14 @@ BITS, RANK = 18, 4
 SAMPLE = 12_000
 #: Lengths of word beginnings that are terms.
 PREFIXES = (4, 5, 6)
-#: So many documents of the sample show what a term tells, alone or with another.
-LEAST_DOCUMENTS = 8
-#: Documents of each class on which pairs of terms are counted, and from how many standard deviations on a pair tells.
-PAIR_ROWS, PAIR_DEVIATIONS = 1000, 3.5
-#: Terms that don't show to tell stay in the machine, and learn at this share of the rate.
-SLOW = 0.003
+#: So many documents of the sample show what a term tells, alone (from so many standard deviations on) or with another.
+LEAST_DOCUMENTS, TERM_DEVIATIONS = 8, 3.0
+#: Documents of each class on which pairs of terms are counted, the least share of toxic ones that a term of a pair is in, and from how many standard deviations on a pair tells.
+PAIR_ROWS, PAIR_SHARE, PAIR_DEVIATIONS = 1000, 0.03, 3.5
+#: Terms that don't show to tell stay in the machine, and learn at this share of the rate, in one step for so many epochs.
+SLOW, SLOW_EPOCHS = 0.003, 6
+#: Documents of a step of the fit.
+BATCH = 64
 THRESHOLD = 0.7
 
 
@@ -76,7 +78,7 @@ def pair_terms(docs: list[np.ndarray], labels: np.ndarray, candidates: np.ndarra
     """
     chosen = [np.flatnonzero(labels > 0)[:PAIR_ROWS], np.flatnonzero(labels <= 0)[:PAIR_ROWS]]
     counts = [np.bincount(np.concatenate([docs[r] for r in rows]), minlength=len(candidates)) for rows in chosen]
-    terms = np.flatnonzero(candidates & (counts[0] >= LEAST_DOCUMENTS))
+    terms = np.flatnonzero(candidates & (counts[0] >= max(LEAST_DOCUMENTS, PAIR_SHARE * len(chosen[0]))))
     place = np.full(len(candidates), -1)
     place[terms] = np.arange(len(terms))
     tables = []
@@ -112,40 +114,86 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: floa
     rate_toxic = (toxic + 0.5) / (labels.sum() + 1)
     rate_clean = (seen - toxic + 0.5) / (len(labels) - labels.sum() + 1)
     common = seen >= LEAST_DOCUMENTS
-    tells = common & (seen <= 0.5 * len(docs)) & (np.abs(np.log(rate_toxic / rate_clean)) > 1.0)
+    ratio, deviation = np.abs(np.log(rate_toxic / rate_clean)), np.sqrt(1 / (toxic + 0.5) + 1 / (seen - toxic + 0.5))
+    tells = common & (seen <= 0.5 * len(docs)) & (ratio > 1.0) & (ratio > TERM_DEVIATIONS * deviation)
     tells[pair_terms(docs, labels, common)] = True
-    pace = rate * np.where(tells, 1.0, SLOW)
     model.factors[seen > 0] = rng.normal(0, 0.01, (int((seen > 0).sum()), RANK))
     importance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    g_b, g_w, g_v = 1e-6, np.full(size, 1e-6), np.full((size, RANK), 1e-6)
-    lengths, place = np.array([len(d) for d in docs]), np.zeros(size, np.int64)
-    for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), 64):
-            rows = order[at : at + 64]
-            terms, ends = np.concatenate([docs[r] for r in rows]), np.cumsum(lengths[rows])
-            z = model.logits(terms, ends)
-            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[rows]) * importance[rows] / len(rows)
-            each = np.repeat(error, lengths[rows])
-            used = np.flatnonzero(np.bincount(terms, minlength=size))
-            place[used] = np.arange(len(used))
-            back = place[terms]
-            v = model.factors[terms].astype(np.float64)
-            starts = np.concatenate([[0], ends[:-1]])
-            run = np.concatenate([np.zeros((1, RANK)), np.cumsum(v, 0)])
-            others = np.repeat(run[ends] - run[starts], lengths[rows], axis=0) - v
-            dw = np.bincount(back, each, len(used)) + penalty * model.weights[used]
-            dv = np.stack([np.bincount(back, each * others[:, k], len(used)) for k in range(RANK)], 1) + penalty * model.factors[used]
-            db = error.sum()
+    fast, slow = np.flatnonzero(tells), (seen > 0) & ~tells
+    place = np.full(size, -1)
+    place[fast] = np.arange(len(fast))
+    order = rng.permutation(len(docs))
+    batches = [(order[at : at + BATCH], _bits(docs, order[at : at + BATCH], place, len(fast))) for at in range(0, len(order), BATCH)]
+    w, v = np.zeros(len(fast), np.float32), model.factors[fast]
+    g_b, g_w, g_v = 1e-6, np.full(len(fast), 1e-6, np.float32), np.full((len(fast), RANK), 1e-6, np.float32)
+    slow_w, slow_v = np.full(size, 1e-6), np.full((size, RANK), 1e-6)
+    rest, told = _sums_of(docs, model, slow), np.zeros((len(docs), 1 + RANK))
+    for epoch in range(epochs):
+        for k in rng.permutation(len(batches)):
+            rows, bits = batches[k]
+            x = np.unpackbits(bits, axis=1, count=len(fast)).astype(np.float32)
+            sums = rest[rows] + x @ np.concatenate([w[:, None], v, (v * v).sum(1)[:, None]], 1)
+            vec = sums[:, 1:-1]
+            z = model.bias + sums[:, 0] + 0.5 * ((vec * vec).sum(1) - sums[:, -1])
+            error = (1 / (1 + np.exp(-np.clip(z, -80, 80))) - labels[rows]) * importance[rows] / len(rows)
+            own = np.concatenate([error[:, None], error[:, None] * vec], 1).astype(np.float32)
+            told[rows] = own
+            back, used = x.T @ own, x.any(0)
+            dw, dv = back[:, 0] + penalty * used * w, back[:, 1:] - back[:, :1] * v + penalty * used[:, None] * v
+            db = float(error.sum())
             g_b += db * db
-            g_w[used] += dw * dw
-            g_v[used] += dv * dv
-            model.bias -= rate * db / np.sqrt(g_b)
-            model.weights[used] -= (pace[used] * dw / np.sqrt(g_w[used])).astype(np.float32)
-            model.factors[used] -= (pace[used, None] * dv / np.sqrt(g_v[used])).astype(np.float32)
+            g_w += dw * dw
+            g_v += dv * dv
+            model.bias -= rate * db / math.sqrt(g_b)
+            w -= rate * dw / np.sqrt(g_w)
+            v -= rate * dv / np.sqrt(g_v)
+        if epoch % SLOW_EPOCHS == SLOW_EPOCHS - 1:
+            back = _back_to_terms(docs, told)
+            dw, dv = (back[:, 0] + penalty * model.weights) * slow, (back[:, 1:] - back[:, :1] * model.factors + penalty * model.factors) * slow[:, None]
+            slow_w += dw * dw
+            slow_v += dv * dv
+            model.weights -= (rate * SLOW * dw / np.sqrt(slow_w)).astype(np.float32)
+            model.factors -= (rate * SLOW * dv / np.sqrt(slow_v)).astype(np.float32)
+            rest = _sums_of(docs, model, slow)
+    model.weights[fast], model.factors[fast] = w, v
     return model
 
 
+def _bits(docs: list[np.ndarray], rows: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """A bit for each row and each of ``n`` placed terms."""
+    x = np.zeros((len(rows), n), np.uint8)
+    for i, r in enumerate(rows):
+        at = place[docs[r]]
+        x[i, at[at >= 0]] = 1
+    return np.packbits(x, axis=1)
+
+
+def _parts(docs: list[np.ndarray], size: int = 1000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Documents in parts: which, their terms one after the other, and how many each has."""
+    for at in range(0, len(docs), size):
+        rows = slice(at, at + size)
+        yield rows, np.concatenate(docs[rows]), np.array([len(d) for d in docs[rows]])
+
+
+def _sums_of(docs: list[np.ndarray], model: FactorizationMachine, terms: np.ndarray) -> np.ndarray:
+    """Of each document: sums of the weights, factors and squared factors of those of its terms that are in a mask."""
+    table = np.concatenate([model.weights[:, None], model.factors, (model.factors**2).sum(1)[:, None]], 1).astype(np.float32) * terms[:, None]
+    out = np.zeros((len(docs), RANK + 2), np.float32)
+    for rows, every, lengths in _parts(docs):
+        some = np.flatnonzero(lengths)
+        out[rows][some] = np.add.reduceat(table[every], (np.cumsum(lengths) - lengths)[some], axis=0) if len(some) else 0.0
+    return out
+
+
+def _back_to_terms(docs: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Sums over the documents that hold each term."""
+    out = np.zeros((1 << BITS, own.shape[1]))
+    for rows, every, lengths in _parts(docs):
+        for k in range(own.shape[1]):
+            out[:, k] += np.bincount(every, np.repeat(own[rows, k], lengths), 1 << BITS)
+    return out
+
+
 def calibrated(docs: list[np.ndarray], labels: np.ndarray, prior: float = 1.0) -> FactorizationMachine:
     """Fitted to four fifths of the rows and scaled on the last fifth, which the fit hasn't seen.
 

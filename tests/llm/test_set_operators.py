@@ -158,6 +158,50 @@ def test_mixing_targets(spark, edges):
     assert mixing.mix_report(edges.where("false")).count() == 0 and mixing.mixed_documents(edges.where("false")).count() == 0
 
 
+def test_mixing_follows_its_inclusion_odds(spark):
+    """Over many sources alike, each size is taken as often as its expected copies say, and long documents more often."""
+    sizes = [3, 10, 30, 100, 200, 300, 500, 800, 1000, 1500]
+    text = {n: " ".join(["w"] * n) for n in sizes}
+    rows = [(1000 * s + 10 * i + k, text[n], f"s{s:03d}") for s in range(240) for i, n in enumerate(sizes) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs).collect()
+    for target in {r["target"] for r in got}:
+        own = [r for r in got if r["target"] == target]
+        total, rate = own[0]["source_size"], target / own[0]["source_size"]
+        score = {n: 1000 * n // (n + mixing.HALF_SIZE) for n in sizes}
+        mean = sum(3 * n * score[n] for n in sizes) / (1000 * total)
+        tilt = min(mixing.TILT, (mixing.MOST_COPIES - rate) / rate)
+        want = {n: rate * (1 + tilt * (score[n] / 1000 - mean)) for n in sizes}
+        assert math.isclose(sum(3 * n * want[n] for n in sizes), target, rel_tol=1e-9)
+        taken = {n: np.mean([r["taken"] / n for r in own if r["size"] == n]) for n in sizes}
+        assert all(abs(taken[n] - want[n]) < 0.12 for n in sizes), (target, taken, want)
+        if rate < 1.9:
+            assert want[1500] - want[3] > 0.1 and taken[1500] > taken[3]
+
+
+def test_mixing_of_rows_that_share_an_id(spark):
+    """Null ids, with different texts and with the same: each source comes near its target, whatever the partitions."""
+    rows = [(None, f"a{i} b c", "x") for i in range(110)] + [(None, "same words here", "y")] * 110 + [(i, "d e f g", "z") for i in range(50)]
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        report = mixing.mix_report(docs).collect()
+        for target in {r["target"] for r in report}:
+            own = [r for r in report if r["target"] == target]
+            assert abs(sum(r["taken"] for r in own) - target) <= 4 and all(r["taken"] <= 2 * r["size"] for r in own)
+        mixed = Counter(r["source"] for r in mixing.mixed_documents(docs).collect())
+        assert sum(mixed.values()) * 3 <= sum(r["taken"] for r in report) <= sum(mixed.values()) * 4
+
+
+def test_no_operator_has_names_of_its_own(spark, edges):
+    taken = ["slot", "shard", "at", "index", "u", "uid", "size", "cut", "times", "whole", "ratio", "of", "doc", "id", "__slot", "__shard", "__row", "row", "bucket", "chunk", "content", "length"]
+    for name in taken:
+        marked = edges.select("doc_id", "text", "source", F.lit("mine").alias(name))
+        for out in (mixing.mixed_documents(marked), sharding.shard_documents(marked, slot_into="s1", shard_into="s2"), ngram_join.one_of_each(marked) if name in ("row", "__row") else marked):
+            assert name in out.columns and {r[name] for r in out.select(name).collect()} == {"mine"}
+    assert packing.packed_documents(edges.withColumn("length", F.lit("x"))).count() == 12
+    assert sharding.shard_documents(edges.where("false")).count() == 0
+
+
 def test_sharding(spark, edges):
     table = sharding.lookup_table()
     assert len(table) == sharding.TABLE_SIZE and set(table) == set(range(len(sharding.SHARDS)))
@@ -196,6 +240,31 @@ def test_boundaries_are_optimal():
         assert sum(next(e for e in ends if e >= n) - n for n in lengths) == brute_padding(lengths, k)
 
 
+def test_boundaries_of_long_lengths_are_optimal():
+    """Lengths of any size are exact; sums beyond what a double holds as well."""
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        lengths = rng.integers(200, 20_000, rng.integers(1, 14)).tolist()
+        k = int(rng.integers(1, 5))
+        values, counts = np.unique(lengths, return_counts=True)
+        ends = packing.best_boundaries(values, counts, k)
+        assert sum(next(e for e in ends if e >= n) - n for n in lengths) == brute_padding(lengths, k)
+        assert packing.best_boundaries(values, counts * 10**15, k) == ends or k > 1
+    assert packing.best_boundaries(np.array([], np.int64), np.array([], np.int64), 3) == []
+
+
+def test_batches_do_not_depend_on_partitions(spark):
+    docs, seen = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            seen.append(Counter(map(tuple, packing.packed_documents(docs.repartition(parts)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
 def test_packing(spark, edges):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for table in (docs, edges):
@@ -230,6 +299,28 @@ def test_neighbours(spark):
     assert len(got) == len(asked) and hits / (20 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e200, 1e-200, 1e22])
+def test_neighbours_over_several_blocks(spark, scale):
+    """Recall against brute force with many blocks, at any magnitude."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 12)) + 3 * rng.normal(size=(10, 12))[rng.integers(0, 10, 700)]
+    df = spark.createDataFrame([(int(i), (v * scale).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest_neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=10, vector_block=150, query_block=9).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got[q] & {int(j) for j in np.argsort(-(x @ x[q]), kind="stable") if j != q and list(np.argsort(-(x @ x[q]), kind="stable")).index(j) <= 10}) for q in range(0, 700, 20))
+    assert all(len(v) == 10 for v in got.values()) and len(got) == 35
+    if scale != 1e200 and scale != 1e-200:  # there inner products leave the range of a double
+        assert hits / 350 >= 0.9
+
+
+def test_neighbours_of_one_length_each(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (20, [1.0]), (1 << 62, [3.0]), (40, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 2.0), (20, 1, 1 << 62, 3.0)]
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [3.0, 1.0]), (7, [1.0]), (None, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
