@@ -10,6 +10,7 @@ Spark pushes into the scan.
 
 from __future__ import annotations
 
+import contextlib
 import inspect
 import itertools
 import math
@@ -19,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -177,13 +179,28 @@ class GraphState:
         if not booked:
             return
         self.runs += 1
-        for kind in ("scalar", "binned", "rows"):
-            some = [b for b in booked if b.kind == kind or kind == "scalar" and b.kind == "report"]
-            if some:
-                getattr(self, f"run_{kind}")(some)
+        kinds = {"scalar" if b.kind == "report" else b.kind for b in booked}
+        with self.held(len(kinds) > 1):
+            for kind in ("scalar", "binned", "rows"):
+                some = [b for b in booked if b.kind == kind or kind == "scalar" and b.kind == "report"]
+                if some:
+                    getattr(self, f"run_{kind}")(some)
         for b in booked:
             b.done = True
 
+    @contextlib.contextmanager
+    def held(self, several: bool):
+        """While several jobs read a table that is more than a scan, it is kept, in memory or on disk, and computed once."""
+        plan = self.base._jdf.queryExecution().optimizedPlan().toString() if several else ""
+        keep = any(x in plan for x in ("Aggregate", "Join", "Window", "Sort")) and not self.base.is_cached
+        if keep:
+            self.base.persist()
+        try:
+            yield
+        finally:
+            if keep:
+                self.base.unpersist()
+
     def plan(self, booked: list[Booked]) -> tuple[DataFrame, Callable[[Booked], Column]]:
         nodes = {b.node._steps for b in booked}
         if len(nodes) == 1 and all(b.kind != "report" for b in booked):
@@ -327,7 +344,7 @@ class Frame:
         if self._entry is not None:
             names["rdfentry_"] = Value(self._entry.cast("long"), "u64")
         names["rdfslot_"] = Value(F.spark_partition_id(), "u32")
-        return Binder(names, self._entry)
+        return Binder(names, self._entry, {n: _declared(*d) for n, d in DECLARED.items()})
 
     def bound(self, what, columns: list[str] | None = None, returns: str | None = None) -> Value:
         """A string expression, a Column with its type declared, or a batch callable."""
@@ -631,12 +648,12 @@ class Frame:
         if not first:
             axis = Axis(128, 0.0, 1.0)
         else:
-            _, a, b = good_limits(128, float(min(first)), float(max(first)), not floating(v.kind))
+            bins, a, b = good_limits(128, float(min(first)), float(max(first)), not floating(v.kind))
             while low < a:
                 a -= b - a
             while high >= b:
                 b += b - a
-            axis = Axis(128, a, b)
+            axis = Axis(bins, a, b)
         h = Histogram([axis], name, name)
         return self._book("binned", lambda rows: h.copy().add_bins(rows), self._bins(h.axes, [v], weight))
 
@@ -823,6 +840,30 @@ def profile_model(model, dim: int) -> Profile:
     return Profile(h.axes, tuple(rest[:2]) if len(rest) >= 2 else None, option, h.name, h.title)
 
 
+#: Functions of batches that expressions may call by name: function and C++ type of the result.
+DECLARED: dict[str, tuple[Callable, str]] = {}
+
+
+def declare(name: str, f: Callable, returns: str = "double") -> None:
+    """Let expressions call a Python function of arrays by name; it runs on whole Arrow batches."""
+    if not _IDENTIFIER.match(name):
+        raise ExpressionError(f"{name!r} can't name a function")
+    DECLARED[name] = (f, returns)
+
+
+def _declared(f: Callable, returns: str) -> Callable[..., Value]:
+    kind = CAST_NAMES[returns]
+
+    def call(*args: Value) -> Value:
+        @F.arrow_udf(spark_type(kind))
+        def batch(rows: pa.Array) -> pa.Array:
+            return pa.array(np.asarray(f(*[c.to_numpy(zero_copy_only=False) for c in rows.flatten()])))
+
+        return Value(batch(F.struct(*[a.column.alias(f"x{i}") for i, a in enumerate(args)])), kind)
+
+    return call
+
+
 def run_graphs(*results: Result) -> int:
     """Run everything pending on the frames of these results; the number of runs."""
     graphs = {id(r._booked.node._graph): r._booked.node._graph for r in results if not r._booked.done}

@@ -82,13 +82,19 @@ def _extreme(f, name: str):
     def run(v: Value, entry=None) -> Value:
         _must(v, name)
         empty = F.raise_error(ieee.where(f"{name} of an empty collection", entry)).cast(spark_type(v.kind))
-        return Value(F.when(F.size(v.column) > 0, f(v.column)).otherwise(empty), v.kind)
+        return Value(F.when(_odd(v), F.lit(math.nan).cast(spark_type(v.kind))).when(F.size(v.column) > 0, f(v.column)).otherwise(empty), v.kind)
 
     return run
 
 
+def _odd(v: Value) -> Column:
+    """Whether any element is not a number: then so are the extremes, and no element equals them."""
+    return F.exists(v.column, lambda x: F.isnan(x)) if floating(v.kind) else F.lit(False)
+
+
 def _arg_extreme(f):
-    return lambda v, entry=None: Value(F.when(F.size(v.column) > 0, F.array_position(v.column, f(v.column)) - 1).otherwise(0).cast("long"), "u64")
+    """The first of the extreme elements; 0 where there is none."""
+    return lambda v, entry=None: Value(F.when((F.size(v.column) > 0) & ~_odd(v), F.array_position(v.column, f(v.column)) - 1).otherwise(0).cast("long"), "u64")
 
 
 def taken(v: Value, which: Value, default: Value | None = None, entry: Column | None = None) -> Value:

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventframe.functions import special
 from eventframe.hist.axis import Axis
 
 _XYZ = "xyz"
@@ -361,6 +362,38 @@ class Histogram:
             out.append(float(edges[k] + (edges[k + 1] - edges[k]) * (p - running[k]) / step) if step > 0 else float(edges[k]))
         return out
 
+    # single bins, flow included ---------------------------------------------------------------------------------
+
+    def bin_content(self, *at: int) -> float:
+        return float(self.content[at])
+
+    def set_bin_content(self, *at_and_value) -> None:
+        *at, value = at_and_value
+        self.content[tuple(at)] = value
+
+    def add_bin_content(self, *at: int, weight: float = 1.0) -> None:
+        self.content[at] += weight
+        self.sumw2[at] += weight * weight
+
+    def bin_error(self, *at: int) -> float:
+        return float(self.errors(True)[at])
+
+    def bin_error_limits(self, *at: int, level: float = 0.682689492137) -> tuple[float, float]:
+        """How far an unweighted bin reaches down and up, by central Poisson limits."""
+        n, tail = self.bin_content(*at), (1 - level) / 2
+        low = special.gamma_quantile(tail, n) if n > 0 else 0.0
+        return n - low, special.gamma_quantile(1 - tail, n + 1) - n
+
+    def interpolated(self, x: float, order: int = 1) -> float:
+        """Of one axis, by the polynomial through the nearest ``order + 1`` bin centres."""
+        centers, y = self.axes[0].centers(), self.counts()
+        k = int(np.clip(np.searchsorted(centers, x) - (order + 1) // 2, 0, max(0, len(centers) - order - 1)))
+        near, values, out = centers[k : k + order + 1], y[k : k + order + 1], 0.0
+        for i, (c, v) in enumerate(zip(near, values)):
+            others = np.delete(near, i)
+            out += v * float(np.prod((x - others) / (c - others)))
+        return out
+
     # indexing by bins: ints, slices, ``sum`` ------------------------------------------------------------------
 
     def __getitem__(self, key):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 
@@ -68,3 +71,28 @@ def difference(a: DataFrame, b: DataFrame, key: Sequence[str], tolerance: float
         x, y = F.col(f"a.{v}"), F.col(f"b.{v}")
         unequal = unequal | (F.abs(x - y) > tolerance if v in numeric else ~x.eqNullSafe(y)) | (x.isNull() != y.isNull())
     return both.where(unequal).select(*key, *[F.col(f"a.{v}").alias(f"a_{v}") for v in values], *[F.col(f"b.{v}").alias(f"b_{v}") for v in values])
+
+
+def table_function(df: DataFrame, f: Callable[[dict], Iterator[tuple]], schema: str, columns: Sequence[str]) -> DataFrame:
+    """Rows that a Python function makes of each row, beside that row: batches on the executors, nothing gathered."""
+    made = T._parse_datatype_string(schema)
+    whole = T.StructType([*df.schema.fields, *made.fields])
+
+    def run(batches):
+        for b in batches:
+            at, rows = [], []
+            for i, values in enumerate(zip(*[b.column(c).to_pylist() for c in columns])):
+                found = list(f(dict(zip(columns, values))))
+                at += [i] * len(found)
+                rows += found
+            own = pa.Table.from_batches([b]).take(pa.array(at, pa.int64()))
+            for k, field in enumerate(made.fields):
+                own = own.append_column(field.name, pa.array([r[k] for r in rows], to_arrow_type(field.dataType)))
+            yield from own.combine_chunks().to_batches()
+
+    return df.mapInArrow(run, whole)
+
+
+def approximate_distinct(df: DataFrame, by: Sequence[str], column: str, error: float = 0.02) -> DataFrame:
+    """Distinct values by a sketch that merges across partitions."""
+    return df.groupBy(*by).agg(F.approx_count_distinct(column, error).alias("about"))

@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventframe.functions import ieee, scalar, vecops
+from eventframe.functions import ieee, scalar, textual, vecops
 from eventframe.plans import parser as P
 from eventframe.types import ExpressionError, Value, array_of, common, floating, integral, kind_of, promoted, spark_type
 
@@ -232,7 +232,9 @@ class Binder:
             return f(*args, entry=self.entry)
         if n.name in scalar.REGISTRY:
             return vecops.mapped(n.name, args, self.entry)
-        raise self.unknown(n.name, [*vecops.REGISTRY, *scalar.REGISTRY, *self.functions])
+        if n.name in textual.REGISTRY:
+            return textual.call(n.name, args)
+        raise self.unknown(n.name, [*vecops.REGISTRY, *scalar.REGISTRY, *textual.REGISTRY, *self.functions])
 
 
 def bound_columns(df) -> dict[str, Value]:

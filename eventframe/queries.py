@@ -14,7 +14,7 @@ from eventframe.hist import Efficiency, Profile, sparse_bins
 from eventframe.operators import relational
 from eventframe.plans import formula
 from eventframe.plans.binder import Binder, bound_columns
-from eventframe.sources import tables
+from eventframe.sources import sinks, tables
 from eventframe.streaming import events as streams
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -428,7 +428,7 @@ def stream_histogram(spark, sf_dir):
     path = _path(sf_dir, "events")
     folder = path if os.path.isdir(path) else f"{sf_dir}/events*.parquet"
     stream = streams.growing_histogram(streams.read_events(spark, folder, schema), (20, 0.0, 500.0), F.col("value"))
-    return streams.drained(stream, f"growing_{abs(hash(sf_dir)) % 10**9}").select("bx", "n")
+    return streams.drained(stream, sinks.new_folder(spark)).select("bx", "n")
 
 
 @query("""

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import os
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventframe.frame import ENTRY, Frame
@@ -20,16 +16,6 @@ from eventframe.queries import _ORDERS_SQL, _bin_sql, _content, _frame, _orders,
 from eventframe.sources import sinks, tables, text
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all workers reach: below the checkpoint folder, or a temporary one of a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all workers reach")
-        root = "file://" + tempfile.mkdtemp(prefix="eventframe-")
-    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 # ---- collections ---------------------------------------------------------------------------------------------
 
 _vec(
@@ -187,7 +173,7 @@ def results_of_frames(spark, sf_dir):
 @query("select count(*) n, round(sum(c_acctbal), 2) total, round(sum(c_acctbal * 2), 2) twice from customer where c_acctbal > 0")
 def snapshot_cache(spark, sf_dir):
     """Written, read again, cached, visited in batches."""
-    f = _frame(spark, sf_dir, "customer").Filter("c_acctbal > 0").Define("twice", "c_acctbal * 2").Snapshot(_folder(spark), ["c_custkey", "c_acctbal", "twice"])
+    f = _frame(spark, sf_dir, "customer").Filter("c_acctbal > 0").Define("twice", "c_acctbal * 2").Snapshot(sinks.new_folder(spark), ["c_custkey", "c_acctbal", "twice"])
     seen = f.Cache()
     seen.Foreach(lambda k: None, ["c_custkey"])
     n, total, twice = seen.Count(), seen.Sum("c_acctbal"), seen.Sum("twice")
@@ -405,7 +391,7 @@ def tree_readers(spark, sf_dir):
 @query("select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
 def csv_round_trip(spark, sf_dir):
     """Written as text with a header and quotes, read again with types inferred."""
-    path = _folder(spark)
+    path = sinks.new_folder(spark)
     t = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").orderBy("c_custkey").coalesce(1)
     t.write.option("header", True).option("quoteAll", True).csv(path)
     return text.csv(spark, path).drop(ENTRY)
@@ -414,7 +400,7 @@ def csv_round_trip(spark, sf_dir):
 @query("select s_suppkey k, s_acctbal v, s_name name from supplier")
 def leaf_list_file(spark, sf_dir):
     """Rows as plain text, read by a leaf list."""
-    path = _folder(spark)
+    path = sinks.new_folder(spark)
     sinks.write_ascii(_table(spark, sf_dir, "supplier"), path, ["s_suppkey", "s_acctbal", "s_name"])
     return text.read_file(spark, path, "k/L:v/D:name/C")
 
@@ -422,14 +408,14 @@ def leaf_list_file(spark, sf_dir):
 @query("select o_orderkey, o_totalprice from (select row_number() over () - 1 e, * from (select * from orders)) where e >= 100 and e < 5000 and o_totalprice > 100000 union all select o_orderkey, o_totalprice from orders where o_orderkey < 10")
 def tables_written(spark, sf_dir):
     """A part of a table copied by a formula, with more rows appended."""
-    path, t = _folder(spark), tables.parquet(spark, _path(sf_dir, "orders"))
+    path, t = sinks.new_folder(spark), tables.parquet(spark, _path(sf_dir, "orders"))
     sinks.copy_where(t, path, "o_totalprice>100000", 100, 5000)
     return sinks.write(t.where("o_orderkey < 10"), path, "UPDATE").select("o_orderkey", "o_totalprice")
 
 
 @query("select c_mktsegment, count(*) n from customer where c_mktsegment in ('BUILDING', 'MACHINERY') group by 1")
 def partitioned_sink(spark, sf_dir):
-    path = _folder(spark)
+    path = sinks.new_folder(spark)
     sinks.partitioned(_table(spark, sf_dir, "customer"), path, ["c_mktsegment"])
     return spark.read.parquet(path).where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
@@ -447,7 +433,7 @@ def frames_in_memory(spark, sf_dir):
 @query("select sample, count(*) n, round(sum(x * scale), 4) total from (select 'sig' sample, c_acctbal x, 2.0 scale from customer union all select 'bkg', s_acctbal, 0.5 from supplier) group by 1")
 def samples_with_metadata(spark, sf_dir):
     """Samples of files with metadata; a frame over them."""
-    one = lambda name, column: sinks.write(_table(spark, sf_dir, name).select(F.col(column).alias("x")), _folder(spark))
+    one = lambda name, column: sinks.write(_table(spark, sf_dir, name).select(F.col(column).alias("x")), sinks.new_folder(spark))
     paths = {"sig": (one("customer", "c_acctbal"), 2.0), "bkg": (one("supplier", "s_acctbal"), 0.5)}
     files = {k: (df.select("__file").first()[0], v) for k, (df, v) in paths.items()}
     samples = tables.with_samples(spark, {k: ([os.path.dirname(f)], {"scale": v}) for k, (f, v) in files.items()})
@@ -458,7 +444,7 @@ def samples_with_metadata(spark, sf_dir):
 @query("select i part, count(*) n, min(e) lowest from (select e, e // 100 i from (select row_number() over () - 1 e from (select * from orders limit 1200))) group by 1")
 def chain_order(spark, sf_dir):
     """Twelve files in the order they are named in: entries go on from file to file."""
-    t, path = tables.parquet(spark, _path(sf_dir, "orders")), _folder(spark)
+    t, path = tables.parquet(spark, _path(sf_dir, "orders")), sinks.new_folder(spark)
     names = [f"{path}/part-{i}" for i in range(12)]
     for i, name in enumerate(names):
         t.where((F.col(ENTRY) >= 100 * i) & (F.col(ENTRY) < 100 * i + 100)).select(F.lit(i).cast("long").alias("part"), "o_orderkey").write.parquet(name)
@@ -476,3 +462,122 @@ def formula_arrays(spark, sf_dir):
     t = _table(spark, sf_dir, "supplier")
     out = formula.arrays(t, {"i": "s_suppkey", "y": "4*u*(1-u)"}, "s_acctbal>-5000", {"u": "(s_acctbal+1000)/11000"})
     return out.select(F.col("i").cast("bigint").alias("i"), F.round("y", 9).alias("y"))
+
+
+@query("select event_id, cast(year(ts) as int) y, cast(month(ts) as int) m, cast(hour(ts) as int) h, cast(json_extract_string(props, '$.k') as double) k, contains(event_type, 'c') c, upper(event_type) up from events")
+def text_time_json(spark, sf_dir):
+    """Functions of time, JSON and text in expressions."""
+    f = _plain(spark, sf_dir, "events")
+    for name, e in (("y", "Year(ts)"), ("m", "Month(ts)"), ("h", "Hour(ts)"), ("k", 'JsonNumber(props, "$.k")'), ("c", 'strstr(event_type, "c")'), ("up", "Upper(event_type)")):
+        f = f.Define(name, e)
+    return f.dataframe(["event_id", "y", "m", "h", "k", "c", "up"])
+
+
+@query("select event_id, value * 2 twice, cast(json_extract_string(props, '$.k') as double) k from events")
+def map_columns(spark, sf_dir):
+    """Members of a map column by key; null where it has none."""
+    t = _table(spark, sf_dir, "events").withColumn("held", F.from_json("props", "map<string,double>")).withColumn("named", F.create_map(F.lit("twice"), F.col("value") * 2))
+    f = Frame(t).Define("twice", 'MapNumber(named, "twice")').Define("k", 'MapNumber(held, "k")')
+    return f.dataframe(["event_id", "twice", "k"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(l_quantity * l_quantity + 1, 6) grown from lineitem where l_quantity * l_quantity + 1 > 100")
+def declared_functions(spark, sf_dir):
+    """A Python function of batches, declared by name and called in expressions."""
+    from eventframe.frame import declare
+
+    declare("grow", lambda x, y: x * y + 1.0)
+    f = _plain(spark, sf_dir, "lineitem").Define("grown", "grow(l_quantity, l_quantity)").Filter("grow(l_quantity, l_quantity) > 100")
+    return f.dataframe(["l_orderkey", "l_linenumber", "l_partkey", "grown"]).withColumn("grown", F.round("grown", 6))
+
+
+@query(f"""
+with {_ORDERS_SQL}, p as (select l_orderkey, unnest(qty) / 10 pt, unnest(disc) eta, unnest(qty) phi from orders_), c as (select *, (exp(eta) - exp(-eta)) / 2 sh from p),
+t as (select l_orderkey, sum(pt * cos(phi)) x, sum(pt * sin(phi)) y, sum(pt * sh) z, sum(sqrt(pt * pt * (1 + sh * sh) + 1)) e from c group by 1)
+select l_orderkey, round(sqrt(e * e - x * x - y * y - z * z), 5) mass, round(sqrt(x * x + y * y), 5) pt from t
+""")
+def four_vectors(spark, sf_dir):
+    from eventframe.operators import fourvectors as v
+
+    orders = _orders(spark, sf_dir)
+    tenth, one = F.transform("qty", lambda x: x / 10), F.transform("qty", lambda x: F.lit(1.0))
+    summed = orders.select("l_orderkey", v.total(v.zipped(tenth, F.col("disc"), F.col("qty"), one)).alias("p"))
+    return summed.select("l_orderkey", F.round(v.mass(F.col("p")), 5).alias("mass"), F.round(v.transverse(F.col("p")), 5).alias("pt"))
+
+
+@query("with o as (select row_number() over () - 1 e, * from (select * from orders)), c as (select row_number() over () - 1 e, * from (select * from customer)) select o_orderkey, round(o_totalprice * 1.5, 4) scaled, c_custkey friend_key from o left join c using (e) where e >= 100 and e < 2000")
+def dataset_spec(spark, sf_dir):
+    """Samples with metadata, a friend and a range of entries, described as plain data."""
+    spec = tables.DatasetSpec.of({"samples": {"all": {"files": [_path(sf_dir, "orders")], "metadata": {"scale": 1.5}}}, "friends": {"c": [_path(sf_dir, "customer")]}, "range": (100, 2000)})
+    t = Frame(spec.table(spark)).Define("scaled", f"o_totalprice * scale + {spec.metadata('all', 'none', 0.0)}")
+    return t.dataframe(["o_orderkey", "scaled", "c_c_custkey"]).select("o_orderkey", F.round("scaled", 4).alias("scaled"), F.col("c_c_custkey").alias("friend_key"))
+
+
+@query("select 0::bigint first, count(*) last, 1 files from orders")
+def sample_info(spark, sf_dir):
+    return tables.sample_info(tables.parquet(spark, _path(sf_dir, "orders"))).agg(F.min("begin").alias("first"), F.max("end").alias("last"), F.count("*").cast("int").alias("files"))
+
+
+@query("select c_custkey k, round(c_acctbal, 2) b from customer where c_acctbal > 0")
+def lazy_table(spark, sf_dir):
+    """A table of columns that were booked as results of a frame."""
+    f = _frame(spark, sf_dir, "customer").Filter("c_acctbal > 0")
+    return tables.lazy(spark, {"k": f.Take("c_custkey"), "b": f.Take("c_acctbal")}).select("k", F.round("b", 2).alias("b"))
+
+
+@query("select n_nationkey::bigint key, n_name as name, n_nationkey * 0.5::double half from nation where n_regionkey = 1")
+def sqlite_source(spark, sf_dir):
+    """A query that SQLite runs, over a file written from a table."""
+    import sqlite3
+
+    rows = [(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in _table(spark, sf_dir, "nation").collect()]
+    folder = sinks.new_folder(spark).removeprefix("file://")  # SQLite opens files of a file system that all workers mount
+    os.makedirs(folder)
+    file = os.path.join(folder, "nations.db")
+    with sqlite3.connect(file) as con:
+        con.execute("create table nation (n_nationkey integer, n_name text, n_regionkey integer)")
+        con.executemany("insert into nation values (?, ?, ?)", rows)
+    return text.sqlite(spark, file, "select n_nationkey key, n_name name, n_nationkey * 0.5 half from nation where n_regionkey = 1").drop(ENTRY)
+
+
+@query("select n_nationkey, i::bigint i, chr((ascii(n_name) + i)::int) letter from nation, range(0, 3) t(i) where n_nationkey % 2 = 0")
+def table_functions(spark, sf_dir):
+    """Rows that a Python function makes of each row."""
+
+    def letters(row):
+        for i in range(3 if row["n_nationkey"] % 2 == 0 else 0):
+            yield i, chr(ord(row["n_name"][0]) + i)
+
+    made = relational.table_function(_table(spark, sf_dir, "nation"), letters, "i bigint, letter string", ["n_nationkey", "n_name"])
+    return made.select("n_nationkey", "i", "letter")
+
+
+@query(f"""
+with b as (select {_bin_sql(20, 0, 50, 'l_quantity')} bx, count(*) filter (l_returnflag = 'R')::double r, count(*) filter (l_returnflag = 'A')::double a from lineitem group by 1), i as (select * from b where bx between 1 and 20),
+s as (select sum(r) sr, sum(a) sa from i), c as (select sum(r) over (order by bx) / sr cr, sum(a) over (order by bx) / sa ca from i, s)
+select * from (select 'distance' what, round(max(abs(cr - ca)), 9) value from c union all select 'chi2', round(sum(pow(sa * r - sr * a, 2) / (r + a)) / max(sr * sa), 6) from i, s where r + a > 0 union all select 'ndf', sum((r + a > 0)::int) - 1.0 from i
+  union all select 'down', round(sqrt(a), 0) * 0 from b where bx = 3 union all select 'set', 7.0 union all select 'added', 9.5 union all select 'error', round(sqrt(r), 9) from b where bx = 4 union all select 'line', round((select r from b where bx = 4) * 0.4 + (select r from b where bx = 5) * 0.6, 6))
+""")
+def histogram_comparisons(spark, sf_dir):
+    """Kolmogorov distance, chi-square, single bins and values between bins."""
+    from eventframe.hist.compare import chi2, kolmogorov
+
+    f, model = _plain(spark, sf_dir, "lineitem"), ("h", "", 20, 0.0, 50.0)
+    r, a = (f.Filter(f'l_returnflag == "{x}"').Histo1D(model, "l_quantity") for x in "RA")
+    r, a = r.GetValue(), a.GetValue()
+    test, changed = chi2(r, a), r.copy()
+    changed.set_bin_content(2, 7.0)
+    found = {"distance": round(kolmogorov(r, a, "M"), 9), "chi2": round(test.chi2, 6), "ndf": test.ndf, "down": 0.0 if a.bin_error_limits(3)[0] < a.bin_error_limits(3)[1] else -1.0, "set": changed.bin_content(2), "error": round(r.bin_error(4), 9), "line": round(r.interpolated(r.axes[0].centers()[3] + 0.6 * 2.5), 6)}
+    changed.add_bin_content(2, weight=2.5)
+    return _rows(spark, "what string, value double", [(k, float(v)) for k, v in (found | {"added": changed.bin_content(2)}).items()])
+
+
+@query("select event_id, user_id from events")
+def stream_deduplicated(spark, sf_dir):
+    """Events of a stream without repeats of their ids."""
+    from eventframe.streaming import events as streams
+
+    schema, path = _table(spark, sf_dir, "events").schema, _path(sf_dir, "events")
+    stream = streams.read_events(spark, path if os.path.isdir(path) else f"{sf_dir}/events*.parquet", schema)
+    return streams.drained(streams.deduplicated(streams.timed(stream), "ts", ["event_id"]).select("event_id", "user_id"), sinks.new_folder(spark), "append")
+

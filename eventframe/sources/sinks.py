@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventframe.plans import formula
@@ -11,6 +14,16 @@ from eventframe.sources.tables import ENTRY, parquet
 _MODES = {"RECREATE": "overwrite", "CREATE": "error", "NEW": "error", "UPDATE": "append"}
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder that all workers reach: below the checkpoint folder, or a temporary one of a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all workers reach")
+        root = "file://" + tempfile.mkdtemp(prefix="eventframe-")
+    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def write(df: DataFrame, path: str, mode: str = "RECREATE", compression: str = "zstd", ordered: bool = False) -> DataFrame:
     """Write Parquet and read it again. ``UPDATE`` adds to what is there; a failure leaves that as it was."""
     out = df.orderBy(ENTRY) if ordered and ENTRY in df.columns else df

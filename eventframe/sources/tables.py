@@ -201,3 +201,55 @@ def tail(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col(ENTRY) >= df.count() - n)
 
 
+def lazy(spark: SparkSession, results: Mapping[str, object]) -> DataFrame:
+    """Columns from booked ``Take`` results, which run when the table is made."""
+    return columns(spark, {name: list(r) for name, r in results.items()})
+
+
+def sample_info(df: DataFrame) -> DataFrame:
+    """Per source file: its path, first entry and the one after its last."""
+    return df.groupBy(F.col(FILE).alias("file")).agg(F.min(ENTRY).alias("begin"), (F.max(ENTRY) + 1).alias("end"))
+
+
+class DatasetSpec:
+    """Samples of files with metadata, friends over all of them, and a range of entries."""
+
+    def __init__(self):
+        self.samples: dict[str, tuple[list[str], dict]] = {}
+        self.friends: dict[str, list[str]] = {}
+        self.range: tuple[int, int | None] = (0, None)
+
+    @classmethod
+    def of(cls, spec: Mapping) -> DatasetSpec:
+        """From a plain description: samples (files, metadata), friends, range."""
+        out = cls()
+        for name, s in spec["samples"].items():
+            out.with_sample(name, s["files"], s.get("metadata", {}))
+        for alias, files in spec.get("friends", {}).items():
+            out.with_friend(alias, files)
+        return out.with_range(*spec["range"]) if "range" in spec else out
+
+    def with_sample(self, name: str, files: Sequence[str], metadata: Mapping[str, float | int | str] | None = None) -> DatasetSpec:
+        self.samples[name] = (list(files), dict(metadata or {}))
+        return self
+
+    def with_friend(self, alias: str, files: Sequence[str]) -> DatasetSpec:
+        self.friends[alias] = list(files)
+        return self
+
+    def with_range(self, begin: int, end: int | None = None) -> DatasetSpec:
+        self.range = (begin, end)
+        return self
+
+    def metadata(self, sample: str, key: str, default=None):
+        """A value of a sample; without a default, a missing one is an error."""
+        held = self.samples[sample][1]
+        return held[key] if default is None else held.get(key, default)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        out = with_samples(spark, self.samples)
+        for alias, files in self.friends.items():
+            out = positional_friend(out, parquet(spark, *files), alias)
+        begin, end = self.range
+        out = out.where(F.col(ENTRY) >= begin) if begin else out
+        return out.where(F.col(ENTRY) < end) if end is not None else out

@@ -145,3 +145,30 @@ def read_file(spark: SparkSession, path: str, descriptor: str, delimiter: str =
 def from_sql(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
     """The result of a query over named tables."""
     return spark.sql(query, **views)
+
+
+def sqlite(spark: SparkSession, file: str, query: str) -> DataFrame:
+    """The result of a query that SQLite itself runs, in its order; one task reads it, in batches.
+
+    Types follow the columns' declared ones, and the first row where a column
+    has none. The file must be where all workers reach it.
+    """
+    import sqlite3
+
+    import pandas as pd
+
+    with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as con:
+        names = [d[0] for d in con.execute(f"select * from ({query}) limit 0").description]
+        kinds = con.execute(f"select {', '.join(f'typeof([{n}])' for n in names)} from ({query}) limit 1").fetchone() or ["text"] * len(names)
+    spark_kinds = {"integer": "long", "real": "double", "blob": "binary"}
+
+    def rows(batches):
+        for _ in batches:
+            with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as own:
+                found, at = own.execute(query), 0
+                while part := found.fetchmany(10_000):
+                    yield pd.DataFrame(part, columns=names).assign(**{ENTRY: range(at, at + len(part))})
+                    at += len(part)
+
+    schema = ", ".join([f"`{n}` {spark_kinds.get(k, 'string')}" for n, k in zip(names, kinds)] + [f"{ENTRY} long"])
+    return spark.range(1, numPartitions=1).mapInPandas(rows, schema)

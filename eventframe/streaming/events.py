@@ -41,11 +41,20 @@ def growing_histogram(df: DataFrame, axis, value: Column) -> DataFrame:
     return df.groupBy(Axis.of(axis).bin(value).alias("bx")).agg(F.count("*").alias("n"), F.sum(value).alias("wx"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what there is and return the result table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what there is and return the result table, stored below ``folder``.
+
+    Each batch has a folder of its own, written whole, so a batch that is run
+    again after a failure replaces itself. In complete mode the last one counts.
+    """
+    spark, done = stream.sparkSession, []
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        done.append(f"{folder}/{number}")
+
+    query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(done[-1:] if mode == "complete" else done))
