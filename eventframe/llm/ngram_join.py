@@ -10,11 +10,12 @@
 3. Of each key's nodes, those of a size band are compared with one of them,
    which joins most copies in one step. A key whose nodes are not all joined
    by then belongs to the class that most of them are in, and all nodes of a
-   class's keys form one block, each with its sorted array. A block is cut into
-   tiles; in a tile, nodes of neighbouring size bands are compared: bit counts
-   of the signatures bound the overlap from above, and what passes is settled
-   by intersecting the sorted arrays. A tile returns a spanning forest of its
-   links, so that it never has more rows than members.
+   class's keys form one block. A block is cut into tiles; in a tile, nodes of
+   neighbouring size bands are compared, twice. First with their signatures
+   alone: bit counts bound the overlap from above, and nodes that can't link
+   with any go. The others come again with their sorted arrays, whose
+   intersections settle what the bounds leave. A tile returns a spanning forest
+   of its links, so that it never has more rows than members.
 4. Connected components are merged by alternating stars.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -23,7 +24,7 @@ Shingles and sets are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
@@ -332,9 +333,10 @@ class Tile:
         #: The class that each label is in by now.
         self.joined = np.arange(len(names))
         self.band = np.array([band_of(n) for n in self.n.tolist()])
-        arrays = rows["shingles"].to_pylist()
-        self.shingles = np.frombuffer(b"".join(arrays), np.uint64)
-        self.ends = np.cumsum([len(x) // 8 for x in arrays])
+        if "shingles" in rows.column_names:
+            arrays = rows["shingles"].to_pylist()
+            self.shingles = np.frombuffer(b"".join(arrays), np.uint64)
+            self.ends = np.cumsum([len(x) // 8 for x in arrays])
         sigs = rows["sig"].to_pylist()
         self.width = np.array([len(x) for x in sigs])
         self.places = {int(w): np.flatnonzero(self.stays & (self.width == w)) for w in np.unique(self.width)}
@@ -361,6 +363,16 @@ class Tile:
             apart.append(differing[may])
         return (np.concatenate(found), np.concatenate(apart)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def near(self) -> np.ndarray:
+        """Nodes that may link with one of another class."""
+        out = np.zeros(len(self.node), bool)
+        for p in np.flatnonzero(self.asks):
+            others, _ = self.candidates(p)
+            if len(others):
+                out[p] = True
+                out[others] = True
+        return np.unique(self.node[out])
+
     def linked(self, p: int, others: np.ndarray) -> np.ndarray:
         """Which of ``others`` link with ``p``, by intersecting the sorted arrays."""
         own, sizes = self.set_of(p), self.n[others]
@@ -391,27 +403,38 @@ class Tile:
         return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links in each tile, of rows sorted by tile; one tile is held at a time."""
-    held: list[pa.RecordBatch] = []
+_NEAR, _NEAR_ARROW = fields("block:long node:long")
 
-    def settled() -> Iterator[pa.RecordBatch]:
-        links = Tile(pa.Table.from_batches(held)).forest()
-        if links:
-            yield batch(_PAIR_ARROW, [a for a, _ in links], [b for _, b in links])
 
-    for b in batches:
-        tile = np.stack([b.column(c).to_numpy() for c in ("block", "row", "col")])
-        new = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(0)) + 1
-        cuts = [0, *new.tolist(), b.num_rows]
-        for k, (at, end) in enumerate(zip(cuts, cuts[1:])):
-            if held and (k or [held[-1].column(c)[-1].as_py() for c in ("block", "row", "col")] != tile[:, 0].tolist()):
-                yield from settled()
-                held = []
-            if end > at:
-                held.append(b.slice(at, end - at))
-    if held:
-        yield from settled()
+def _near(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    nodes = Tile(pa.Table.from_batches(held)).near()
+    return batch(_NEAR_ARROW, np.full(len(nodes), held[0].column(0)[0].as_py()), nodes)
+
+
+def _forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    links = Tile(pa.Table.from_batches(held)).forest()
+    return batch(_PAIR_ARROW, [a for a, _ in links], [b for _, b in links])
+
+
+def _tiles(settled: Callable[[list[pa.RecordBatch]], pa.RecordBatch]):
+    """What ``settled`` makes of each tile, of rows sorted by tile; one tile is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            tile = np.stack([b.column(c).to_numpy() for c in ("block", "row", "col")])
+            new = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(0)) + 1
+            cuts = [0, *new.tolist(), b.num_rows]
+            for k, (at, end) in enumerate(zip(cuts, cuts[1:])):
+                if held and (k or [held[-1].column(c)[-1].as_py() for c in ("block", "row", "col")] != tile[:, 0].tolist()):
+                    yield settled(held)
+                    held = []
+                if end > at:
+                    held.append(b.slice(at, end - at))
+        if held:
+            yield settled(held)
+
+    return run
 
 
 def _open_members(keyed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -428,21 +451,36 @@ def _open_members(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     return members.withColumn("asks", F.col("label") != F.col("block"))
 
 
-def _tiled(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of nodes of one block that are in different classes: enough of them to join all classes that any link joins."""
-    parts = shuffle_partitions(members.sparkSession)
-    sized = members.join(nodes.select("node", "n", "sig"), "node")
-    asking, size = F.when(F.col("asks"), 1), F.col("n") * 8
-    count = lambda rows, bytes_: F.greatest(F.ceil(F.count(rows) / TILE), F.ceil(F.sum(bytes_) / TILE_BYTES), F.lit(1)).cast("int")
-    blocks_ = members.join(nodes.select("node", "n"), "node").groupBy("block").agg(count(asking, F.when(F.col("asks"), size)).alias("rows"), count("node", size).alias("cols"))
+def _tiled(members: DataFrame, nodes: DataFrame, carried: DataFrame, width: Column) -> DataFrame:
+    """Rows of all tiles of all blocks, sorted by tile: members with what they carry (by node; ``width``: its bytes, of ``n``).
+
+    An asking node stays in one row of tiles and asks in all columns; any other
+    stays in one column of all rows.
+    """
+    sized = members.join(nodes.select("node", "n"), "node").withColumn("width", width)
+    count = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / TILE), F.ceil(F.sum(F.when(which, F.col("width"))) / TILE_BYTES), F.lit(1)).cast("int")
+    grids = sized.groupBy("block").agg(count(F.col("asks")).alias("rows"), count(F.lit(True)).alias("cols"))
     lot = F.xxhash64("node")
     row, col = F.pmod(lot, F.col("rows")).cast("int"), F.pmod(lot, F.col("cols")).cast("int")
     place = lambda r, c, asks, stays: F.struct(r.alias("row"), c.alias("col"), asks.alias("asks"), stays.alias("stays"))
     stays = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: place(r, col, F.col("asks") & (r == row), F.lit(True)))
     asks = F.transform(F.filter(F.sequence(F.lit(0), F.col("cols") - 1), lambda c: c != col), lambda c: place(row, c, F.lit(True), F.lit(False)))
-    placed = sized.join(sets, "node").join(blocks_, "block").select("block", "node", "label", "n", "sig", "shingles", F.explode(F.when(F.col("asks"), F.concat(stays, asks)).otherwise(stays)).alias("t"))
-    placed = placed.select("block", "t.*", "node", "label", "n", "sig", "shingles")
-    return placed.repartition(4 * parts, "block", "row", "col").sortWithinPartitions("block", "row", "col").mapInArrow(_tiles, _PAIR)
+    placed = sized.join(grids, "block").select("block", "node", "label", "n", F.explode(F.when(F.col("asks"), F.concat(stays, asks)).otherwise(stays)).alias("t"))
+    placed = placed.select("block", "t.*", "node", "label", "n").join(carried, "node")
+    return placed.repartition(4 * shuffle_partitions(members.sparkSession), "block", "row", "col").sortWithinPartitions("block", "row", "col")
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """Links of nodes of one block that are in different classes, stored: enough of them to join all classes that any link joins."""
+    sigs = nodes.select("node", "sig")
+    tiles = _tiled(members, nodes, sigs, F.col("n") / 4).select("block", "row", "col", "asks", "stays", "node", "label", "n", "sig")
+    near = stored(tiles.mapInArrow(_tiles(_near), _NEAR), folder, "near").distinct()
+    members = stored(members.join(near, ["block", "node"], "left_semi"), folder, "near_members")
+    sets, shared = _sets(members.select("node").distinct().join(nodes, "node"), docs)
+    tiles = _tiled(members, nodes, sets.join(sigs, "node"), F.col("n") * 8).select("block", "row", "col", "asks", "stays", "node", "label", "n", "sig", "shingles")
+    links = stored(tiles.mapInArrow(_tiles(_forest), _PAIR), folder, "links2")
+    shared.destroy()
+    return links
 
 
 # ---- step 4: components ------------------------------------------------------------------------------
@@ -495,13 +533,11 @@ def _classes(docs: DataFrame, row: Column, doc_id: str, text: str) -> DataFrame:
     first = _verified(stored(_bounded(chosen, nodes), folder, "chosen"), nodes, texts, folder, "links1")
     labels = components(first, f"{folder}/first").withColumnRenamed("root", "label")
     members = stored(_open_members(keyed, labels), folder, "members")
-    sets, shared = _sets(members.select("node").distinct().join(nodes, "node"), texts)
-    second = stored(_tiled(members, nodes, sets), folder, "links2")
-    shared.destroy()
+    second = _block_links(members, nodes, texts, folder)
     roots = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), f"{folder}/last")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, folder, "rooted")
-    dropped(spark, folder, "nodes", "keyed", "chosen", "links1", "members", "links2", "first", "last")
+    dropped(spark, folder, "nodes", "keyed", "chosen", "links1", "members", "near", "near_members", "links2", "first", "last")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = rooted.join(least, "root").select("node", "root", "component_id")
     rows = own.select("row", "doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
