@@ -366,9 +366,9 @@ def join_inner(spark, sf_dir):
     return joined.groupBy("n_name").agg(F.count("*").alias("orders_n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 350000)")
 def semi_anti(spark, sf_dir):
-    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").where("o_totalprice > 350000")
     return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
