@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read
 again; ``docs`` has the columns of ``documents``, in any order and with any
-others beside them, which are carried along.
+others beside them. All stages but the last carry them along; the last returns
+the id, length, bucket and place of each row of the mix.
 """
 
 from __future__ import annotations
