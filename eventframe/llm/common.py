@@ -28,13 +28,15 @@ MASK = (1 << 64) - 1
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a temporary
-    folder of this machine is taken.
+    Only where that setting is absent and the master is local (tests, a single
+    machine) a temporary folder of this machine is taken; a cluster must set it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="eventframe-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/eventframe-{uuid.uuid4().hex}"
