@@ -105,18 +105,26 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
 
 
 class Memo(dict):
-    """A bounded cache of a function of one argument."""
+    """A bounded cache of a function of one argument: half of it fresh, half of it from before, which comes back when it is asked for."""
 
     def __init__(self, f: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.f, self.entries = f, entries
+        self.f, self.entries, self.before = f, entries, {}
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
+        value = self.before.get(key)
+        return self.put(key, self.f(key) if value is None else value)
+
+    def put(self, key, value):
+        if 2 * len(self) >= self.entries:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.f(key)
+        self[key] = value
         return value
 
+    def known(self, key) -> bool:
+        return key in self or key in self.before
+
 
 def hash64(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)

@@ -12,6 +12,7 @@ a text once, and a bounded memo serves most of them.
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -43,15 +44,15 @@ SCRIPT_BANDS = {
 #: A text of n tokens has at most log2(n) bits of entropy: below this many tokens, the least entropy falls in proportion to that.
 WHOLE_TOKENS = 64
 #: Words whose pieces a worker remembers.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 
 _NOT_COUNTED = bytes(range(9, 14)) + b" " + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 
 
 @lru_cache(maxsize=1)
-def _pieces() -> tuple[Memo, np.ndarray]:
-    """Of a word: its pieces with byte fallback, and how many tokens the other vocabulary needs. Also which pieces are bytes."""
+def _pieces() -> tuple[Memo, Callable, np.ndarray]:
+    """Of a word: its pieces with byte fallback, their number, and how many tokens the other vocabulary needs; the same of a list; and which pieces are bytes."""
     import base64
 
     import public_tokenizers
@@ -63,11 +64,22 @@ def _pieces() -> tuple[Memo, np.ndarray]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
     other = tiktoken.Encoding("many", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def told(word: bytes) -> tuple[bytes, int]:
-        text = word.decode("utf-8", "replace")
-        return array("i", model.encode(text)).tobytes(), len(other.encode_ordinary(f" {text}"))
+    def told(words: list[bytes]) -> list[tuple[bytes, int, int]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        ids = model.encode(texts, num_threads=1)
+        return [(array("i", i).tobytes(), len(i), len(n)) for i, n in zip(ids, (other.encode_ordinary(f" {t}") for t in texts))]
 
-    return Memo(told, WORDS_KEPT), np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+    return Memo(lambda word: told([word])[0], WORDS_KEPT), told, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+
+
+def learn(texts: list[bytes]) -> None:
+    """Tokenise all words of a block that aren't known yet at once."""
+    memo, told, _ = _pieces()
+    new = [w for w in set().union(*(t.split() for t in texts)) if not memo.known(w)]
+    for at in range(0, len(new), 10_000):
+        some = new[at : at + 10_000]
+        for word, value in zip(some, told(some)):
+            memo.put(word, value)
 
 
 def repeated_words(ids: np.ndarray, n: int = 3) -> int:
@@ -97,14 +109,14 @@ def duplicate_lines(text: bytes) -> int:
 
 def fertility(words: list[bytes], times: np.ndarray, word_chars: int) -> tuple[int, float, float, float, float]:
     """Of different words, each so many times: tokens, characters per token, share of fallback bytes, bits of entropy, and characters per token of the other vocabulary."""
-    memo, byte_ids = _pieces()
+    memo, _, byte_ids = _pieces()
     if not words:
         return 0, 0.0, 0.0, 0.0, 0.0
-    pieces, others = zip(*map(memo.__getitem__, words))
+    pieces, lengths, others = zip(*map(memo.__getitem__, words))
     ids = np.frombuffer(b"".join(pieces), np.int32)
     if not len(ids):
         return 0, 0.0, 0.0, 0.0, 0.0
-    weights = np.repeat(times, [len(p) // 4 for p in pieces])
+    weights = np.repeat(times, lengths)
     total = int(weights.sum())
     counts = np.bincount(ids, weights)
     share = counts[counts > 0] / total
@@ -122,8 +134,9 @@ def band(lang: str | None, text: bytes) -> tuple[float, ...]:
 def measure(text: bytes, lang: str | None = None) -> dict:
     """All figures of one text and the verdict."""
     words = text.split()
-    index: dict[bytes, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
+    index = dict.fromkeys(words)
+    index = dict(zip(index, range(len(index))))
+    ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
     chars = len(text.translate(None, _NOT_COUNTED))
     repeats = repeated_words(ids)
     base_failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEATED_PERCENT * len(words)
@@ -147,8 +160,11 @@ _SPARK, _ARROW = fields(
 
 @F.arrow_udf(_SPARK)
 def _measure(texts: pa.Array, langs: pa.Array) -> pa.Array:
-    langs = iter(langs.to_pylist())
-    return pa.array([measure(t, next(langs)) for block in blocks(texts) for t in block], pa.struct(_ARROW))
+    langs, out = iter(langs.to_pylist()), []
+    for block in blocks(texts):
+        learn(block)
+        out += [measure(t, next(langs)) for t in block]
+    return pa.array(out, pa.struct(_ARROW))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str | None = "lang", into: str = "quality") -> DataFrame:
