@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -104,6 +106,35 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
         yield [x or b"" for x in texts.slice(start).to_pylist()]
 
 
+def trimmed() -> None:
+    """Give free memory back to the system: a process that lives on doesn't hold what one step needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: How to drop what each operator keeps in a worker, and which one worked there last.
+_KEPT: dict[str, Callable[[], None]] = {}
+_LAST = [""]
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    _KEPT[operator] = drop
+
+
+def alone(operator: str) -> None:
+    """Workers serve one operator after the other: what the others keep (tokenisers, memos) goes when this one comes."""
+    if _LAST[0] != operator:
+        for other, drop in _KEPT.items():
+            if other != operator:
+                drop()
+        trimmed()
+        _LAST[0] = operator
+
+
 class Memo(dict):
     """A bounded cache of a function of one argument: half of it fresh, half of it from before, which comes back when it is asked for."""
 

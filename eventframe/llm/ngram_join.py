@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import MASK, Memo, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored, unused
+from .common import MASK, Memo, alone, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored, trimmed, unused
 
 WORDS, PERCENT = 5, 75
 #: Bits of a signature: a power of two of at least twice the set, between these.
@@ -120,6 +120,7 @@ _INFO, _INFO_ARROW = fields("row:long doc_id:long n:long node:long sig:binary pa
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone("ngrams")
     memo, cells, seen = Memo(hash64), np.zeros(SKETCH_CELLS, np.uint32), False
     for b in batches:
         at = 0
@@ -171,6 +172,8 @@ def crowding(info: DataFrame) -> Crowding:
         away = (c - mean) / max(1.0, np.sqrt(mean))
         level[part] = np.clip(np.floor(8 * (np.minimum(away, 12) + 4)) + 8 * np.log2(np.maximum(away, 12) / 12), 0, 255)
         np.maximum.at(most, level[part], c.astype(np.int64))
+    packed.clear()
+    trimmed()
     return Crowding(level.ravel(), np.maximum(1, -(-most // HOT)))
 
 
@@ -183,6 +186,7 @@ _KEYED, _KEYED_ARROW = fields("key:long node:long leader:long other:long dealt:b
 
 def _keys(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("ngrams")
         crowded, memo = shared.value, Memo(hash64)
         done: set[int] = set()
         places, entries, held = [], [], 0
@@ -212,6 +216,8 @@ def _keys(shared, buckets: int):
                     places, entries, held = [], [], 0
         if held:
             yield packed()
+        places, entries = [], []
+        trimmed()
 
     return run
 
@@ -253,6 +259,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(e)
     if held:
         yield from _met_in(np.frombuffer(b"".join(held), _ENTRY))
+    held = []
+    trimmed()
 
 
 # ---- step 3: exact verification ---------------------------------------------------------------------
@@ -262,6 +270,7 @@ _SET, _SET_ARROW = fields("node:long shingles:binary")
 
 def _fetched(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("ngrams")
         needed, memo = shared.value, Memo(hash64)
         done: set[int] = set()
         for b in batches:
@@ -433,6 +442,8 @@ def _tiles(settled: Callable[[list[pa.RecordBatch]], pa.RecordBatch]):
                     held.append(b.slice(at, end - at))
         if held:
             yield settled(held)
+        held = []
+        trimmed()
 
     return run
 

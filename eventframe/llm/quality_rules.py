@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, blocks, fields, unused
+from .common import Memo, alone, blocks, fields, keeps, unused
 
 FALLBACK_VOCABULARY, MANY_LANGUAGES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -44,7 +44,7 @@ SCRIPT_BANDS = {
 #: A text of n tokens has at most log2(n) bits of entropy: below this many tokens, the least entropy falls in proportion to that.
 WHOLE_TOKENS = 64
 #: Words whose pieces a worker remembers.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 120_000
 
 _NOT_COUNTED = bytes(range(9, 14)) + b" " + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
@@ -72,6 +72,9 @@ def _pieces() -> tuple[Memo, Callable, np.ndarray]:
     return Memo(lambda word: told([word])[0], WORDS_KEPT), told, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
+keeps("quality", _pieces.cache_clear)
+
+
 def learn(texts: list[bytes]) -> None:
     """Tokenise all words of a block that aren't known yet at once."""
     memo, told, _ = _pieces()
@@ -160,6 +163,7 @@ _SPARK, _ARROW = fields(
 
 @F.arrow_udf(_SPARK)
 def _measure(texts: pa.Array, langs: pa.Array) -> pa.Array:
+    alone("quality")
     langs, out = iter(langs.to_pylist()), []
     for block in blocks(texts):
         learn(block)

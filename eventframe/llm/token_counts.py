@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, blocks, fields
+from .common import Memo, alone, blocks, fields, keeps
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -284,12 +284,14 @@ def counter(name: str) -> Counter:
     return Counter(name)
 
 
+keeps("tokens", counter.cache_clear)
 _SPARK, _ARROW = fields("n_bytes:long n_tokens:long")
 
 
 def _counting(name: str):
     @F.arrow_udf(_SPARK)
     def count(texts: pa.Array) -> pa.Array:
+        alone("tokens")
         sizes, tokens = [], []
         for block in blocks(texts):
             sizes += map(len, block)

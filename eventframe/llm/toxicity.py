@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, batch, blocks, fields, remainder, unused
+from .common import Memo, alone, batch, blocks, fields, remainder, trimmed, unused
 from .license_scan import words_of
 
 BITS, RANK = 18, 4
@@ -234,6 +234,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _as_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone("toxicity")
     memo = Memo(word_features)
     for b in batches:
         texts = [t for block in blocks(b.column(0)) for t in block]
@@ -258,7 +259,10 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     marks = np.repeat(found["toxic"].to_numpy(), found["times"].to_numpy())
     terms = [t for x, n in zip(found["terms"].to_pylist(), found["times"].to_pylist()) for t in [unpacked(x)] * n]
     order = sorted(range(len(marks)), key=lambda i: (marks[i], len(terms[i]), zlib.crc32(terms[i]), terms[i].tobytes() if len(terms[i]) < 64 else b""))
-    return calibrated([terms[i] for i in order], marks[order] if len(order) else marks)
+    model = calibrated([terms[i] for i in order], marks[order] if len(order) else marks)
+    del found, terms
+    trimmed()
+    return model
 
 
 def scorer(spark, model: FactorizationMachine):
@@ -269,6 +273,7 @@ def scorer(spark, model: FactorizationMachine):
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
+        alone("toxicity")
         if not held:
             bias, where, w, v = shared.value
             place = np.full(1 << BITS, -1, np.int32)
