@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventframe.llm.common import shared_dir, stored
+from eventframe.llm.common import BATCH_ROWS, BATCH_SETTING, shared_dir, stored
 from eventframe.llm.mixing import mixed_documents
 from eventframe.llm.ngram_join import one_of_each
 from eventframe.llm.packing import packed_documents
@@ -18,13 +18,21 @@ from eventframe.llm.quality_rules import quality_filter
 from eventframe.llm.toxicity import toxicity_filter
 
 
+def lean(spark: SparkSession) -> None:
+    """Texts are long, and batches on their way to Python stand outside of the heap: few rows in each."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING, "10000")) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; null and empty texts go."""
+    lean(spark)
     return quality_filter(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold, by a model of the labelled ones among them."""
+    lean(spark)
     return toxicity_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
