@@ -43,8 +43,8 @@ SCRIPT_BANDS = {
 }
 #: A text of n tokens has at most log2(n) bits of entropy: below this many tokens, the least entropy falls in proportion to that.
 WHOLE_TOKENS = 64
-#: Words whose pieces a worker remembers.
-WORDS_KEPT = 120_000
+#: Words whose pieces a worker remembers at the utmost: two blocks of text have fewer.
+WORDS_KEPT = 2_000_000
 
 _NOT_COUNTED = bytes(range(9, 14)) + b" " + bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
@@ -76,13 +76,16 @@ keeps("quality", _pieces.cache_clear)
 
 
 def learn(texts: list[bytes]) -> None:
-    """Tokenise all words of a block that aren't known yet at once."""
+    """Tokenise all words of a block that aren't known yet at once; words of this block and of the one before stay known."""
     memo, told, _ = _pieces()
-    new = [w for w in set().union(*(t.split() for t in texts)) if not memo.known(w)]
+    words = set().union(*(t.split() for t in texts))
+    held = {w: v for w in words if (v := memo.get(w) or memo.before.get(w))}
+    new = list(words.difference(held))
     for at in range(0, len(new), 10_000):
-        some = new[at : at + 10_000]
-        for word, value in zip(some, told(some)):
-            memo.put(word, value)
+        held.update(zip(new[at : at + 10_000], told(new[at : at + 10_000])))
+    memo.before = dict(memo)
+    memo.clear()
+    memo.update(held)
 
 
 def repeated_words(ids: np.ndarray, n: int = 3) -> int:
