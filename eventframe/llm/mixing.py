@@ -90,8 +90,8 @@ def _ranked(sizes: DataFrame, per: DataFrame) -> DataFrame:
     return rows.withColumn("ratio", F.when(chance > 0, _ratio(chance)))
 
 
-def source_cuts(sizes: DataFrame, **how) -> DataFrame:
-    """Of each source in rows (uid, source, size, u): of, source_size, target, mean_score, cut and last.
+def source_cuts(sizes: DataFrame, folder: str, **how) -> DataFrame:
+    """Of each source in rows (uid, source, size, u): of, source_size, target, mean_score, cut and last, stored.
 
     A document is taken once more if its ratio is below ``cut`` (null: all
     are), the ratio at which the remaining words are reached; of those at the
@@ -99,34 +99,37 @@ def source_cuts(sizes: DataFrame, **how) -> DataFrame:
     ``last`` (null: none). Words are summed over slices of the ratio first,
     then over the ratios inside the slice where the target falls, so that no
     task holds a source; rows alike in id and text, which share a ratio, are
-    counted per input partition, so that no task holds them either.
+    counted per input partition, so that no task holds them either. Each step
+    is a stored table of a row or a few per source, which keeps plans short.
     """
     per = source_targets(sizes.select("source", "size"), **how).withColumnRenamed("source", "of")
     scores = sizes.groupBy(F.col("source").alias("scored")).agg(F.sum(length_score(F.col("size")) * F.col("size")).alias("score"))
     per = per.join(scores, F.col("of").eqNullSafe(F.col("scored"))).withColumn("mean_score", F.when(F.col("source_size") > 0, F.col("score") / (F.col("source_size") * F.lit(1000.0))))
-    per = per.select("of", "source_size", "target", "mean_score")
+    per = stored(per.select("of", "source_size", "target", "mean_score"), folder, "per")
     ranked = _ranked(sizes, per)
     rest = ranked.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
     rows = ranked.where("ratio is not null").select("source", "size", "ratio", "uid", F.floor(F.col("ratio") / (F.col("ratio") + 1) * SLICES).cast("int").alias("slice"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy("source", "slice").agg(F.sum("size").alias("words")).withColumn("ahead", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     cells = cells.join(rest.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).where(F.col("ahead") + F.col("words") > F.col("rest"))
-    cells = cells.groupBy("of").agg(F.min("slice").alias("in_slice"), F.min_by("ahead", "slice").alias("ahead"), F.max("rest").alias("rest"))
+    cells = stored(cells.groupBy("of").agg(F.min("slice").alias("in_slice"), F.min_by("ahead", "slice").alias("ahead"), F.max("rest").alias("rest")), folder, "cells")
     near = rows.join(cells, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("in_slice")))
     near = near.groupBy("source", "ratio").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("ahead").alias("ahead"), F.max("rest").alias("rest"))
     lower = Window.partitionBy("source").orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("words").over(lower), F.lit(0))).where(F.col("ahead") + F.col("words") > F.col("rest"))
     first = F.min(F.struct("ratio", ((F.col("rest") - F.col("ahead")) * F.col("n") / F.col("words")).alias("take"), "n"))
     cuts = near.groupBy(F.col("source").alias("at")).agg(first.alias("f")).select("at", F.col("f.ratio").alias("cut"), F.least(F.floor(F.col("f.take") + 0.5), F.col("f.n")).alias("take"))
+    cuts = stored(cuts, folder, "reached")
     alike = rows.join(cuts.where("take > 0"), F.col("source").eqNullSafe(F.col("at")) & (F.col("ratio") == F.col("cut"))).withColumn("part", F.shiftright("uid", 33))
     parts = alike.groupBy("source", "part").agg(F.count("*").alias("n"), F.max("take").alias("take"))
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.where((F.col("before") < F.col("take")) & (F.col("before") + F.col("n") >= F.col("take"))).select(F.col("source").alias("of"), F.col("part").alias("in_part"), "before")
     inside = alike.join(parts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in_part")))
     inside = inside.withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("source").orderBy("uid")))
-    last = inside.where("place = take").select(F.col("source").alias("ends"), F.col("uid").alias("last"))
+    last = stored(inside.where("place = take").select(F.col("source").alias("ends"), F.col("uid").alias("last")), folder, "last")
     per = per.join(cuts.select("at", "cut"), F.col("of").eqNullSafe(F.col("at")) & F.col("cut").isNotNull(), "left")
-    return per.join(last, F.col("of").eqNullSafe(F.col("ends")) & F.col("last").isNotNull(), "left").select("of", "source_size", "target", "mean_score", "cut", "last")
+    per = per.join(last, F.col("of").eqNullSafe(F.col("ends")) & F.col("last").isNotNull(), "left")
+    return stored(per.select("of", "source_size", "target", "mean_score", "cut", "last"), folder, "cuts")
 
 
 def _taken(sizes: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -149,7 +152,7 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """
     folder = shared_dir(docs.sparkSession)
     sizes = stored(docs.select(*_slim(docs, *(F.col(f"`{c}`") for c in (doc_id, text, source)))), folder, "sizes")
-    rows = _taken(sizes, stored(source_cuts(sizes, **how), folder, "cuts"))
+    rows = _taken(sizes, source_cuts(sizes, folder, **how))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -162,7 +165,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     folder = shared_dir(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     rows = stored(rows.select("doc", *_slim(rows, *(F.col(f"doc.`{c}`") for c in (doc_id, text, source)))), folder, "rows")
-    taken = _taken(rows, stored(source_cuts(rows.drop("doc"), **how), folder, "cuts"))
+    taken = _taken(rows, source_cuts(rows.drop("doc"), folder, **how))
     return taken.where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
