@@ -20,7 +20,7 @@ broadcast, where its exact count is, and else to the bucket of the pair.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
+from .common import MASK, batch, blocks, combined, dropped, fields, hash64, in_buckets, mixed, shared_dir, shuffle_partitions, stored
 
 #: Words, and pairs of them, whose exact counts are broadcast; those of rarer ones are looked up in the buckets.
 FREQUENT = 1 << 19
@@ -41,22 +41,46 @@ LEAST_PAIR = 4
 #: Bits per entry and probes per entry of the filter; blocks are a power of two of 64-bit words.
 BITS_PER_ENTRY, PROBES = 10, 6
 BLOCK_WORDS = 1 << 12
+PLACE_BITS = (64 * BLOCK_WORDS - 1).bit_length()
+PER_DRAW = 64 // PLACE_BITS
+#: Blocks whose bits are set as one byte each before they are packed.
+SPREAD = 64
 #: How many tokens after a word the shares of words are worth beside the counts of its pairs.
 PRIOR = 16.0
-#: Pending pairs that a training task holds before it counts them together.
+#: Pending tokens, or pairs, that a training task holds before it counts them together.
 PENDING = 4_000_000
 #: Pairs that a scoring task holds before it sends them.
 SENT = 1_000_000
-#: Different words that a worker knows before it starts afresh.
-WORDS_KEPT = 300_000
+#: Bytes of words up to which they are hashed together, eight bytes of all at a time; longer ones are few and hashed alone.
+LONG = 64
 #: Stand for the end of a text, and for what is before its first word; no word can hold a space.
 END, START = b" end", b" start"
 BASE = 2.0**0.5
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Lower-cased words and one end."""
-    return [*text.lower().split(), END]
+#: What a word's hash starts from, by its length, and masks of the first bytes of eight.
+_SEEDS = mixed(np.arange(1, LONG + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts, lower-cased words and one end each, and the number of tokens of each text."""
+    joined = b" ".join([b"", *texts, b" " * 8]).lower()
+    codes = np.frombuffer(joined, np.uint8)
+    space = (codes == 32) | (codes - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))  # what begins at each byte
+    hashes = mixed(_SEEDS[np.minimum(size, LONG)] ^ (eight[begin] & _FIRST[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        left = size[live] - at
+        hashes[live] = mixed((hashes[live] + np.uint64(0x9E3779B97F4A7C15)) ^ (eight[begin[live] + at] & _FIRST[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG):
+        hashes[i] = hash64(joined[begin[i] : begin[i] + size[i]])
+    words = np.diff(np.searchsorted(begin, np.cumsum([1, *(len(t) + 1 for t in texts)])))
+    return np.insert(hashes, np.cumsum(words), np.uint64(hash64(END))), words + 1
 
 
 def steps_of(counts: np.ndarray) -> np.ndarray:
@@ -77,9 +101,14 @@ class LogFrequencyFilter:
         self.words = np.zeros(n_blocks * BLOCK_WORDS, np.uint64)
 
     @staticmethod
-    def _places(keys: np.ndarray, step: np.ndarray, k: int) -> np.ndarray:
+    def _drawn(keys: np.ndarray, step: int, k: int) -> np.ndarray:
+        """Random bits, which give the places of probe ``k`` and those after it, ``PER_DRAW`` in all."""
+        return mixed(keys + np.uint64(0x9E3779B97F4A7C15 * (31 * step + k + 1) & MASK))
+
+    @staticmethod
+    def _places(drawn: np.ndarray, k: int) -> np.ndarray:
         """Bit numbers inside a block."""
-        return mixed(keys + np.uint64(0x9E3779B97F4A7C15) * (step.astype(np.uint64) * np.uint64(31) + np.uint64(k + 1))) & np.uint64(64 * BLOCK_WORDS - 1)
+        return drawn >> np.uint64(k % PER_DRAW * PLACE_BITS) & np.uint64(64 * BLOCK_WORDS - 1)
 
     @classmethod
     def of(cls, bits: bytes) -> LogFrequencyFilter:
@@ -93,21 +122,38 @@ class LogFrequencyFilter:
 
     def insert(self, keys: np.ndarray, steps: np.ndarray) -> None:
         block = self.block_of(keys)
-        for s in range(1, int(steps.max(initial=0)) + 1):
-            use = steps >= s
-            for k in range(PROBES):
-                bit = self._places(keys[use], np.full(int(use.sum()), s), k)
-                np.bitwise_or.at(self.words, block[use] * BLOCK_WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        order = np.argsort(block)
+        keys, steps, block = keys[order], steps[order], block[order]
+        ends = np.searchsorted(block, np.arange(0, self.n_blocks + SPREAD, SPREAD))
+        for n, (i, j) in enumerate(zip(ends, ends[1:])):
+            words = self.words[n * SPREAD * BLOCK_WORDS : (n + 1) * SPREAD * BLOCK_WORDS]
+            bits = np.zeros(64 * len(words), bool)
+            own, left, start = keys[i:j], steps[i:j], (block[i:j] - n * SPREAD) * (64 * BLOCK_WORDS)
+            for s in itertools.count(1):
+                use = left >= s
+                own, left, start = own[use], left[use], start[use]
+                if not len(own):
+                    break
+                for k in range(PROBES):
+                    if k % PER_DRAW == 0:
+                        drawn = self._drawn(own, s, k)
+                    bits[start + self._places(drawn, k).astype(np.int64)] = True
+            words |= np.packbits(bits, bitorder="little").view("<u8")
 
     def steps(self, keys: np.ndarray) -> np.ndarray:
         """The highest step up to which all are present."""
         out = np.zeros(len(keys), np.int64)
-        block, live, s = self.block_of(keys) * BLOCK_WORDS, np.arange(len(keys)), 0
+        live, s = np.arange(len(keys)), 0
+        block = self.block_of(keys) * BLOCK_WORDS
         while len(live):
             s += 1
             for k in range(PROBES):
-                bit = self._places(keys[live], np.full(len(live), s), k)
-                live = live[(self.words[block[live] + (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                if k % PER_DRAW == 0:
+                    drawn = self._drawn(keys, s, k)
+                bit = self._places(drawn, k)
+                there = (self.words[block + (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                if not there.all():
+                    live, keys, block, drawn = live[there], keys[there], block[there], drawn[there]
                 if not len(live):
                     break
             out[live] = s
@@ -132,36 +178,25 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return combined([before, after], 2)
 
 
-def place_of(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key stands in ascending ones, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
+class Places:
+    """Where keys stand among ascending hashes; the first bits of a key tell where to begin."""
 
-class Reader:
-    """Texts to hashes of their tokens, and where each stands among frequent words; remembers words."""
+    def __init__(self, among: np.ndarray):
+        self.n, bits = len(among), max(1, len(among).bit_length())
+        self.among, self.shift = np.append(among, np.uint64(MASK)), np.uint64(64 - bits)
+        held = np.bincount((among >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.cumsum(held) - held
 
-    def __init__(self, frequent: np.ndarray):
-        self.frequent, self.number = frequent, {}
-        self.hashes, self.places = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and place (-1: not frequent) of each token, and the number of tokens of each text."""
-        if len(self.number) > WORDS_KEPT:
-            self.number.clear()
-        number, words = self.number, [tokens_of(t) for t in texts]
-        every = [w for ws in words for w in ws]
-        known = len(number)
-        new = [w for w in dict.fromkeys(every) if w not in number]
-        number.update(zip(new, range(known, known + len(new))))
-        while len(self.hashes) < len(number):
-            self.hashes, self.places = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.places))
-        self.hashes[known : len(number)] = np.fromiter(map(hash64, new), np.uint64, len(new))
-        self.places[known : len(number)] = place_of(self.frequent, self.hashes[known : len(number)])
-        ids = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        return self.hashes[ids], self.places[ids], np.array([len(ws) for ws in words], np.int64)
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        at = self.first[(keys >> self.shift).astype(np.int64)]
+        seen = self.among[at]
+        live = np.flatnonzero(seen < keys)
+        while len(live):
+            at[live] += 1
+            seen[live] = self.among[at[live]]
+            live = live[seen[live] < keys[live]]
+        return np.where((seen == keys) & (at < self.n), at, -1)
 
 
 _BUCKET, _BUCKET_ARROW = fields("bucket:int entries:binary")
@@ -181,11 +216,18 @@ def unpacked_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return numbers[1 : 1 + ones + more], np.concatenate([np.ones(ones, np.uint64), numbers[1 + ones + more :]])
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each stands there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.uint64)
+
+
 def _added(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of equal keys added up."""
     parts = [unpacked_counts(p) for p in packed]
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
@@ -214,23 +256,22 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
         yield bucket, *_added(held)
 
 
-def _word_counts(buckets: int, most: int = 600_000):
+def _word_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter: Counter = Counter()
+        pending, held = [], 0
 
         def packed() -> pa.RecordBatch:
-            keys = np.fromiter(map(hash64, counter), np.uint64, len(counter))
-            return _buckets(mixed(keys), keys, np.fromiter(counter.values(), np.uint64, len(counter)), buckets)
+            keys, counts = counted(np.concatenate(pending))
+            return _buckets(mixed(keys), keys, counts, buckets)
 
         for b in batches:
             for block in blocks(b.column(0)):
-                for text in block:
-                    counter.update(text.lower().split())
-                counter[END] += len(block)
-                if len(counter) > most:
+                pending.append(token_hashes(block)[0])
+                held += len(pending[-1])
+                if held >= PENDING:
                     yield packed()
-                    counter.clear()
-        if counter:
+                    pending, held = [], 0
+        if held:
             yield packed()
 
     return run
@@ -262,20 +303,23 @@ def _pair_places(keys: np.ndarray, after: np.ndarray, place: np.ndarray) -> np.n
 
 
 def _pair_counts(shared, buckets: int):
+    number = np.uint16 if buckets <= 1 << 16 else np.int64  # short ones are sorted by radix
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        frequent = Places(shared.value)
         pending, held = [], 0
 
         def packed() -> pa.RecordBatch:
-            keys, places = (np.concatenate(x) for x in zip(*pending))
-            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            return _buckets(places[first], keys, counts, buckets)
+            keys, bucket = (np.concatenate(x) for x in zip(*pending))
+            keys, ends = keys[np.argsort(bucket, kind="stable")], np.cumsum(np.bincount(bucket, minlength=buckets))
+            parts = [(b, packed_counts(*counted(keys[i:j]))) for b, (i, j) in enumerate(zip([0, *ends], ends)) if i < j]
+            return batch(_BUCKET_ARROW, [b for b, _ in parts], [p for _, p in parts])
 
         for b in batches:
             for block in blocks(b.column(0)):
-                after, place, lengths = reader.read(block)
+                after, lengths = token_hashes(block)
                 keys = pair_keys(_histories(after, lengths), after)
-                pending.append((keys, _pair_places(keys, after, place)))
+                pending.append((keys, (_pair_places(keys, after, frequent.of(after)) % np.uint64(buckets)).astype(number)))
                 held += len(keys)
                 if held >= PENDING:
                     yield packed()
@@ -426,8 +470,8 @@ def _sent_texts(shared, extra: pa.Field):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        reader = Reader(m.words)
-        start = place_of(m.words, np.array([hash64(START)], np.uint64))[0]
+        words, pairs = Places(m.words), Places(m.pairs)
+        start = words.of(np.array([hash64(START)], np.uint64))[0]
         for b in batches:
             uids, first = b.column(0).to_numpy(), int(b.column(0)[0].as_py()) if b.num_rows else 0
             probes, lookups, waiting, at = [], [], 0, 0
@@ -440,7 +484,8 @@ def _sent_texts(shared, extra: pa.Field):
                         rows.clear()
 
             for block in blocks(b.column(2)):
-                own, place, lengths = reader.read(block)
+                own, lengths = token_hashes(block)
+                place = words.of(own)
                 starts = np.cumsum(lengths) - lengths
                 back = np.empty_like(place)
                 back[1:] = place[:-1]
@@ -450,7 +495,7 @@ def _sent_texts(shared, extra: pa.Field):
                 logs = low + np.where(back >= 0, m.rest[back], 0.0)
                 keys = pair_keys(_histories(own, lengths), own)
                 hit = np.full(len(own), -1)
-                hit[known] = place_of(m.pairs, keys[known])
+                hit[known] = pairs.of(keys[known])
                 there = hit >= 0
                 logs[there] += np.log10(1 + m.held[hit[there]] / (PRIOR * 10.0 ** low[there]))
                 docs = np.repeat((uids[at : at + len(block)] - first).astype(np.uint32), lengths)
@@ -487,9 +532,8 @@ class Bucket:
             parts = [_split(p, _WORD) for p in self.parts]
             words_, counts = (np.concatenate([np.zeros(0, np.uint64), *[p[c] for p in parts]]) for c in ("word", "count"))
             order = np.argsort(words_)
-            self.words, self.counts, self.parts = words_[order], counts[order].astype(np.float64), []
-        place = place_of(self.words, words)
-        return np.where(place >= 0, self.counts[place], 0.0) if len(self.words) else np.zeros(len(words))
+            self.words, self.counts, self.parts = Places(words_[order]), np.append(counts[order], 0).astype(np.float64), []
+        return self.counts[self.words.of(words)]
 
     def pairs(self, payload: bytes) -> np.ndarray:
         rows = _split(payload, _PAIR)

@@ -3,11 +3,14 @@
 import itertools
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -431,3 +434,53 @@ def test_language_model_against_brute_force(spark, monkeypatch, frequent):
     want = {d: sum(log(a, b) for a, b in itertools.pairwise(t)) for d, t in tokens.items()}
     got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, F.col("doc_id") < 40).collect()}
     assert max(abs(got[d] - want[d]) / len(tokens[d]) for d in want) < (1e-6 if frequent == 1000 else 0.01)  # chance hits of the filter are few
+
+
+@pytest.mark.parametrize("step", ["words", "pairs"])
+def test_language_model_reads_no_word_alone(step):
+    """Words that were never seen before cost no call of Python each: tokens are hashed and counted as arrays."""
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(f"new{i}x{j}" for j in range(2000)) for i in range(10)])], ["text"])
+    run = lm_scoring._word_counts(4) if step == "words" else lm_scoring._pair_counts(SimpleNamespace(value=np.zeros(0, np.uint64)), 4)
+    list(run(iter([texts])))
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        rows = list(run(iter([texts])))
+    finally:
+        sys.setprofile(None)
+    assert sum(len(lm_scoring.unpacked_counts(e)[0]) for b in rows for e in b.column(1).to_pylist()) >= 20_000
+    assert sum(calls.values()) < 5000
+
+
+def test_token_hashes_tell_words_apart():
+    rng = np.random.default_rng(8)
+    pieces = ["a", "B", "b", "\0", "é", "É", " ", "\x1c", "x" * 7, "x" * 8, "y" * 63, "y" * 64, "Y" * 65, "z" * 500, " ", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r"]
+    texts = ["", " ", "end", " end", *("".join(rng.choice(pieces, n)) for n in rng.integers(0, 60, 2000)), *("q" * n for n in range(200)), "w" * 100_000]
+    want = [[*WORD.findall(lower(t)), None] for t in texts]
+    hashes, lengths = lm_scoring.token_hashes([t.encode() for t in texts])
+    assert lengths.tolist() == [len(ws) for ws in want]
+    of = dict(zip((w for ws in want for w in ws), hashes.tolist()))
+    assert [of[w] for ws in want for w in ws] == hashes.tolist() and len(set(of.values())) == len(of) and len(of) > 2000
+    alone = [lm_scoring.token_hashes([t.encode()])[0].tolist() for t in texts[:300]]
+    assert [h for hs in alone for h in hs] == hashes[: sum(map(len, alone))].tolist()
+    assert [len(x) for x in lm_scoring.token_hashes([])] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_places_among_hashes(n):
+    rng = np.random.default_rng(n)
+    among = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, np.uint64), rng.integers(0, 9, n // 2, np.uint64)]))
+    asked = np.concatenate([among, among + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    for held in (among, np.append(among[among < (1 << 64) - 1], np.uint64((1 << 64) - 1))):
+        place = {k: i for i, k in enumerate(held.tolist())}
+        assert lm_scoring.Places(held).of(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+
+
+def test_filter_is_built_in_any_cut(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys, counts = rng.integers(0, 1 << 64, 60_000, np.uint64), rng.integers(1, 100, 60_000)
+    whole = lm_scoring.filter_of(keys, counts)
+    assert whole.n_blocks > 20 and (whole.steps(keys) >= lm_scoring.steps_of(counts)).all()
+    for spread in (1, 7, whole.n_blocks):
+        monkeypatch.setattr(lm_scoring, "SPREAD", spread)
+        assert (lm_scoring.filter_of(keys, counts).words == whole.words).all()
