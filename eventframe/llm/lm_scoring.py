@@ -118,7 +118,8 @@ class LogFrequencyFilter:
         return out
 
     def block_of(self, keys: np.ndarray) -> np.ndarray:
-        return (mixed(keys) % np.uint64(self.n_blocks)).astype(np.int64)
+        """Drawn anew: ``mixed`` alone tells a key's bucket, so its remainders are not free there."""
+        return (self._drawn(keys, 0, 0) % np.uint64(self.n_blocks)).astype(np.int64)
 
     def insert(self, keys: np.ndarray, steps: np.ndarray) -> None:
         block = self.block_of(keys)
@@ -145,7 +146,7 @@ class LogFrequencyFilter:
         out = np.zeros(len(keys), np.int64)
         live, s = np.arange(len(keys)), 0
         block = self.block_of(keys) * BLOCK_WORDS
-        while len(live):
+        while len(live) and s < 128:  # no count of 64 bits has more
             s += 1
             for k in range(PROBES):
                 if k % PER_DRAW == 0:

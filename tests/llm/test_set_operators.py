@@ -484,3 +484,14 @@ def test_filter_is_built_in_any_cut(monkeypatch):
     for spread in (1, 7, whole.n_blocks):
         monkeypatch.setattr(lm_scoring, "SPREAD", spread)
         assert (lm_scoring.filter_of(keys, counts).words == whole.words).all()
+
+
+@pytest.mark.parametrize("buckets", [4, 8])
+def test_filter_of_a_bucket_uses_all_its_blocks(buckets):
+    """Keys of one bucket, whose number of blocks has the number of buckets as a factor, meet few chance hits."""
+    keys = np.random.default_rng(7).integers(0, 1 << 64, 6_000 * buckets**2, np.uint64)
+    keys = keys[lm_scoring.mixed(keys) % np.uint64(buckets) == 1]
+    f = lm_scoring.LogFrequencyFilter(buckets)
+    held, others = keys[: 2_000 * buckets], keys[2_000 * buckets : 5_000 * buckets]
+    f.insert(held, np.full(len(held), 10))
+    assert (f.steps(held) >= 10).all() and (f.steps(others) > 0).mean() < 0.02
